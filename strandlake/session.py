@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +36,8 @@ def local_session(name: str = "strandlake", cores: int | str = 8, **conf: str) -
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch, unless the session has its own settings."""
+    """Ship the package to the executors; bound the bytes of an Arrow batch, unless the session has its own settings."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     try:
@@ -43,6 +47,21 @@ def prepare(spark: SparkSession) -> None:
         pass
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if getattr(sc, "_strandlake_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="strandlake-py-")) / "strandlake.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._strandlake_shipped = True
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the folder ``sf_dir``."""
     prepare(spark)
