@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import bpe
+from strandlake.llm import bpe, leaks, spans
 from strandlake.session import read_table
 
 
@@ -12,8 +12,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"p7_ids": p7_ids}
+    return {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict:
