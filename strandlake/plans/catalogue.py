@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlake.plans import problems
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise NotImplementedError
 
 
 def queries() -> dict:
-    return {}
+    return problems.queries()
 
 
 def oracle_sql() -> dict:
-    return {}
+    return problems.oracle_sql()
