@@ -3,11 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, leaks, spans
+from strandlake.functions.tags import plain_value, tag_value
+from strandlake.llm import bpe, components, distinct, frequent, leaks, spans
 from strandlake.session import read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, corrected = (F.concat_ws("-", tag_value(bc), tag_value(umi)) for bc, umi in (("bc", "umi"), ("bc_ed", "umi_ed")))
+    whole = [tag_value(c).isNotNull() for c in ("bc", "umi", "bc_ed", "umi_ed")]
+    rows = read_table(spark, sf_dir, "umi_bc_error_correct").filter(whole[0] & whole[1] & whole[2] & whole[3])
+    pairs = rows.select(raw.alias("raw"), corrected.alias("corrected"))
+    return components.groups(pairs, "raw", "corrected").withColumnsRenamed({"value": "tag", "group_value": "group_tag"})
+
+
+def p4_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "clip_out_umi_cellbc")
+    return frequent.frequent_values(rows, {"bc": tag_value("bc"), "umi": tag_value("umi")}, 1 / 200)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_frequent(spark, sf_dir).select("field", "key_value")
+
+
+def p5_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "dedup_flnc_per_cluster")
+    umi, bc = tag_value("umi_ed"), tag_value("bc_ed")
+    gene = plain_value("gene")
+    both = F.when(umi.isNotNull() & bc.isNotNull() & gene.isNotNull(), F.struct(bc, umi, gene))
+    rows = rows.withColumn("day", F.date_format("deduped_at", "yyyy-MM-dd"))
+    keys = ["day", "gene", "cluster"]
+    parts = distinct.registers(rows, keys, {"umi_ed": umi, "bc_ed": bc, "bc_ed_umi_ed_gene": both})
+    return distinct.distinct_by_combination(parts, keys)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"))
 
@@ -21,8 +51,29 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_frequent, p5_distinct, p7_ids, p8_found, p9_found)}
+
+
+def _tag(c: str) -> str:
+    return f"CASE WHEN upper(trim({c})) NOT IN ('', 'NA') THEN upper(trim({c})) END"
+
+
+_LINKS = f"""SELECT DISTINCT l, r FROM (SELECT ({_tag("bc")}) || '-' || ({_tag("umi")}) AS l, ({_tag("bc_ed")}) || '-' || ({_tag("umi_ed")}) AS r
+  FROM umi_bc_error_correct) WHERE l <> r"""
+
+_TAGS = f"SELECT 'bc' AS field, {_tag('bc')} AS key_value FROM clip_out_umi_cellbc UNION ALL SELECT 'umi', {_tag('umi')} FROM clip_out_umi_cellbc"
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "p1_found": f"""WITH RECURSIVE e AS (SELECT l AS a, r AS b FROM ({_LINKS}) UNION SELECT r, l FROM ({_LINKS})),
+          x(tag, other) AS (SELECT a, a FROM e UNION SELECT x.tag, e.b FROM x JOIN e ON x.other = e.a)
+          SELECT tag, min(other) AS group_tag FROM x GROUP BY tag""",
+        "p4_found": f"""SELECT field, key_value FROM (SELECT field, key_value, count(*) AS n FROM ({_TAGS}) WHERE key_value IS NOT NULL GROUP BY 1, 2)
+          QUALIFY n * 200 >= sum(n) OVER (PARTITION BY field)""",
+        "p8_found": """WITH w AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_items),
+          d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents),
+          i AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM w)),
+          c AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
+          SELECT DISTINCT item_id, doc_id FROM i JOIN c USING (g)""",
+    }
