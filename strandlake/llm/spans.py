@@ -217,7 +217,7 @@ def _count_windows(pieces: DataFrame, length: int, kind: str, by_hash: bool, sor
 def shared_spans(
     documents: DataFrame,
     length: int = 300,
-    gram: int = 32,
+    gram: int | None = None,
     document_id: str = "doc_id",
     text: str = "text",
     sorted_windows: int = SORTED_WINDOWS,
@@ -234,6 +234,8 @@ def shared_spans(
     Minimisers that one record alone has are dropped first, by a bitmap of bounded size; equal
     super-k-mers are counted once, with the least and the largest id that has them.
     """
+    # Short grams are common in any text, and a common minimiser gathers windows that are not equal.
+    gram = gram or max(1, length // 3)
     kind = documents.schema[document_id].dataType.simpleString()
     texts = documents.select(F.col(document_id).alias("id"), F.col(text).cast("string").alias("text")).filter(
         F.col("id").isNotNull() & (F.length("text") >= length)
