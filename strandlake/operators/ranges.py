@@ -129,3 +129,13 @@ def counts_by_key(df: DataFrame, fields: dict[str, tuple[Column, Column]]) -> Da
     return counts.join(F.broadcast(totals), "field").select(
         "field", F.col("key").alias("key_value"), "n_rows", "n_tags", (F.col("n_rows") / F.col("total")).alias("share"), "total"
     )
+
+
+def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Number all rows from 1 in an order that should be total; no task sees more than its range partition."""
+    ranged = stage(by_range(df, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_part").count()  # one row for each partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, (within + F.col("_before")).cast("bigint")).drop("_part", "_before")
