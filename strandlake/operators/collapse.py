@@ -264,6 +264,7 @@ def without_subsets(records: DataFrame, gene: str = "gene", key: str = "pbid", f
     Pairs of a gene are taken in the order of start, end and id, and a dropped isoform
     drops no other.  A gene's isoforms are compared within one task.
     """
+    columns = records.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(_start=[x[0]["start"] for x in pdf["exons"]], _end=[x[-1]["end"] for x in pdf["exons"]]).sort_values(["_start", "_end", key])
@@ -280,7 +281,7 @@ def without_subsets(records: DataFrame, gene: str = "gene", key: str = "pbid", f
                     gone.add(j)
                 elif how == "subset" and compare.is_degraded(exons[j], exons[i], strand[i], fuzzy):
                     gone.add(i)
-        keep = [i not in gone for i in range(len(exons))]
-        return pdf[keep].drop(columns=["_start", "_end"])
+        kept = [i for i in range(len(exons)) if i not in gone]
+        return pd.DataFrame({c: [pdf[c].iloc[i] for i in kept] for c in columns})
 
     return records.filter(F.size("exons") > 0).groupBy(gene).applyInPandas(run, records.schema)

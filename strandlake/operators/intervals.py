@@ -56,27 +56,27 @@ def overlap_join(
     """
     ls, le = left_ends
     rs, re = right_ends
-    renamed = {k: f"_r_{k}" for k in keys}
+    renamed = {k: f"__right_{k}" for k in keys}
 
     def binned(df: DataFrame, s: str, e: str, name: str) -> DataFrame:
         first, last = F.floor(F.col(s) / bin_size), F.floor((F.col(e) - 1) / bin_size)
         spread = F.when(F.col(s) < F.col(e), F.sequence(first, last))
-        explode = F.explode_outer if name == "_lb" and how != "inner" else F.explode
-        return df.withColumn(name, explode(spread)).withColumn(f"{name}0", first)
+        explode = F.explode_outer if name == "__left_bin" and how != "inner" else F.explode
+        return df.withColumn(name, explode(spread)).withColumn(name.replace("_bin", "_first"), first)
 
-    a, b = binned(left, ls, le, "_lb"), binned(right.withColumnsRenamed(renamed), rs, re, "_rb")
-    on = (F.col("_lb") == F.col("_rb")) & (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)) & (F.col("_lb") == F.greatest("_lb0", "_rb0"))
+    a, b = binned(left, ls, le, "__left_bin"), binned(right.withColumnsRenamed(renamed), rs, re, "__right_bin")
+    on = (F.col("__left_bin") == F.col("__right_bin")) & (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)) & (F.col("__left_bin") == F.greatest("__left_first", "__right_first"))
     for k in keys:
         on = on & (F.col(k) == F.col(renamed[k]))
-    helpers = ["_lb", "_lb0", "_rb", "_rb0", *renamed.values()]
+    helpers = ["__left_bin", "__left_first", "__right_bin", "__right_first", *renamed.values()]
     if how == "inner":
         return a.join(b, on).drop(*helpers)
     # One number for each row of the left side tells which rows have met nothing.
-    numbered = left.withColumn("_row", F.monotonically_increasing_id())
+    numbered = left.withColumn("__row", F.monotonically_increasing_id())
     met = overlap_join(numbered, right, keys, left_ends, right_ends, bin_size)
     if how == "left":
-        return numbered.join(met.select("_row", *[c for c in right.columns if c not in keys]), "_row", "left").drop("_row")
-    return numbered.join(met.select("_row").distinct(), "_row", how).drop("_row")
+        return numbered.join(met.select("__row", *[c for c in right.columns if c not in keys]), "__row", "left").drop("__row")
+    return numbered.join(met.select("__row").distinct(), "__row", how).drop("__row")
 
 
 def elementary_segments(df: DataFrame, keys: Sequence[str], start: str = "s", end: str = "e") -> DataFrame:

@@ -55,19 +55,26 @@ def labelled(report: DataFrame, radius: int = 3) -> DataFrame:
     stretches = rows.withColumn("_gap", gap).withColumn("_stretch", F.sum("_gap").over(order))
 
     def run(pdf):
-        pdf = pdf.sort_values(["left", "right"])
+        import pandas as pd
+
+        pdf = pdf.sort_values(["_stretch", "left", "right"])
         heads: list[tuple[int, int]] = []
-        number = []
-        for left, right in zip(pdf["left"].tolist(), pdf["right"].tolist()):
-            at = next((i for i, (x, y) in enumerate(heads) if abs(left - x) <= radius and abs(right - y) <= radius), None)
+        stretch, oldest, number = None, 0, []
+        for now, left, right in zip(pdf["_stretch"].tolist(), pdf["left"].tolist(), pdf["right"].tolist()):
+            if now != stretch:
+                stretch, heads, oldest = now, [], 0
+            while oldest < len(heads) and left - heads[oldest][0] > radius:
+                oldest += 1
+            at = next((i for i in range(oldest, len(heads)) if abs(right - heads[i][1]) <= radius), None)
             if at is None:
                 heads.append((left, right))
                 at = len(heads) - 1
             number.append(at)
-        return pdf.assign(_within=number)[[*key, "left", "right", "_stretch", "_within"]]
+        return pd.DataFrame({c: pdf[c].tolist() for c in (*key, "left", "right", "_stretch")} | {"_within": number})
 
     schema = "chr string, strand string, left bigint, right bigint, _stretch bigint, _within bigint"
-    found = stage(stretches.select(*key, "left", "right", "_stretch").groupBy(*key, "_stretch").applyInPandas(run, schema), "labels")
+    some = stretches.select(*key, "left", "right", "_stretch", F.floor(F.col("_stretch") / 256).alias("_some"))
+    found = stage(some.groupBy(*key, "_some").applyInPandas(run, schema), "labels")
     heads = found.groupBy(*key, "_stretch").agg((F.max("_within") + 1).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = found.join(heads.withColumn("_before", before).drop("_n"), [*key, "_stretch"])

@@ -142,12 +142,12 @@ def exon_path_score(record: DataFrame, annotation: DataFrame, keys: Sequence[str
     least transcript.  Exons of one side are disjoint, so the sums need no path.
     """
     size = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
-    a = record.select("id", *keys, size("exons").alias("_la"), F.explode("exons").alias("_x")).select("id", *keys, "_la", F.col("_x.start").alias("s"), F.col("_x.end").alias("e"))
-    b = annotation.select("transcript", *keys, size("exons").alias("_lb"), F.explode("exons").alias("_y"))
-    b = b.select("transcript", *keys, "_lb", F.col("_y.start").alias("p_s"), F.col("_y.end").alias("p_e"))
+    a = record.select("id", *keys, size("exons").alias("_size_a"), F.explode("exons").alias("_x")).select("id", *keys, "_size_a", F.col("_x.start").alias("s"), F.col("_x.end").alias("e"))
+    b = annotation.select("transcript", *keys, size("exons").alias("_size_b"), F.explode("exons").alias("_y"))
+    b = b.select("transcript", *keys, "_size_b", F.col("_y.start").alias("p_s"), F.col("_y.end").alias("p_e"))
     met = overlap_join(a, b, list(keys), ("s", "e"), ("p_s", "p_e"))
-    sums = met.groupBy("id", "transcript", "_la", "_lb").agg(F.sum(overlap_length("s", "e", "p_s", "p_e")).alias("_o"))
-    scored = sums.withColumn("score", F.col("_o") * 3 - F.col("_la") - F.col("_lb"))
+    sums = met.groupBy("id", "transcript", "_size_a", "_size_b").agg(F.sum(overlap_length("s", "e", "p_s", "p_e")).alias("_o"))
+    scored = sums.withColumn("score", F.col("_o") * 3 - F.col("_size_a") - F.col("_size_b"))
     best = Window.partitionBy("id").orderBy(F.desc("score"), "transcript")
     return scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("id", "transcript", "score")
 

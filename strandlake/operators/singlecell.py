@@ -148,8 +148,8 @@ def corrections(rows: DataFrame, by: Sequence[str], tag: str) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         taken = absorb(pdf[tag].tolist(), pdf["n"].tolist())
-        out = pdf[pdf[tag].isin(taken)].drop(columns="n")
-        return out.assign(corrected=out[tag].map(taken))
+        group = [pdf[c].iloc[0] for c in by]
+        return pd.DataFrame([(*group, old, new) for old, new in taken.items()], columns=[*by, tag, "corrected"])
 
     schema = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in [*by, tag]) + ", corrected string"
     return counts.groupBy(*by).applyInPandas(run, schema)
