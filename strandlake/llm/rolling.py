@@ -76,10 +76,11 @@ def bitmap(hashes: DataFrame, column: str, many: int) -> np.ndarray:
 
     It never has more than 2**MOST_BITS bits, so that it may be broadcast at any size of
     the input; a full one only lets more rows pass.  What passes must be checked exactly later.
+    The low bits say the place: minima of hashes are small numbers, so their high bits differ little.
     """
     bits = min(MOST_BITS, max(16, (64 * max(many, 1)).bit_length()))
     words = (
-        hashes.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("place"))
+        hashes.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("place"))
         .select(F.expr("shiftright(place, 5)").alias("word"), F.expr("shiftleft(1L, cast(place & 31 as int))").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bit"))
@@ -92,6 +93,5 @@ def bitmap(hashes: DataFrame, column: str, many: int) -> np.ndarray:
 
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the unsigned hashes the bitmap has."""
-    shift = np.uint64(64 - (len(bits).bit_length() - 1) - 5)
-    place = hashes >> shift
+    place = hashes & np.uint64(32 * len(bits) - 1)
     return (bits[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
