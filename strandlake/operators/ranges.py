@@ -123,7 +123,7 @@ def counts_by_key(df: DataFrame, fields: dict[str, tuple[Column, Column]]) -> Da
     read.  Even one (key, tag) pair with most rows is spread, by the number of the row.
     """
     one = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), k.cast("string").alias("key"), t.cast("string").alias("tag")) for f, (k, t) in fields.items())))
-    rows = df.withColumn("row", F.monotonically_increasing_id()).select(one.alias("x"), "row").select("x.*", "row").filter("key is not null")
+    rows = df.select(one.alias("x"), F.monotonically_increasing_id().alias("row")).select("x.*", "row").filter("key is not null")
     counts = stage(stitch_keys(key_states(by_range(rows, "field", "key", "tag", "row"))), "key-counts")
     totals = counts.groupBy("field").agg(F.sum("n_rows").alias("total"))  # one row for each field
     return counts.join(F.broadcast(totals), "field").select(

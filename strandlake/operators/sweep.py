@@ -9,6 +9,7 @@ partitions before it is stitched from one state of each.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,10 +20,10 @@ from strandlake.session import checkpoint_root
 
 
 def events(df: DataFrame, keys: Sequence[str], start: Column, end: Column) -> DataFrame:
-    """``keys``, ``pos`` and ``delta``, the change of the number of active intervals there."""
-    marks = F.array(*(F.struct(at.cast("bigint").alias("pos"), F.lit(d).cast("bigint").alias("delta")) for at, d in ((start, 1), (end, -1))))
-    rows = df.filter(start < end).select(*keys, F.explode(marks).alias("x")).select(*keys, "x.*")
-    return rows.groupBy(*keys, "pos").agg(F.sum("delta").alias("delta")).filter("delta != 0")
+    """``keys``, ``__pos`` and ``__delta``, the change of the number of active intervals there."""
+    marks = F.array(*(F.struct(at.cast("bigint").alias("__pos"), F.lit(d).cast("bigint").alias("__delta")) for at, d in ((start, 1), (end, -1))))
+    rows = df.filter(start < end).select(*keys, F.explode(marks).alias("__mark")).select(*keys, "__mark.*")
+    return rows.groupBy(*keys, "__pos").agg(F.sum("__delta").alias("__delta")).filter("__delta != 0")
 
 
 def _segments(batches: Iterator, n_keys: int) -> Iterator[tuple]:
@@ -72,15 +73,15 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: Column | str, en
     start, end = (F.col(c) if isinstance(c, str) else c for c in (start, end))
     keys, n = list(keys), len(keys)
     checkpoint_root(df.sparkSession)
-    kinds = [df.schema[k].dataType.simpleString() for k in keys]
+    kinds = [df.schema[k].dataType for k in keys]
+    if clash := {"kind", "start_pos", "end_pos"} & set(keys):
+        raise ValueError(f"rename the keys {sorted(clash)}: the result has columns of that name")
     low, high = F.least(start, end), F.greatest(start, end)
     whole = start.isNotNull() & end.isNotNull()
     # Both passes must see the same partitions, so these are kept in the shared folder.
-    ordered = by_range(events(df.filter(whole), keys, low, high), *keys, "pos").checkpoint()
+    ordered = by_range(events(df.filter(whole), keys, low, high), *keys, "__pos").checkpoint()
 
     def states(batches: Iterator) -> Iterator:
-        import pickle
-
         import pyarrow as pa
         from pyspark import TaskContext
 
@@ -88,8 +89,6 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: Column | str, en
         if state is not None:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pickle.dumps(state)])], names=["part", "state"])
 
-    import pickle
-
     found = ordered.mapInArrow(states, "part int, state binary").collect()  # one row for each partition
     carry: dict[int, tuple] = {}
     at_end: tuple | None = None  # entity, active intervals and last boundary so far
@@ -103,12 +102,13 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: Column | str, en
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_type
 
         out: list[tuple] = []
 
         def batch_of() -> pa.RecordBatch:
             columns = list(zip(*out))
-            types = [_arrow_type(k) for k in kinds] + [pa.string(), pa.int64(), pa.int64()]
+            types = [to_arrow_type(k) for k in kinds] + [pa.string(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*keys, "kind", "start_pos", "end_pos"])
 
         known = carry.get(TaskContext.get().partitionId())
@@ -132,11 +132,6 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: Column | str, en
         if out:
             yield batch_of()
 
-    schema = ", ".join(f"`{k}` {t}" for k, t in zip(keys, kinds))
+    schema = ", ".join(f"`{k}` {t.simpleString()}" for k, t in zip(keys, kinds))
     return ordered.mapInArrow(work, f"{schema}, kind string, start_pos bigint, end_pos bigint")
 
-
-def _arrow_type(kind: str):
-    import pyarrow as pa
-
-    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[kind]
