@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import rolling
+from strandlake.session import stage
 
 #: Words longer than this are compared by their digest.
 LONG_WORD = 64
@@ -121,9 +122,9 @@ def leaked_items(
     """
     if not 1 <= gram <= run:
         raise ValueError("gram must be between 1 and run")
+    if document_id == item_id:
+        raise ValueError("the id columns must have different names")
     of_items = fingerprints(items.filter(F.col(item_id).isNotNull()), item_id, text, run, gram).withColumnsRenamed({"id": "item", "around": "item_around"})
-    from strandlake.session import stage
-
     of_items = stage(of_items, "item-fingerprints")
     many = of_items.count()
     keep = rolling.bitmap(of_items, "hash", many)

@@ -107,9 +107,10 @@ def _pieces(df: DataFrame, length: int, gram: int, kind: str, keep: np.ndarray)
 
 
 def _arrow(kind: str):
-    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
 
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return to_arrow_type(DataType.fromDDL(kind))
 
 
 def _windows_of(pieces: list[str], length: int, values: tuple) -> tuple[np.ndarray, ...]:
