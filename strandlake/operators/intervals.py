@@ -19,9 +19,9 @@ def islands(df: DataFrame, keys: Sequence[str], start: str = "s", end: str = "e"
     intervals use ``loci``, which gives the same clusters from range partitions.
     """
     order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.col(start) > reach if touching else F.col(start) >= reach
     whole = F.col(start).isNotNull() & F.col(end).isNotNull()
+    reach = F.max(F.when(whole, F.col(end))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.col(start) > reach if touching else F.col(start) >= reach
     new = F.when(whole & (reach.isNull() | apart), 1).otherwise(0)
     marked = df.withColumn("_new", new)
     number = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
