@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.rolling import mix
+from strandlake.session import stage
 
 #: Code over the integers modulo 257: 8 data symbols, the bytes of an id, in 16 positions.
 PRIME, DATA, LENGTH = 257, 8, 16
@@ -198,7 +199,8 @@ def frequent_values(df: DataFrame, columns: dict[str, object], share: float) ->
     stacked = df.select(F.explode(F.array(*(F.struct(F.lit(i).cast("bigint").alias("field"), c.alias("value")) for i, c in enumerate(columns.values())))).alias("x"))
     values = stacked.select("x.field", "x.value").filter("value is not null").withColumn("id", F.xxhash64("value"))
 
-    merged = _sketch(values.select("field", "id"), share, len(names))
+    # Staged, as its totals and its heavy counters are read apart; at most 6 / share rows a partition, field, turn and place.
+    merged = stage(_sketch(values.select("field", "id"), share, len(names)), "sketch")
     totals_of = merged.filter("turn = -1").select("field", F.col("n").alias("total"))
     heavy_rows = merged.filter("turn >= 0").join(F.broadcast(totals_of), "field").filter(F.col("n") >= F.lit(0.75 * share) * F.col("total"))
     rows = merged.filter("turn = -1").unionByName(heavy_rows.drop("total")).collect()  # bounded by the share, see above
@@ -235,13 +237,15 @@ def _count_groups(values: DataFrame, groups: dict[int, list[int]], turn_of: dict
     """Exact counts of the frequent values of some groups, but those that are known."""
 
     def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         for batch in batches:
             field, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
             keep = np.zeros(batch.num_rows, dtype=bool)
             for f, some in groups.items():
                 if some:
                     keep |= (field == f) & np.isin(group_of(ids, turn_of[f]), some)
-            yield batch.filter(__import__("pyarrow").array(keep))
+            yield batch.filter(pa.array(keep))
 
     counts = values.mapInArrow(work, values.schema).groupBy("field", "value").agg(F.count("*").alias("n"))
     out = []
