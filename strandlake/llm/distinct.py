@@ -36,11 +36,14 @@ def registers(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], p
     doesn't count; null keys are a key of their own; repeated rows change nothing; an
     empty table gives no rows.  Rows are reduced before they are shuffled.
     """
+    if clash := {"measure", "register", "rank", "grouping"} & set(keys):
+        raise ValueError(f"rename the keys {sorted(clash)}: the registers have columns of that name")
     bits = 64 - precision
     hashed = [F.struct(F.lit(name).alias("measure"), F.when(value.isNotNull(), F.xxhash64(value)).alias("h")) for name, value in measures.items()]
-    rows = df.select(*keys, F.explode(F.array(*hashed)).alias("m")).select(*keys, "m.measure", "m.h").filter("h is not null")
-    rows = rows.select(*keys, "measure", F.shiftrightunsigned("h", bits).cast("int").alias("register"), F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("rest"))
-    return rows.withColumn("rest", _rank(F.col("rest"), bits)).groupBy(*keys, "measure", "register").agg(F.max("rest").alias("rank"))
+    rows = df.select(*keys, F.explode(F.array(*hashed)).alias("__m")).select(*keys, "__m.measure", F.col("__m.h").alias("__h")).filter("__h is not null")
+    register = F.shiftrightunsigned("__h", bits).cast("int").alias("register")
+    rank = _rank(F.col("__h").bitwiseAND(F.lit((1 << bits) - 1)), bits).alias("rank")
+    return rows.select(*keys, "measure", register, rank).groupBy(*keys, "measure", "register").agg(F.max("rank").alias("rank"))
 
 
 def merge(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -55,10 +58,10 @@ def estimate(parts: DataFrame, keys: Sequence[str], precision: int = PRECISION)
     """
     m = 1 << precision
     alpha = 0.7213 / (1 + 1.079 / m)
-    sums = parts.groupBy(*keys, "measure").agg(F.count("*").alias("filled"), F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("s"))
-    raw = F.lit(alpha * m * m) / (F.col("s") + (F.lit(m) - F.col("filled")))
-    linear = F.lit(float(m)) * F.log(F.lit(float(m)) / (F.lit(m) - F.col("filled")))
-    small = (raw <= 2.5 * m) & (F.col("filled") < m)
+    sums = parts.groupBy(*keys, "measure").agg(F.count("*").alias("__filled"), F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("__s"))
+    raw = F.lit(alpha * m * m) / (F.col("__s") + (F.lit(m) - F.col("__filled")))
+    linear = F.lit(float(m)) * F.log(F.try_divide(F.lit(float(m)), F.lit(m) - F.col("__filled")))
+    small = (raw <= 2.5 * m) & (F.col("__filled") < m)
     return sums.select(
         *keys, "measure", F.round(F.when(small, linear).otherwise(raw)).cast("bigint").alias("n_distinct"), F.lit(standard_error(precision)).alias("standard_error")
     )
@@ -72,9 +75,10 @@ def distinct_by_combination(parts: DataFrame, keys: Sequence[str], precision: in
     """
     kept = [c for n in range(len(keys), -1, -1) for c in combinations(keys, n)]
     options = [
-        F.struct(F.lit("+".join(c) or "total").alias("grouping"), *((F.col(k) if k in c else F.lit(None).cast(parts.schema[k].dataType)).alias(k) for k in keys))
-        for c in kept
+        F.struct(F.lit(i).alias("grouping"), *((F.col(k) if k in c else F.lit(None).cast(parts.schema[k].dataType)).alias(k) for k in keys))
+        for i, c in enumerate(kept)
     ]
-    spread = parts.select(F.explode(F.array(*options)).alias("g"), "measure", "register", "rank").select("g.*", "measure", "register", "rank")
+    spread = parts.select(F.explode(F.array(*options)).alias("__g"), "measure", "register", "rank").select("__g.*", "measure", "register", "rank")
     by = ["grouping", *keys]
-    return estimate(merge(spread, by), by, precision)
+    names = F.array(*(F.lit("+".join(c) or "total") for c in kept))
+    return estimate(merge(spread, by), by, precision).withColumn("grouping", F.element_at(names, F.col("grouping") + 1))
