@@ -62,6 +62,7 @@ def _chunks(batches: Iterator) -> Iterator[tuple[list, list[str]]]:
 
 def _minimisers(df: DataFrame, length: int, gram: int, kind: str) -> DataFrame:
     """The distinct minimisers of each text: ``minimiser``, ``id``."""
+    arrow = _arrow(kind)
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -74,7 +75,7 @@ def _minimisers(df: DataFrame, length: int, gram: int, kind: str) -> DataFrame:
             keep = np.ones(len(least), dtype=bool)
             keep[1:] = (least[1:] != least[:-1]) | (text_of[1:] != text_of[:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(least[keep].view(np.int64)), pa.array([ids[i] for i in text_of[keep].tolist()], type=_arrow(kind))], names=["minimiser", "id"]
+                [pa.array(least[keep].view(np.int64)), pa.array([ids[i] for i in text_of[keep].tolist()], type=arrow)], names=["minimiser", "id"]
             )
 
     return df.mapInArrow(work, f"minimiser bigint, id {kind}")
@@ -82,7 +83,7 @@ def _minimisers(df: DataFrame, length: int, gram: int, kind: str) -> DataFrame:
 
 def _pieces(df: DataFrame, length: int, gram: int, kind: str, keep: np.ndarray) -> DataFrame:
     """The super-k-mers whose minimiser the bitmap has: ``minimiser``, ``id``, ``first``, ``piece``."""
-    shared = df.sparkSession.sparkContext.broadcast(keep)
+    shared, arrow = df.sparkSession.sparkContext.broadcast(keep), _arrow(kind)
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -96,7 +97,7 @@ def _pieces(df: DataFrame, length: int, gram: int, kind: str, keep: np.ndarray)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(least.view(np.int64)),
-                    pa.array([ids[i] for i in text_of.tolist()], type=_arrow(kind)),
+                    pa.array([ids[i] for i in text_of.tolist()], type=arrow),
                     pa.array(first.astype(np.int64)),
                     pa.array([texts[i][at : at + n + length - 1] for i, at, n in places], type=pa.string()),
                 ],
@@ -135,6 +136,7 @@ def _count_windows(pieces: DataFrame, length: int, kind: str, by_hash: bool, sor
     Gives rows with ``h1`` null for runs of windows that stand in two texts at least, and,
     for minimisers with too many windows or with ``by_hash``, a row for each window.
     """
+    arrow = _arrow(kind)
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -152,8 +154,8 @@ def _count_windows(pieces: DataFrame, length: int, kind: str, by_hash: bool, sor
                     pa.array(many),
                     none if h1 is None else pa.array(h1.view(np.int64)),
                     none if h2 is None else pa.array(h2.view(np.int64)),
-                    pa.array([group["low"][i] for i in piece_of.tolist()], type=_arrow(kind)),
-                    pa.array([group["high"][i] for i in piece_of.tolist()], type=_arrow(kind)),
+                    pa.array([group["low"][i] for i in piece_of.tolist()], type=arrow),
+                    pa.array([group["high"][i] for i in piece_of.tolist()], type=arrow),
                 ],
                 names=names,
             )
