@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.alignment import is_unmapped
 from strandlake.operators import compare
+from strandlake.operators.grouped import map_groups
 from strandlake.operators.intervals import islands
 from strandlake.operators.ranges import number_rows
 
@@ -101,7 +102,7 @@ def mergeable(a: list[int], b: list[int], segments: list[tuple[int, int]], stran
     return before_ok and allowed(longer, strand == "-")
 
 
-def merge_locus(rows: list[tuple[str, list[tuple[int, int]]]], strand: str, merge_5: bool, max_5_diff: int, max_3_diff: int) -> list[tuple[list[tuple[int, int]], list[str]]]:
+def merge_locus(rows: list[tuple[int, list[tuple[int, int]]]], strand: str, merge_5: bool, max_5_diff: int, max_3_diff: int) -> list[tuple[list[tuple[int, int]], list[int]]]:
     """Merge the structures of one locus greedily, from the left: exons and ids of each isoform.
 
     Structures are taken in the order of start, end and id.
@@ -156,17 +157,28 @@ def merge_fuzzy(rows: list[tuple[int, list[tuple[int, int]], int]], strand: str,
     the earliest, stands for it.
     """
     groups: list[list[tuple[int, list, int]]] = []
+    # A match needs the inner ends of the 3' exons within ``fuzzy``, but between two single exons; so few heads are compared.
+    by_place: dict[int, list[int]] = {}
+    single: list[int] = []
     for row in rows:
-        for group in groups:
-            head = group[0]
-            if row[1][0][0] >= head[1][-1][1] or head[1][0][0] >= row[1][-1][1]:
+        exons = row[1]
+        place = (exons[-1][0] if strand == "+" else exons[0][1]) // (fuzzy + 1)
+        near = {i for p in (place - 1, place, place + 1) for i in by_place.get(p, ())}
+        if len(exons) == 1:
+            near.update(single)
+        for i in sorted(near):
+            head = groups[i][0][1]
+            if exons[0][0] >= head[-1][1] or head[0][0] >= exons[-1][1]:
                 continue
-            how = compare.relation(row[1], head[1], strand, fuzzy, max_5_diff, max_3_diff)
-            long, short = (row[1], head[1]) if how == "super" else (head[1], row[1])
+            how = compare.relation(exons, head, strand, fuzzy, max_5_diff, max_3_diff)
+            long, short = (exons, head) if how == "super" else (head, exons)
             if how == "exact" or allow_5 and how in ("super", "subset") and compare.same_three_prime(long, short, strand, fuzzy):
-                group.append(row)
+                groups[i].append(row)
                 break
         else:
+            by_place.setdefault(place, []).append(len(groups))
+            if len(exons) == 1:
+                single.append(len(groups))
             groups.append([row])
     out = []
     for group in groups:
@@ -191,29 +203,25 @@ def collapse(
     rows = records.filter(F.size("exons") > 0).select("read_id", "chr", "strand", F.col("exons").cast(EXONS).alias("exons"))
     shape = F.xxhash64("chr", "strand", compare.exon_text("exons"))
     rows = rows.withColumn("shape", shape)
-    distinct = rows.groupBy("chr", "strand", "shape").agg(F.first("exons").alias("exons"), F.countDistinct("read_id").alias("n"), F.min("read_id").cast("string").alias("first_read"))
+    distinct = rows.groupBy("chr", "strand", "shape").agg(F.first("exons").alias("exons"), F.countDistinct("read_id").alias("n"))
     distinct = distinct.withColumns({"start": F.col("exons")[0]["start"], "end": F.element_at("exons", -1)["end"]})
     placed = gene_clusters(distinct)
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, rows: list[tuple]) -> list[tuple]:
         strand = key[2]
-        shapes = {str(s): (n, f) for s, n, f in zip(pdf["shape"], pdf["n"], pdf["first_read"])}
-        found = merge_locus([(str(s), compare.as_exons(x)) for s, x in zip(pdf["shape"], pdf["exons"])], strand, merge_5, max_5_diff, max_3_diff)
-        isoforms = [(i, exons, sum(shapes[s][0] for s in ids), ids) for i, (exons, ids) in enumerate(found, 1)]
+        reads_of = {shape: n for shape, _, n in rows}
+        found = merge_locus([(shape, compare.as_exons(x)) for shape, x, _ in rows], strand, merge_5, max_5_diff, max_3_diff)
+        isoforms = [(i, exons, sum(reads_of[s] for s in ids), ids) for i, (exons, ids) in enumerate(found, 1)]
         kept_as = dict(merge_fuzzy([x[:3] for x in isoforms], strand, max_fuzzy, merge_5, max_5_diff, max_3_diff))
-        by_number = {x[0]: x for x in isoforms}
+        exons_of = {x[0]: [{"start": s, "end": e} for s, e in x[1]] for x in isoforms}
         reads: dict[int, int] = {}
         for i, _, n, _ in isoforms:
             reads[kept_as[i]] = reads.get(kept_as[i], 0) + n
-        out = [
-            (*key, int(s), kept_as[i], [{"start": a, "end": b} for a, b in by_number[kept_as[i]][1]], reads[kept_as[i]])
-            for i, _, _, ids in isoforms
-            for s in ids
-        ]
-        return pd.DataFrame(out, columns=["chr", "island", "strand", "gene", "shape", "isoform_idx", "exons", "n_reads"])
+        return [(*key, s, kept_as[i], exons_of[kept_as[i]], reads[kept_as[i]]) for i, _, _, ids in isoforms for s in ids]
 
+    key = ["chr", "island", "strand", "gene"]
     schema = f"chr string, island bigint, strand string, gene bigint, shape bigint, isoform_idx bigint, exons {EXONS}, n_reads bigint"
-    merged = placed.groupBy("chr", "island", "strand", "gene").applyInPandas(merge, schema)
+    merged = map_groups(placed.select(*key, "shape", "exons", "n"), key, merge, schema)
     genes = placed.groupBy("chr", "island", "strand", "gene").agg(F.min("start").alias("_at"))
     numbered = number_rows(genes, ["chr", "_at", "strand", "island", "gene"], "gene_idx").drop("_at")
     named = merged.join(numbered, ["chr", "island", "strand", "gene"]).filter(F.col("n_reads") >= min_reads)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import a_tail, g_run, reverse_complement
+from strandlake.operators.grouped import map_groups
 from strandlake.operators.intervals import islands
 
 
@@ -146,13 +147,11 @@ def corrections(rows: DataFrame, by: Sequence[str], tag: str) -> DataFrame:
     """
     counts = rows.filter(F.col(tag).isNotNull()).groupBy(*by, tag).agg(F.count("*").alias("n"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken = absorb(pdf[tag].tolist(), pdf["n"].tolist())
-        group = [pdf[c].iloc[0] for c in by]
-        return pd.DataFrame([(*group, old, new) for old, new in taken.items()], columns=[*by, tag, "corrected"])
+    def run(key: tuple, rows: list[tuple]) -> list[tuple]:
+        return [(*key, old, new) for old, new in absorb([r[0] for r in rows], [r[1] for r in rows]).items()]
 
     schema = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in [*by, tag]) + ", corrected string"
-    return counts.groupBy(*by).applyInPandas(run, schema)
+    return map_groups(counts, by, run, schema)
 
 
 def correct_tags(molecules: DataFrame, gene: str = "gene", bc: str = "bc", umi: str = "umi") -> DataFrame:
