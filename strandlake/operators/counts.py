@@ -30,7 +30,8 @@ def read_stat(groups: DataFrame, clusters: DataFrame) -> DataFrame:
     ``read_type`` (FL or NonFL).  An FL read is unique or unmapped.  Another read is unique
     with one isoform, ambiguous with several (a row each), unmapped only if it has none.
     """
-    placed = clusters.join(groups.select("pbid", F.col("member").alias("cluster_id")), "cluster_id", "left").select("read_id", "read_type", "pbid").distinct()
+    of_cluster = groups.select("pbid", F.col("member").alias("cluster_id")).distinct()
+    placed = clusters.join(of_cluster, "cluster_id", "left").select("read_id", "read_type", "pbid").distinct()
     known = F.count("pbid").over(Window.partitionBy("read_id", "read_type"))
     fl = F.col("read_type") == "FL"
     rows = placed.withColumn("_n", known).filter(fl | F.col("pbid").isNotNull() | (F.col("_n") == 0))
