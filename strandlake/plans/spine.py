@@ -127,6 +127,21 @@ def j03_nearest_junction(t: Tables) -> DataFrame:
     return intervals.nearest(ours, known, key, ("left", "right"), ("k_left", "k_right"), 20, [*key, "left", "right"])
 
 
+@query(
+    f"""WITH a AS (SELECT DISTINCT chr, strand, "left", "right" FROM scrub_sample_gff_junctions), k AS ({_KNOWN}),
+  m AS (SELECT a.chr, a.strand, "left", "right", k_left, k_right, abs("left" - k_left) + abs("right" - k_right) AS distance,
+    row_number() OVER (PARTITION BY a.chr, a.strand, "left", "right" ORDER BY abs("left" - k_left) + abs("right" - k_right), k_left, k_right) AS n
+    FROM a JOIN k ON a.chr = k.chr AND a.strand = k.strand AND abs("left" - k_left) <= 20 AND abs("right" - k_right) <= 20)
+  SELECT chr, strand, "left", "right", k_left, k_right, distance FROM m WHERE n = 1"""
+)
+def j03_nearest_junction_whole(t: Tables) -> DataFrame:
+    """The nearest known junction of the distinct junctions of all samples."""
+    rows = t.scrub_sample_gff_junctions
+    key = ["chr", "strand"]
+    known = rows.filter("sample = 'J00_000' AND left < right").select(*key, F.col("left").alias("k_left"), F.col("right").alias("k_right")).distinct().dropna()
+    return intervals.nearest(rows.select(*key, "left", "right").distinct(), known, key, ("left", "right"), ("k_left", "k_right"), 20, [*key, "left", "right"])
+
+
 @query(
     f"""WITH k AS ({_KNOWN}) SELECT a.chr, a.strand, a."left", a."right", CASE WHEN k.chr IS NULL THEN 'N' ELSE 'Y' END AS annotation
   FROM (SELECT DISTINCT chr, strand, "left", "right" FROM scrub_sample_gff_junctions) a

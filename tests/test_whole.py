@@ -14,3 +14,16 @@ def test_sequences_have_every_exon(spark):
     assert exons.filter("exon_no > 6").count() > 0
     lengths = {r.tid: r.n for r in exons.selectExpr("tid", "e - s AS n").groupBy("tid").sum("n").toDF("tid", "n").collect()}
     assert {r.tid: len(r.seq) for r in run(spark, "e35_reference_sequence_whole").collect()} == lengths
+
+
+def test_junctions_of_every_sample_get_their_nearest(spark):
+    rows = Tables(spark, SF).scrub_sample_gff_junctions
+    key = ["chr", "strand", "left", "right"]
+    # A junction of the known sample lies nearest to itself.
+    own = {tuple(r) for r in rows.filter("sample = 'J00_000' AND left < right").select(*key).dropna().collect()}
+    got = {tuple(r[c] for c in key): r for r in run(spark, "j03_nearest_junction_whole").collect()}
+    assert own and own <= got.keys()
+    assert all(got[k].distance == 0 for k in own)
+    others = {tuple(r) for r in rows.filter("sample <> 'J00_000'").select(*key).dropna().collect()}
+    near = {a for a in others if any(a[:2] == k[:2] and abs(a[2] - k[2]) <= 20 and abs(a[3] - k[3]) <= 20 for k in own)}
+    assert got.keys() == own | near
