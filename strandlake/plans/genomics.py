@@ -120,6 +120,16 @@ def s18_point_lookup(t: Tables) -> DataFrame:
     return annotations.point_lookup(t.x_exon.filter("tid % 7 = 0").select("chr", F.col("s").alias("pos")).distinct(), bed)
 
 
+@query(
+    """WITH p AS (SELECT DISTINCT chr, s AS pos FROM x_exon UNION SELECT DISTINCT chr, s + 5 FROM x_exon)
+  SELECT p.chr, p.pos, coalesce(min(name), 'NA') AS name FROM p LEFT JOIN (SELECT chr, s, 'x' || tid AS name FROM x_exon) b ON p.chr = b.chr AND p.pos = b.s GROUP BY 1, 2"""
+)
+def s18_point_lookup_whole(t: Tables) -> DataFrame:
+    """All starts against all lines; starts moved by five have no line of their own."""
+    points = t.x_exon.select("chr", F.explode(F.array("s", F.col("s") + 5)).alias("pos")).distinct()
+    return annotations.point_lookup(points, annotations.parse_bed(_bed(t)))
+
+
 @query(
     """SELECT chr, s, e, CASE strand WHEN '+' THEN '+' ELSE '-' END AS strand, list_extract(['non-canonical', 'GT/AG', 'CT/AC', 'GC/AG', 'CT/GC', 'AT/AC', 'GT/AT'], CAST(1 + tid % 7 AS INT)) AS motif, tid % 2 = 1 AS annotated, exon_no AS n_unique FROM x_exon"""
 )
@@ -249,12 +259,13 @@ def u01_exact_structures(t: Tables) -> DataFrame:
 
 def _samples(t: Tables) -> dict[str, DataFrame]:
     rows = _distinct(t).withColumn("k", F.regexp_extract("pbid", r"([0-9]+)$", 1).cast("bigint"))
-    return {f"S{i}": rows.filter(F.col("k") % 3 <= i).select(F.col("pbid").alias("id"), "chr", "strand", "exons", "start", "end") for i in range(2)}
+    return {f"S{i}": rows.filter((F.col("k") + i) % 3 > 0).select(F.col("pbid").alias("id"), "chr", "strand", "exons", "start", "end") for i in range(3)}
 
 
 @query()
 def e18_chain(t: Tables) -> DataFrame:
-    return chain.chain(_samples(t)).select("superpbid", "chr", "strand", compare.exon_text("exons").alias("exons"), "S0", "S1")
+    """Three samples that overlap, each structure in two of them."""
+    return chain.chain(_samples(t)).select("superpbid", "chr", "strand", compare.exon_text("exons").alias("exons"), "S0", "S1", "S2")
 
 
 @query(

@@ -1,6 +1,7 @@
 """Queries do their whole job: no row, sample or draw is left out."""
 
 import __spark_entry__ as entry
+from strandlake.plans import genomics
 from strandlake.plans.registry import Tables
 from tests.test_queries import SF
 
@@ -27,3 +28,19 @@ def test_junctions_of_every_sample_get_their_nearest(spark):
     others = {tuple(r) for r in rows.filter("sample <> 'J00_000'").select(*key).dropna().collect()}
     near = {a for a in others if any(a[:2] == k[:2] and abs(a[2] - k[2]) <= 20 and abs(a[3] - k[3]) <= 20 for k in own)}
     assert got.keys() == own | near
+
+
+def test_every_structure_is_chained(spark):
+    every = {r.pbid for r in genomics._distinct(Tables(spark, SF)).collect()}
+    found = run(spark, "e18_chain")
+    names = [c for c in found.columns if c.startswith("S")]
+    assert len(names) >= 3
+    assert {r[c] for r in found.collect() for c in names} - {None} == every
+
+
+def test_all_points_meet_all_lines(spark):
+    exons = Tables(spark, SF).x_exon
+    got = {(r.chr, r.pos): r.name for r in run(spark, "s18_point_lookup_whole").collect()}
+    starts = {(r.chr, r.s) for r in exons.select("chr", "s").collect()}
+    assert starts | {(c, s + 5) for c, s in starts} == got.keys()
+    assert all((got[p] != "NA") == (p in starts) for p in got)
