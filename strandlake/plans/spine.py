@@ -351,12 +351,12 @@ def a10_expected_richness(t: Tables) -> DataFrame:
 
 @query()
 def a10_rarefaction(t: Tables) -> DataFrame:
-    return rarefaction.subsample(rarefaction.counted(t.x_fl, ["gene"], min_count=2), "gene", step=2000, iterations=10)
+    return rarefaction.subsample(rarefaction.counted(t.x_fl, ["gene"], min_count=2), "gene", step=2000)
 
 
 @query()
 def a11_rarefaction_by_category(t: Tables) -> DataFrame:
-    return rarefaction.subsample(rarefaction.counted(t.x_fl, ["gene", "category"]), "gene", step=2000, iterations=10, category="category", first=100)
+    return rarefaction.subsample(rarefaction.counted(t.x_fl, ["gene", "category"]), "gene", step=2000, category="category", first=100)
 
 
 @query(

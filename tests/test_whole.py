@@ -1,6 +1,9 @@
 """Queries do their whole job: no row, sample or draw is left out."""
 
+import pytest
+
 import __spark_entry__ as entry
+from strandlake.operators import rarefaction
 from strandlake.plans import genomics
 from strandlake.plans.registry import Tables
 from tests.test_queries import SF
@@ -44,3 +47,16 @@ def test_all_points_meet_all_lines(spark):
     starts = {(r.chr, r.s) for r in exons.select("chr", "s").collect()}
     assert starts | {(c, s + 5) for c, s in starts} == got.keys()
     assert all((got[p] != "NA") == (p in starts) for p in got)
+
+
+@pytest.mark.parametrize("name", ["a10_rarefaction", "a11_rarefaction_by_category"])
+def test_curves_are_of_a_hundred_draws(spark, monkeypatch, name):
+    drawn, plain = [], rarefaction.subsample
+
+    def subsample(counts, key, step=10_000, iterations=100, **rest):
+        drawn.append(iterations)
+        return plain(counts, key, step, iterations, **rest)
+
+    monkeypatch.setattr(rarefaction, "subsample", subsample)
+    assert run(spark, name).count() > 0
+    assert drawn == [100]
