@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions.tags import plain_value, tag_value
+from strandlake.functions.tags import tag_value
 from strandlake.llm import bpe, components, distinct, frequent, leaks, spans
 from strandlake.session import read_table
 
@@ -30,8 +30,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "dedup_flnc_per_cluster")
     umi, bc = tag_value("umi_ed"), tag_value("bc_ed")
-    gene = plain_value("gene")
-    both = F.when(umi.isNotNull() & bc.isNotNull() & gene.isNotNull(), F.struct(bc, umi, gene))
+    # Only a missing tag doesn't count; the gene is as written, null being one of its own.
+    both = F.when(umi.isNotNull() & bc.isNotNull(), F.struct(bc, umi, F.col("gene")))
     rows = rows.withColumn("day", F.date_format("deduped_at", "yyyy-MM-dd"))
     keys = ["day", "gene", "cluster"]
     parts = distinct.registers(rows, keys, {"umi_ed": umi, "bc_ed": bc, "bc_ed_umi_ed_gene": both})
