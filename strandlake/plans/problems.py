@@ -37,6 +37,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(tables.alias("ref_table"), fields.alias("ref_field"), day, F.col("key").alias("ref_key"), "reason")
 
 
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of orphan keys of each table, field, day and reason."""
+    return orphans.orphan_counts(p2_found(spark, sf_dir).withColumnRenamed("ref_key", "key"), ("ref_table", "ref_field", "ref_day", "reason"))
+
+
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bc, umi = tag_value("bc"), tag_value("umi")
     fields = {"gene": (plain_value("gene"), F.when(bc.isNotNull() & umi.isNotNull(), F.concat_ws("-", bc, umi))), "bc": (bc, umi)}
@@ -56,7 +61,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_counts, p6_found)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_counts, p6_found)}
 
 
 def _tag(c: str) -> str:
@@ -95,6 +100,7 @@ _GENE_AND_BC = f"""SELECT 'gene' AS field, {_plain("gene")} AS key_value, ({_tag
 def oracle_sql() -> dict:
     return {
         "p2_found": _orphans_sql(),
+        "p2_counts": f"SELECT ref_table, ref_field, ref_day, reason, count(DISTINCT ref_key) AS n_keys FROM ({_orphans_sql()}) GROUP BY ALL",
         "p3_found": f"""SELECT field, key_value FROM (SELECT field, key_value, count(*) AS n FROM ({_GENE_AND_BC}) WHERE key_value IS NOT NULL GROUP BY 1, 2)
           QUALIFY n * 50 >= sum(n) OVER (PARTITION BY field)""",
         "p3_counts": f"""SELECT field, key_value, count(*) AS n_rows, count(DISTINCT tag) AS n_tags FROM ({_GENE_AND_BC})

@@ -1,5 +1,7 @@
 """Queries do their whole job: no row, sample or draw is left out."""
 
+from collections import Counter
+
 import pytest
 
 import __spark_entry__ as entry
@@ -69,3 +71,9 @@ def test_molecules_of_any_gene_count(spark, tmp_path):
     found = entry.queries()["p5_distinct"](spark, str(tmp_path)).filter("measure = 'bc_ed_umi_ed_gene'")
     assert [r.n_distinct for r in found.filter("grouping = 'total'").collect()] == [4]
     assert {r.gene: r.n_distinct for r in found.filter("grouping = 'gene'").collect()} == {None: 1, "": 1, "NA": 1, "g": 1}
+
+
+def test_orphans_are_counted_by_table_and_day(spark):
+    found = {tuple(r) for r in run(spark, "p2_found").select("ref_table", "ref_field", "ref_day", "reason", "ref_key").collect()}
+    counted = run(spark, "p2_counts").select("ref_table", "ref_field", "ref_day", "reason", "n_keys").collect()
+    assert counted and Counter(r[:4] for r in found) == Counter({tuple(r)[:4]: r.n_keys for r in counted})
