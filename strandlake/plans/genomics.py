@@ -167,6 +167,19 @@ def k08_snp_vcf(t: Tables) -> DataFrame:
     return sinks.snp_vcf(annotations.parse_snps(_snp_lines(t)), genome)
 
 
+@query(
+    """WITH p AS (SELECT p_partkey, substr('ACGGTCA', CAST((CASE WHEN p_partkey % 7 = 0 THEN p_partkey * 3 - 1 ELSE p_partkey * 3 END) % 7 + 1 AS INT), 1) AS b FROM part WHERE p_partkey % 35 > 0)
+  SELECT 'ref' AS chr, CASE WHEN p_partkey % 7 = 0 THEN p_partkey * 3 ELSE p_partkey * 3 + 1 END AS pos1, CASE WHEN p_partkey % 5 = 0 THEN b WHEN p_partkey % 7 = 0 THEN b || 'A' ELSE 'A' END AS ref,
+  CASE WHEN p_partkey % 5 = 0 THEN b || 'C' WHEN p_partkey % 7 = 0 THEN b ELSE 'C' END AS alt FROM p"""
+)
+def k08_snp_vcf_whole(t: Tables) -> DataFrame:
+    """Anchor bases from a genome that has the chromosome of the data."""
+    snps = annotations.parse_snps(_snp_lines(t))
+    last = snps.agg(F.max("ref_pos")).first()[0] or 0
+    genome = t.spark.createDataFrame([("ref", "ACGGTCA" * (last // 7 + 1))], "chr string, sequence string")
+    return sinks.snp_vcf(snps, genome)
+
+
 @query("SELECT pbid, member FROM x_group")
 def s23_groups(t: Tables) -> DataFrame:
     packed = t.x_group.groupBy("pbid").agg(F.concat_ws(",", F.collect_list(F.concat(F.lit("s|"), "member"))).alias("members"))
@@ -398,12 +411,15 @@ def t08_ranked_bases(t: Tables) -> DataFrame:
 
 
 def _sites(t: Tables) -> DataFrame:
-    return phasing.callable_positions(_clean(t), t.x_pile.select(F.col("chr_no").alias("chr"), "pos", "ref"), min_cov=2)
+    return phasing.callable_positions(_clean(t), t.x_pile.select(F.col("chr_no").alias("chr"), "pos", "ref"))
 
 
 @query()
 def e19_called_variants(t: Tables) -> DataFrame:
-    return phasing.call_variants(_clean(t), _sites(t), p_cut=1e6, error=0.2).withColumn("pvalue", F.round("pvalue", 9))
+    """All bases, stacked on fewer positions so that some stand out from error by the usual thresholds."""
+    pile = t.x_pile.select(F.col("chr_no").alias("chr"), (F.col("pos") % 100).alias("pos"), "base", "ref")
+    clean = phasing.clean_counts(phasing.base_counts(pile))
+    return phasing.call_variants(clean, phasing.callable_positions(clean, pile.select("chr", "pos", "ref"))).withColumn("pvalue", F.round("pvalue", 9))
 
 
 @query(f"SELECT chr, pos + 1 AS pos1, string_agg(base, '/' ORDER BY n DESC, base) AS bases, string_agg(CAST(n AS STRING), '/' ORDER BY n DESC, base) AS counts FROM ({_COUNTS}) GROUP BY chr, pos")
@@ -481,6 +497,19 @@ def a24_locus_summary(t: Tables) -> DataFrame:
     return phasing.locus_summary(haps.groupBy("chr").agg(F.count("*").alias("size")), none, haps)
 
 
+@query(
+    f"""WITH h AS (SELECT chr, CASE WHEN read_id % 7 = 0 THEN substr(hap, 1, 1) || '?' || substr(hap, 3, 1) ELSE hap END AS hap FROM ({_HAP})),
+  v AS (SELECT chr, count(*) AS num_snp FROM (SELECT chr, pos FROM ({_COUNTS}) GROUP BY chr, pos, ref HAVING count(*) >= 2 AND sum(n) >= 10) GROUP BY 1),
+  l AS (SELECT chr, count(*) AS size, count(DISTINCT CASE WHEN hap NOT LIKE '%?%' THEN hap END) AS num_hap, count(DISTINCT CASE WHEN hap LIKE '%?%' THEN hap END) AS num_hap_partial FROM h GROUP BY 1)
+  SELECT chr, size, coalesce(num_snp, 0) AS num_snp, num_hap, num_hap_partial FROM l LEFT JOIN v USING (chr)"""
+)
+def a24_locus_summary_whole(t: Tables) -> DataFrame:
+    """Loci with variant positions, and partial haplotypes where a base is missing."""
+    partial = F.concat(F.substring("hap", 1, 1), F.lit("?"), F.substring("hap", 3, 1))
+    haps = _haps(t).withColumn("hap", F.when(F.col("read_id") % 7 == 0, partial).otherwise(F.col("hap")))
+    return phasing.locus_summary(haps.groupBy("chr").agg(F.count("*").alias("size")), _sites(t), haps)
+
+
 _REGIONS = """SELECT chr, min(s) AS ref_start, max(e) AS ref_end FROM (SELECT *, sum(new) OVER (PARTITION BY chr ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
   FROM (SELECT chr, greatest(s - 50, 0) AS s, e + 50 AS e FROM x_exon))) GROUP BY chr, g"""
 
@@ -636,3 +665,15 @@ def s24_repair_map(t: Tables) -> DataFrame:
     return singlecell.repair_map(clean, empty)
 
 
+@query(
+    """SELECT DISTINCT reverse(translate(bc, 'ACGT', 'TGCA')) AS from_bc, reverse(translate(bc_ed, 'ACGT', 'TGCA')) AS to_bc FROM umi_bc_error_correct
+  WHERE regexp_matches(bc, '^[ACGT]+$') AND regexp_matches(bc_ed, '^[ACGT]+$') AND (bc_match = 'Y' OR bc <> bc_ed)"""
+)
+def s24_repair_map_whole(t: Tables) -> DataFrame:
+    """Both reports: matched rows as the clean one; of the others, the tags corrected to each as the synthesis one."""
+    rows = t.umi_bc_error_correct.filter("bc RLIKE '^[ACGT]+$' AND (bc_ed IS NULL OR bc_ed = 'NA' OR bc_ed RLIKE '^[ACGT]+$')")
+    matched = F.coalesce(F.col("bc_match") == "Y", F.lit(False))
+    clean = rows.select(F.col("bc").alias("cell_barcode"), F.col("bc_ed").alias("repaired_to"), F.when(matched, "TRUE").otherwise("FALSE").alias("repaired")).filter("repaired_to RLIKE '^[ACGT]+$'")
+    others = rows.filter(~matched & ~F.col("bc").eqNullSafe(F.col("bc_ed")))
+    synthesis = others.groupBy(F.col("bc_ed").alias("intended_sequence")).agg(F.concat_ws(":", F.collect_set("bc")).alias("related_sequences"))
+    return singlecell.repair_map(clean, synthesis)

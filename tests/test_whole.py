@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
-from strandlake.operators import rarefaction
+from strandlake.operators import phasing, rarefaction
 from strandlake.plans import genomics
 from strandlake.plans.registry import Tables
 from tests.test_queries import SF
@@ -77,3 +77,22 @@ def test_orphans_are_counted_by_table_and_day(spark):
     found = {tuple(r) for r in run(spark, "p2_found").select("ref_table", "ref_field", "ref_day", "reason", "ref_key").collect()}
     counted = run(spark, "p2_counts").select("ref_table", "ref_field", "ref_day", "reason", "n_keys").collect()
     assert counted and Counter(r[:4] for r in found) == Counter({tuple(r)[:4]: r.n_keys for r in counted})
+
+
+def test_variants_are_called_by_significance(spark, monkeypatch):
+    given, plain = [], phasing.call_variants
+    monkeypatch.setattr(phasing, "call_variants", lambda clean, sites, **rest: given.append(rest) or plain(clean, sites, **rest))
+    run(spark, "e19_called_variants")
+    assert given == [{}]
+    # One odd base in forty is error; ten are a variant.
+    counts = [("a", 1, "A", "A", 39), ("a", 1, "A", "C", 1), ("a", 2, "A", "A", 30), ("a", 2, "A", "C", 10)]
+    clean = spark.createDataFrame(counts, "chr string, pos bigint, ref string, base string, n bigint")
+    sites = spark.createDataFrame([("a", 1, 40, 2), ("a", 2, 40, 2)], "chr string, pos bigint, cov bigint, n_types bigint")
+    assert {(r.pos, r.base) for r in plain(clean, sites).collect()} == {(2, "A"), (2, "C")}
+
+
+def test_second_inputs_are_read(spark):
+    loci = run(spark, "a24_locus_summary_whole").collect()
+    assert any(r.num_hap_partial > 0 for r in loci)
+    assert not any("N" in r.ref + r.alt for r in run(spark, "k08_snp_vcf_whole").collect())
+    assert run(spark, "s24_repair_map_whole").count() > run(spark, "s24_repair_map").count()
