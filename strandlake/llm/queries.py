@@ -34,8 +34,8 @@ def p5_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.when(umi.isNotNull() & bc.isNotNull(), F.struct(bc, umi, F.col("gene")))
     rows = rows.withColumn("day", F.date_format("deduped_at", "yyyy-MM-dd"))
     keys = ["day", "gene", "cluster"]
-    parts = distinct.registers(rows, keys, {"umi_ed": umi, "bc_ed": bc, "bc_ed_umi_ed_gene": both})
-    return distinct.distinct_by_combination(parts, keys)
+    measures = {"umi_ed": umi, "bc_ed": bc, "bc_ed_umi_ed_gene": both}
+    return distinct.distinct_by_combination(distinct.registers(rows, keys, measures), keys, list(measures))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
