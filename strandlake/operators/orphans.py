@@ -1,11 +1,12 @@
 """References to records that do not exist, or not at the time of the reference.
 
-References are first reduced to one row for each key and day, with the first and last
-time, so that a key with very many references has at most as many rows as there are
-days.  Of these, keys that still hold a large share meet their target rows by
-broadcast, if these are few enough; all others meet them by a shuffle.  Only the days of
-a key on which its target comes or goes between two references are looked at reference
-by reference.
+References are first reduced to one row for each key and day, with their number and the
+first and last time.  By these numbers the keys that hold a large share of all references
+are heavy.  A heavy key whose target rows are few, which is checked, meets them by
+broadcast, reference by reference where these are read, so none of them is shuffled.  All
+other keys meet their target rows by a shuffle, a day at a time; only the days on which a
+target comes or goes between two references are looked at one reference at a time, by key
+and day.  The orphans of both ways are put together.
 """
 
 from __future__ import annotations
@@ -15,16 +16,22 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.skew import hot_keys
 from strandlake.operators.sweep import periods_and_gaps
-from strandlake.session import stage
+from strandlake.session import stage, unstage
 
 #: A target row that was never removed holds up to this time, in microseconds.
 FOREVER = 1 << 62
-#: Target rows of hot keys up to which they are broadcast.
-BROADCAST_ROWS = 200_000
+#: A key with more than one in so many references is heavy; there are at most so many heavy keys.
+HEAVY_SHARE = 256
+#: References up to which no key is heavy.
+LEAST_REFERENCES = 256
+#: Periods of the target rows of a heavy key up to which they are broadcast: at most HEAVY_SHARE times as many rows.
+BROADCAST_PERIODS = 1000
+#: Slices of the references of one key and day, where these are a large share and could not be met by broadcast.
+SLICES = 64
 
 _KEY = ["ref", "key"]
+_DAY = [*_KEY, "day"]
 
 
 def micros(c: Column | str) -> Column:
@@ -45,26 +52,65 @@ def validity(targets: DataFrame) -> DataFrame:
     return first.join(periods.select(*_KEY, F.col("start_pos").alias("s"), F.col("end_pos").alias("e")), _KEY, "left")
 
 
-def _meet(rows: DataFrame, targets: DataFrame, hot: DataFrame | None, condition: Column | None, how: str) -> DataFrame:
-    """Join on the key and a condition: hot keys by broadcast, all others by a shuffle."""
+def _day(t: str) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(t) / 86_400_000_000).cast("int"))
 
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnsRenamed({"ref": "t_ref", "key": "t_key"})
-        on = (F.col("ref") == F.col("t_ref")) & (F.col("key") == F.col("t_key"))
-        return left.join(right, on if condition is None else on & condition, how)
 
-    if hot is None:
-        return joined(rows, targets)
-    even = joined(rows.join(hot, _KEY, "left_anti"), targets.join(hot, _KEY, "left_anti"))
-    return even.unionByName(joined(rows.join(hot, _KEY, "left_semi"), F.broadcast(targets.join(hot, _KEY, "left_semi"))))
+def heavy_keys(daily: DataFrame, periods: DataFrame, limit: int) -> list[tuple]:
+    """Keys with more than ``limit`` references and few target periods: at most HEAVY_SHARE, as (ref, key)."""
+    many = daily.groupBy(*_KEY).agg(F.sum("n").alias("_n")).filter(F.col("_n") > limit).select(*_KEY)
+    held = periods.join(F.broadcast(many), _KEY, "left_semi").groupBy(*_KEY).count()
+    few = many.join(held, _KEY, "left").filter(F.coalesce("count", F.lit(0)) <= BROADCAST_PERIODS)
+    return [tuple(r) for r in few.select(*_KEY).collect()]  # at most HEAVY_SHARE rows
 
 
-def _hot(rows: DataFrame, targets: DataFrame) -> DataFrame | None:
-    """Keys that hold a large share of ``rows``, if their target rows may be broadcast."""
-    hot = F.broadcast(stage(hot_keys(rows, _KEY, rows.count()), "hot-keys"))  # at most 256 rows
-    if hot.isEmpty() or targets.join(hot, _KEY, "left_semi").limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return None
-    return hot
+def _by_broadcast(timed: DataFrame, periods: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Orphans of heavy keys: every reference meets the periods of its key where it is read."""
+    period = F.when(F.col("s").isNotNull(), F.struct("s", "e"))
+    known = periods.withColumn("known", F.lit(True))
+    lookup = heavy.join(known, _KEY, "left").groupBy(*_KEY).agg(F.min("first_loaded").alias("first"), F.max("known").alias("known"), F.collect_list(period).alias("periods"))
+    holds = F.exists("periods", lambda p: (p["s"] <= F.col("t")) & (p["e"] > F.col("t")))
+    reason = F.when(F.col("known").isNull(), "missing").when(F.col("t") < F.col("first"), "late").when(~holds, "deleted")
+    met = timed.join(F.broadcast(lookup), _KEY).select(*_DAY, reason.alias("reason")).filter("reason is not null")
+    return met.groupBy(*_DAY, "reason").agg(F.count("*").alias("n"))
+
+
+def _by_shuffle(timed: DataFrame, daily: DataFrame, periods: DataFrame, limit: int, scratch: list[DataFrame]) -> DataFrame:
+    """Orphans of all other keys: days first, then the references of days within which a target comes or goes."""
+    known = periods.groupBy(*_KEY).agg(F.min("first_loaded").alias("first"), F.lit(True).alias("known"))
+    spans = periods.filter("s is not null").select(*_KEY, "s", "e")
+    other = spans.withColumnsRenamed({"ref": "t_ref", "key": "t_key"})
+    touches = (F.col("ref") == F.col("t_ref")) & (F.col("key") == F.col("t_key")) & (F.col("s") <= F.col("t1")) & (F.col("e") > F.col("t0"))
+    states = daily.join(other, touches, "left").groupBy(*_DAY, "t0", "t1", "n").agg(
+        F.max(F.coalesce((F.col("s") <= F.col("t0")) & (F.col("e") > F.col("t1")), F.lit(False))).alias("covered"), F.count("s").alias("touched")
+    )
+    states = states.filter("not covered").join(known, _KEY, "left")
+    # All references of such a day have one reason.
+    whole = (
+        F.when(F.col("known").isNull(), "missing")
+        .when(F.col("t1") < F.col("first"), "late")
+        .when((F.col("touched") == 0) & (F.col("first").isNull() | (F.col("t0") >= F.col("first"))), "deleted")
+    )
+    states = stage(states.select(*_DAY, "n", "first", whole.alias("reason")), "uncovered-days")
+    scratch.append(states)
+    by_day = states.filter("reason is not null").select(*_DAY, "reason", "n")
+
+    mixed = states.filter("reason is null").select(*_DAY, "first", "n")
+    large = F.broadcast(mixed.filter(F.col("n") > limit).drop("n").withColumn("large", F.lit(True)))  # at most HEAVY_SHARE rows
+    small = mixed.filter(F.col("n") <= limit).drop("n").withColumn("large", F.lit(False))
+    rows = timed.join(large, _DAY).unionByName(timed.join(large, _DAY, "left_anti").join(small, _DAY))
+    single = stage(rows.groupBy(*_DAY, "t", "first", "large").agg(F.count("*").alias("n")), "single-references")
+    scratch.append(single)
+    late = single.filter("t < first").groupBy(*_DAY).agg(F.sum("n").alias("n")).select(*_DAY, F.lit("late").alias("reason"), "n")
+    # No period covers all references of such a day, so each one that holds for some of them begins or ends on that day.
+    ends = spans.select(*_KEY, F.explode(F.array_distinct(F.array(_day("s"), F.when(F.col("e") < FOREVER, _day("e"))))).alias("day"), "s", "e").filter("day is not null")
+    slices = F.when(F.coalesce("large", F.lit(False)), F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
+    ends = ends.join(large.drop("first"), _DAY, "left").withColumn("slice", F.explode(slices)).drop("large")
+    sliced = single.filter("first is null or t >= first").withColumn("slice", F.when(F.col("large"), F.pmod(F.hash("t"), F.lit(SLICES))).otherwise(0))
+    on = [sliced[c].eqNullSafe(ends[c]) if c == "ref" else sliced[c] == ends[c] for c in (*_DAY, "slice")]
+    deleted = sliced.join(ends, [*on, F.col("s") <= F.col("t"), F.col("e") > F.col("t")], "left_anti")
+    deleted = deleted.groupBy(*_DAY).agg(F.sum("n").alias("n")).select(*_DAY, F.lit("deleted").alias("reason"), "n")
+    return by_day.unionByName(late).unionByName(deleted)
 
 
 def orphan_references(references: DataFrame, targets: DataFrame) -> DataFrame:
@@ -74,47 +120,32 @@ def orphan_references(references: DataFrame, targets: DataFrame) -> DataFrame:
     ``targets``: ``ref``, ``key``, ``loaded``, ``removed`` (microseconds).  A target row holds if
     loaded <= t and it is not removed or removed later than t.
 
-    Rows: ``ref``, ``day`` (a date, UTC), ``key`` and ``reason`` (``missing``: no target row has the
-    key; ``late``: all are loaded after t; else ``deleted``), each combination once.  Null keys
-    are no references and no targets; a reference with a null time has no day and is left
-    out; a target row with a null ``loaded`` never holds, but its key is not missing; repeated
+    Rows: ``ref``, ``day`` (a date, UTC), ``key``, ``reason`` (``missing``: no target row has the
+    key; ``late``: all are loaded after t; else ``deleted``) and ``n``, the number of references,
+    repeated ones included; each combination of the first four once.  Null keys are no
+    references and no targets; a reference with a null time has no day and is left out; a
+    target row with a null ``loaded`` never holds, but its key is not missing; repeated target
     rows change nothing; empty tables are allowed; other columns are not read.
     """
-    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("t") / 86_400_000_000).cast("int"))
-    timed = references.filter("key is not null and t is not null").select(*_KEY, "t", day.alias("day"))
-    daily = timed.groupBy(*_KEY, "day").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    daily, targets = stage(daily, "references-by-day"), stage(validity(targets), "validity")
-    met = _meet(daily, targets, _hot(daily, targets), (F.col("s") <= F.col("t1")) & (F.col("e") > F.col("t0")) | F.col("s").isNull(), "left")
-    states = met.groupBy(*_KEY, "day", "t0", "t1").agg(
-        F.max(F.coalesce((F.col("s") <= F.col("t0")) & (F.col("e") > F.col("t1")), F.lit(False))).alias("covered"),
-        F.count("s").alias("touched"),
-    )
-    open_days = stage(states.filter("not covered"), "open-days")
-    first = targets.groupBy(*_KEY).agg(F.min("first_loaded").alias("first"), F.lit(True).alias("known"))
-    open_days = _meet(open_days, first, _hot(open_days, first), None, "left").select(*_KEY, "day", "t0", "t1", "touched", "first", "known")
-    open_days = stage(open_days, "open-days")
-
-    by_day = open_days.select(
-        *_KEY,
-        "day",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when(F.col("known").isNull(), F.lit("missing")),
-                    F.when(F.col("t0") < F.col("first"), F.lit("late")),
-                    # With no period of the day, the last reference is one to a removed row, unless it is early.
-                    F.when(F.col("known") & (F.col("touched") == 0) & (F.col("first").isNull() | (F.col("t1") >= F.col("first"))), F.lit("deleted")),
-                )
-            )
-        ).alias("reason"),
-    )
-    mixed = open_days.filter("touched > 0").select(*_KEY, "day", "first")
-    one_by_one = timed.distinct().join(mixed, [*_KEY, "day"]).filter("t >= first")
-    one_by_one = stage(one_by_one, "single-references")
-    deleted = _meet(one_by_one, targets.filter("s is not null"), _hot(one_by_one, targets), (F.col("s") <= F.col("t")) & (F.col("e") > F.col("t")), "left_anti")
-    return by_day.unionByName(deleted.select(*_KEY, "day", F.lit("deleted").alias("reason")).distinct()).distinct().select("ref", "day", "key", "reason")
+    spark = references.sparkSession
+    timed = references.filter("ref is not null and key is not null and t is not null").select(*_KEY, "t", _day("t").alias("day"))
+    daily = stage(timed.groupBy(*_DAY).agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n")), "references-by-day")
+    periods = stage(validity(targets), "validity")
+    scratch = [daily, periods]
+    limit = max((daily.agg(F.sum("n")).first()[0] or 0) // HEAVY_SHARE, LEAST_REFERENCES)
+    heavy = heavy_keys(daily, periods, limit)
+    if heavy:
+        listed = F.broadcast(spark.createDataFrame(heavy, daily.select(*_KEY).schema))
+        cold = timed.join(listed, _KEY, "left_anti"), daily.join(listed, _KEY, "left_anti")
+        found = _by_shuffle(*cold, periods, limit, scratch).unionByName(_by_broadcast(timed, periods, listed))
+    else:
+        found = _by_shuffle(timed, daily, periods, limit, scratch)
+    found = stage(found.select("ref", "day", "key", "reason", "n"), "orphans")
+    for df in scratch:
+        unstage(df)
+    return found
 
 
 def orphan_counts(orphans: DataFrame, by: Iterable[str] = ("ref", "day", "reason")) -> DataFrame:
-    """Number of distinct orphan keys for each reference, day and reason."""
-    return orphans.groupBy(*by).agg(F.countDistinct("key").alias("n_keys"))
+    """Orphans for each reference, day and reason: ``n_keys`` (distinct keys) and ``n_references``."""
+    return orphans.groupBy(*by).agg(F.countDistinct("key").alias("n_keys"), F.sum("n").alias("n_references"))

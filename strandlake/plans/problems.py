@@ -23,7 +23,7 @@ def _key(field: str, in_sample: bool) -> Column:
     return F.concat(F.col("sample"), F.lit(":"), key_value(field)) if in_sample else key_value(field)
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, targets = [], []
     for ref, (table, field, target, target_field) in enumerate(REFERENCES):
         number, in_sample = F.lit(ref).alias("ref"), ref == 0
@@ -31,15 +31,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         refs.append(rows.select(number, _key(field, in_sample).alias("key"), orphans.micros("loaded_at").alias("t")))
         times = [orphans.micros("loaded_at").alias("loaded"), orphans.micros("removed_at").alias("removed")]
         targets.append(of_target.select(number, _key(target_field, in_sample).alias("key"), *times))
-    found = orphans.orphan_references(reduce(DataFrame.unionByName, refs), reduce(DataFrame.unionByName, targets))
+    return orphans.orphan_references(reduce(DataFrame.unionByName, refs), reduce(DataFrame.unionByName, targets))
+
+
+def _named() -> list[Column]:
     tables, fields = (F.element_at(F.array(*(F.lit(r[i]) for r in REFERENCES)), F.col("ref") + 1) for i in (0, 1))
-    day = F.date_format("day", "yyyy-MM-dd").alias("ref_day")
-    return found.select(tables.alias("ref_table"), fields.alias("ref_field"), day, F.col("key").alias("ref_key"), "reason")
+    return [tables.alias("ref_table"), fields.alias("ref_field"), F.date_format("day", "yyyy-MM-dd").alias("ref_day")]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orphans(spark, sf_dir).select(*_named(), F.col("key").alias("ref_key"), "reason")
 
 
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of orphan keys of each table, field, day and reason."""
-    return orphans.orphan_counts(p2_found(spark, sf_dir).withColumnRenamed("ref_key", "key"), ("ref_table", "ref_field", "ref_day", "reason"))
+    """Orphan keys and referring rows per table, field, day and reason."""
+    return orphans.orphan_counts(_orphans(spark, sf_dir)).select(*_named(), "reason", "n_keys", "n_references")
 
 
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,15 +87,15 @@ def _orphans_sql() -> str:
     for ref, (table, field, target, target_field) in enumerate(REFERENCES):
         before = "sample || ':' || " if ref == 0 else ""
         parts.append(
-            f"""SELECT '{table}' AS ref_table, '{field}' AS ref_field, r.t, r.k,
+            f"""SELECT '{table}' AS ref_table, '{field}' AS ref_field, r.t, r.k, r.n AS n_rows,
               count(x.k) AS n, count(*) FILTER (WHERE x.l <= r.t) AS early,
               count(*) FILTER (WHERE x.l <= r.t AND (x.d IS NULL OR x.d > r.t)) AS holds
-            FROM (SELECT DISTINCT loaded_at AS t, {before}({_ref_key(field)}) AS k FROM {table}) r
+            FROM (SELECT loaded_at AS t, {before}({_ref_key(field)}) AS k, count(*) AS n FROM {table} GROUP BY 1, 2) r
             LEFT JOIN (SELECT DISTINCT loaded_at AS l, removed_at AS d, {before}({_ref_key(target_field)}) AS k FROM {target}) x ON r.k = x.k
-            WHERE r.k IS NOT NULL AND r.t IS NOT NULL GROUP BY r.t, r.k"""
+            WHERE r.k IS NOT NULL AND r.t IS NOT NULL GROUP BY r.t, r.k, r.n"""
         )
-    return f"""SELECT DISTINCT ref_table, ref_field, strftime(t, '%Y-%m-%d') AS ref_day, k AS ref_key,
-      CASE WHEN n = 0 THEN 'missing' WHEN early = 0 THEN 'late' ELSE 'deleted' END AS reason
+    return f"""SELECT ref_table, ref_field, strftime(t, '%Y-%m-%d') AS ref_day, k AS ref_key,
+      CASE WHEN n = 0 THEN 'missing' WHEN early = 0 THEN 'late' ELSE 'deleted' END AS reason, n_rows
       FROM ({" UNION ALL ".join(parts)}) WHERE holds = 0"""
 
 
@@ -99,8 +105,9 @@ _GENE_AND_BC = f"""SELECT 'gene' AS field, {_plain("gene")} AS key_value, ({_tag
 
 def oracle_sql() -> dict:
     return {
-        "p2_found": _orphans_sql(),
-        "p2_counts": f"SELECT ref_table, ref_field, ref_day, reason, count(DISTINCT ref_key) AS n_keys FROM ({_orphans_sql()}) GROUP BY ALL",
+        "p2_found": f"SELECT DISTINCT ref_table, ref_field, ref_day, ref_key, reason FROM ({_orphans_sql()})",
+        "p2_counts": f"""SELECT ref_table, ref_field, ref_day, reason, count(DISTINCT ref_key) AS n_keys, CAST(sum(n_rows) AS BIGINT) AS n_references
+          FROM ({_orphans_sql()}) GROUP BY ref_table, ref_field, ref_day, reason""",
         "p3_found": f"""SELECT field, key_value FROM (SELECT field, key_value, count(*) AS n FROM ({_GENE_AND_BC}) WHERE key_value IS NOT NULL GROUP BY 1, 2)
           QUALIFY n * 50 >= sum(n) OVER (PARTITION BY field)""",
         "p3_counts": f"""SELECT field, key_value, count(*) AS n_rows, count(DISTINCT tag) AS n_tags FROM ({_GENE_AND_BC})

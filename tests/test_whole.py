@@ -75,7 +75,8 @@ def test_molecules_of_any_gene_count(spark, tmp_path):
 
 def test_orphans_are_counted_by_table_and_day(spark):
     found = {tuple(r) for r in run(spark, "p2_found").select("ref_table", "ref_field", "ref_day", "reason", "ref_key").collect()}
-    counted = run(spark, "p2_counts").select("ref_table", "ref_field", "ref_day", "reason", "n_keys").collect()
+    counted = run(spark, "p2_counts").collect()
+    assert all(r.n_references >= r.n_keys for r in counted)
     assert counted and Counter(r[:4] for r in found) == Counter({tuple(r)[:4]: r.n_keys for r in counted})
 
 
