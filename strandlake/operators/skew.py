@@ -16,14 +16,15 @@ def hot_keys(df: DataFrame, keys: list[str], rows: int, share: int = HOT_SHARE,
     return df.groupBy(*keys).count().filter(F.col("count") > max(rows // share, least)).select(*keys)
 
 
-def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least_rows: int = LEAST_ROWS, least: int = 1 << 12) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least_rows: int = LEAST_ROWS, least: int = 1 << 12, rows: int | None = None) -> DataFrame:
     """Join ``left`` with ``right``, whose keys are unique, by ``how`` (inner, left, left_semi or left_anti).
 
     Hot keys of ``left`` meet their rows of ``right`` by broadcast, at most HOT_SHARE rows;
     all others are shuffled.  Null keys match nothing and, for left and left_anti, stay.
-    ``left`` is read three times, so give a staged table or a scan.
+    ``left`` is read three times, so give a staged table or a scan.  ``rows``, if given, is about
+    the number of its rows and saves counting them.
     """
-    rows = left.count()
+    rows = left.count() if rows is None else rows
     if rows < least_rows:
         return left.join(right, keys, how)
     hot = F.broadcast(hot_keys(left.dropna(subset=keys), keys, rows, least=least))
