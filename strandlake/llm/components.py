@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.skew import join_unique
+from strandlake.operators.skew import LEAST_ROWS, join_unique
 from strandlake.session import stage, unstage
 
 
@@ -32,11 +32,12 @@ def _hook(edges: DataFrame, seed: int) -> DataFrame:
     return nearest.select("v", F.least("w", fresh_key("v", seed)).alias("w"))
 
 
-def _relabel(edges: DataFrame, names: DataFrame) -> DataFrame:
+def _relabel(edges: DataFrame, names: DataFrame, many: int) -> DataFrame:
     """Edges between the new names, each once, without loops."""
-    half = join_unique(edges, names.withColumnsRenamed({"v": "a", "w": "x"}), ["a"]).select("x", "b")
-    half = stage(half, "half-relabelled")
-    whole = join_unique(half, names.withColumnsRenamed({"v": "b", "w": "y"}), ["b"])
+    half = join_unique(edges, names.withColumnsRenamed({"v": "a", "w": "x"}), ["a"], rows=many).select("x", "b")
+    if many >= LEAST_ROWS:  # as the second join looks for hot keys of its own
+        half = stage(half, "half-relabelled")
+    whole = join_unique(half, names.withColumnsRenamed({"v": "b", "w": "y"}), ["b"], rows=many)
     out = stage(whole.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     unstage(half)
     return out
@@ -63,9 +64,9 @@ def groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
     a, b = name(F.col("l")), name(F.col("r"))
     edges = stage(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
     names: list[DataFrame] = []
-    while not edges.isEmpty():
+    while many := edges.count():  # the numbers of rows stand in the written files
         names.append(stage(_hook(edges, len(names) + 1), "names"))
-        left_over = _relabel(edges, names[-1])
+        left_over = _relabel(edges, names[-1], many)
         unstage(edges)
         edges = left_over
     unstage(edges)
@@ -73,12 +74,18 @@ def groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
         return values.select("value", F.col("value").alias("group_value"))
     # A group is named by the round that finished it and its name in that round.
     label = names[-1].withColumn("round", F.lit(len(names)))
+    used = [names[-1]]
     for at in range(len(names) - 2, -1, -1):
         later = label.select(F.col("v").alias("w"), F.col("w").alias("later"), F.col("round").alias("later_round"))
         label = join_unique(names[at], later, ["w"], "left").select(
             "v", F.coalesce("later", "w").alias("w"), F.coalesce("later_round", F.lit(at + 1)).alias("round")
         )
         label = stage(label, "labels")
+        for df in (names[at], *used):
+            unstage(df)
+        used = [label]
     named = stage(values.join(label, "v").select("value", "round", "w"), "named")
+    for df in (values, *used):
+        unstage(df)
     least = named.groupBy("round", "w").agg(F.min("value").alias("group_value"))
     return join_unique(named, least, ["round", "w"]).select("value", "group_value")

@@ -24,6 +24,29 @@ def found(spark, docs, items):
     return {tuple(r) for r in leaks.leaked_items(docs, items).collect()}
 
 
+def plain_spans(docs, items, n=12):
+    """Runs of the item's words that lie in n words the document has, and their share."""
+    out = set()
+    for i, t in items:
+        words = [w.lower() for w in WORD.findall(t or "")]
+        for d, text in docs:
+            if i is None or d is None or not (of_doc := grams(text, n)):
+                continue
+            leaked = [False] * len(words)
+            for k in range(len(words) - n + 1):
+                if tuple(words[k : k + n]) in of_doc:
+                    leaked[k : k + n] = [True] * n
+            cuts = [k for k in range(len(words) + 1) if (k < len(words) and leaked[k]) != (k > 0 and leaked[k - 1])]
+            out |= {(i, d, s, e, round(sum(leaked) / len(words), 9)) for s, e in zip(cuts[::2], cuts[1::2])}
+    return out
+
+
+def found_spans(spark, docs, items, **options):
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS item", "2 AS places")
+    items = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 AS doc")
+    return {(*r[:4], round(r.share, 9)) for r in leaks.leaked_spans(docs, items, **options).collect()}
+
+
 def case():
     rng = random.Random(11)
     word = lambda: rng.choice(["alpha", "Beta", "GAMMA9", "x", "y1", "zeta", "w" * 80])
@@ -54,6 +77,40 @@ def test_by_shuffle_and_full_bitmap(spark, monkeypatch):
     assert found(spark, docs, items) == plain(docs, items)
 
 
+def test_hot_fingerprint_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(leaks, "SLICES", 3)
+    passage = " ".join(f"w{i}" for i in range(12))
+    docs = [(i, f"{passage} tail{i}") for i in range(4_600)] + [(9_999, "other words")]
+    items = [(1, f"before {passage}"), (2, f"x y z {passage} after"), (3, "nothing here")]
+    assert found(spark, docs, items) == {(i, d) for i in (1, 2) for d in range(4_600)}
+
+
+def test_spans_against_all_word_runs(spark):
+    docs, items = case()
+    items = [x for x in items if x[0] is not None]
+    docs = [(d, t) for d, t in docs if d != 0] + [(0, docs[0][1])]
+    got = found_spans(spark, docs, items)
+    assert got == plain_spans(docs, items)
+    assert {x[:2] for x in got} == found(spark, docs, items)
+    turned = {(d, i, s, e, share) for i, d, s, e, share in found_spans(spark, docs, items, of_documents=True)}
+    assert turned == plain_spans([x for x in items if x[1]], docs)
+
+
+def test_long_shared_run_is_one_span(spark):
+    words = [f"w{i}" for i in range(300)]
+    docs = [(1, "a b " + " ".join(words[:250]) + " c"), (2, " ".join(words[20:40]) + " gap " + " ".join(words[100:111]))]
+    assert found_spans(spark, docs, [(7, " ".join(words))]) == {(7, 1, 0, 250, round(250 / 300, 9)), (7, 2, 20, 40, round(20 / 300, 9))}
+
+
+def test_repeated_phrases_join_few_rows(spark):
+    phrase = "one two three four five six seven eight "
+    docs = spark.createDataFrame([(1, phrase * 1000)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(2, phrase * 100)], "item_id bigint, text string")
+    assert leaks._hits(docs, items, 12, 8, "doc_id", "item_id", "text").count() <= 100
+    assert leaks.leaked_spans(docs, items).collect()[0][:4] == (2, 1, 0, 800)
+
+
 def test_empty_tables_and_names(spark):
     assert found(spark, [], [(1, "a " * 12)]) == set()
     assert found(spark, [(1, "a " * 12)], []) == set()

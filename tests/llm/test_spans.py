@@ -1,6 +1,9 @@
 import random
 
-from strandlake.llm import spans
+import numpy as np
+import pytest
+
+from strandlake.llm import rolling, spans
 
 
 def plain(docs, n):
@@ -29,7 +32,7 @@ def plain(docs, n):
 
 
 def found(spark, docs, n, **options):
-    df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS id", "2 AS first", "3 AS p1").repartition(3)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS id", "2 AS first", "3 AS p", "4 AS wanted").repartition(3)
     return {tuple(r) for r in spans.shared_spans(df, n, **options).collect()}
 
 
@@ -63,7 +66,38 @@ def test_copies_in_one_record_only(spark):
     assert found(spark, [], 40) == set()
 
 
-def test_full_bitmap_changes_nothing(spark, monkeypatch):
+def test_full_bitmap_changes_nothing_and_stages_no_more(spark, monkeypatch):
     docs = case()
-    monkeypatch.setattr(spans.rolling, "MOST_BITS", 6)
+    staged, plain_stage = {}, spans.stage
+
+    def stage(df, label):
+        out = plain_stage(df, label)
+        staged.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(spans, "stage", stage)
+    assert found(spark, docs, 40) == plain(docs, 40)
+    monkeypatch.setattr(spans.rolling, "MOST_BITS", 5)
     assert found(spark, docs, 40) == plain(docs, 40)
+    assert staged["minimisers"][1] > 1 << 4  # so the bitmap would be more than half full
+    assert staged["pieces"][1] <= staged["pieces"][0]
+
+
+def test_windows_with_equal_hashes_are_compared():
+    rng = random.Random(5)
+    text = "".join(rng.choice("ab") for _ in range(400))
+    pieces = [text, text[:90] + "c" + text[91:], text[50:200]]
+    codes, at, piece_of, place, h1, h2 = spans._windows_of(pieces, 20, (rolling.CodeHash(5), rolling.CodeHash(6)))
+    exact = {}
+    for i, (p, k) in enumerate(zip(piece_of.tolist(), place.tolist())):
+        exact.setdefault(pieces[p][k : k + 20], set()).add(i)
+    for a, b in ((h1, h2), (np.zeros_like(h1), np.zeros_like(h2)), (h1 % np.uint64(7), h2 % np.uint64(2))):
+        order, starts = spans._groups(codes, at, a, b, 20)
+        assert {frozenset(x.tolist()) for x in np.split(order, starts[1:])} == {frozenset(x) for x in exact.values()}
+
+
+def test_shares(spark):
+    docs = [(1, "x" * 10 + "abcdefgh" * 10), (2, "abcdefgh" * 10), (3, "other"), (4, None), (5, ""), (None, "abc"), (3, "other")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in spans.shared_shares(df, spans.shared_spans(df, 40)).collect()}
+    assert got == {1: (90, 80, pytest.approx(8 / 9)), 2: (80, 80, 1.0), 3: (5, 0, 0.0), 4: (0, 0, None), 5: (0, 0, None)}
