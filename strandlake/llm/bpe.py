@@ -16,6 +16,8 @@ from itertools import chain, groupby
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.session import prepare
+
 #: Where the public vocabularies lie; never copied into the package.
 TOKENIZERS = os.environ.get("STRANDLAKE_TOKENIZERS", "/opt/tokenizers")
 
@@ -220,6 +222,7 @@ def encode(df: DataFrame, text: str = "text", id_column: str = "doc_id", vocabul
     No special tokens are added, and text that looks like one is plain text.  Texts are
     encoded whole.  Other columns of ``df`` are dropped.  No shuffle.
     """
+    prepare(df.sparkSession)
     path = vocabulary or os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
     with open(path, "rb") as file:
         content = df.sparkSession.sparkContext.broadcast(file.read())  # one vocabulary file: its size is fixed
