@@ -67,13 +67,11 @@ def g_run(seq: Column | str, least: int = 3) -> Column:
     return F.struct(F.when(found > 0, found - 1).otherwise(none).alias("start"), F.when(found > 0, found - 1 + run).otherwise(none).alias("end"))
 
 
-def splice_motif(sequence: Column | str, left: Column | str, right: Column | str, strand: Column | str) -> Column:
-    """Donor and acceptor dinucleotides of a junction (0-based last base of the exon before and first of the exon after)."""
-    sequence, left, right = _col(sequence), _col(left), _col(right)
-    first = F.upper(F.substring(sequence, left.cast("int") + 2, F.lit(2)))
-    second = F.upper(F.substring(sequence, right.cast("int") - 1, F.lit(2)))
-    plus = F.concat_ws("-", first, second)
-    minus = F.concat_ws("-", reverse_complement(second), reverse_complement(first))
+def splice_motif(donor: Column | str, acceptor: Column | str, strand: Column | str) -> Column:
+    """Motif such as ``GT-AG`` from the two bases after an exon and the two before the next one, on the reference strand."""
+    first, second = F.upper(_col(donor)), F.upper(_col(acceptor))
+    plus = F.concat(first, F.lit("-"), second)
+    minus = F.concat(reverse_complement(second), F.lit("-"), reverse_complement(first))
     return F.when(_col(strand) == "-", minus).otherwise(plus)
 
 
@@ -83,13 +81,6 @@ def shade_index(highest: Column | str, cpm: Column | str) -> Column:
     return F.when(cpm <= 0, 19).otherwise(F.least(F.lit(19), F.ceil(3 * F.log2(highest / cpm)))).cast("bigint")
 
 
-def splice_sequence(sequence: Column | str, exons: Column | str, strand: Column | str) -> Column:
-    """Concatenated exon sequences, reverse-complemented on the minus strand."""
-    parts = F.transform(_col(exons), lambda x: F.substring(_col(sequence), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
-    joined = F.array_join(parts, "")
-    return F.when(_col(strand) == "-", reverse_complement(joined)).otherwise(joined)
-
-
 def recover_quality(full: Column | str, quality: Column | str, part: Column | str) -> Column:
     """The quality of ``part`` within ``full`` or within its reverse complement; null if it isn't there."""
     full, quality, part = _col(full), _col(quality), _col(part)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.session import prepare
+
 # Scores of the alignment and limits of the splitting.
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 2, -5, 3, 1
 MIN_SCORE, MIN_PIECE, MIN_REST, PADDING = 60, 50, 150, 3
@@ -84,6 +86,7 @@ def split_reads(reads: DataFrame, linkers: dict[str, list[tuple[str, str]]], seq
     Short pieces are dropped before they are numbered.  A read with a null or unknown flag or a
     null or short sequence gives no row.
     """
+    prepare(reads.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -120,6 +123,7 @@ def error_runs(bits: str, penalty: int = 4, least: int = 10, plus: int = 1) -> l
 
 def with_error_runs(df: DataFrame, bits: str, penalty: int = 4, least: int = 10) -> DataFrame:
     """Add ``error_runs``, the stretches of ``bits`` as text ``first-last`` joined by commas; null for null."""
+    prepare(df.sparkSession)
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

@@ -13,6 +13,7 @@ from strandlake.operators import compare
 from strandlake.operators.grouped import map_groups
 from strandlake.operators.intervals import islands
 from strandlake.operators.ranges import number_rows
+from strandlake.session import prepare
 
 EXONS = "array<struct<start:bigint,end:bigint>>"
 
@@ -200,6 +201,7 @@ def collapse(
     order of merging.  Null or empty exons are left out; ties go by id; reads given twice
     count once.
     """
+    prepare(records.sparkSession)
     rows = records.filter(F.size("exons") > 0).select("read_id", "chr", "strand", F.col("exons").cast(EXONS).alias("exons"))
     shape = F.xxhash64("chr", "strand", compare.exon_text("exons"))
     rows = rows.withColumn("shape", shape)
@@ -272,6 +274,7 @@ def without_subsets(records: DataFrame, gene: str = "gene", key: str = "pbid", f
     Pairs of a gene are taken in the order of start, end and id, and a dropped isoform
     drops no other.  A gene's isoforms are compared within one task.
     """
+    prepare(records.sparkSession)
     columns = records.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

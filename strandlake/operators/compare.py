@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandlake.session import prepare_active
+
 Exons = Sequence[tuple[int, int]]
 
 #: No limit on the difference of the outer ends.
@@ -89,6 +91,7 @@ def as_exons(value) -> list[tuple[int, int]]:
 
 def relation_of(a: Column | str, b: Column | str, strand: Column | str, fuzzy: int = 0, max_5_diff: int = ANY, max_3_diff: int = ANY) -> Column:
     """``relation`` of two columns of exon arrays; null if one of them is null or empty."""
+    prepare_active()
 
     @F.pandas_udf("string")
     def run(x: pd.Series, y: pd.Series, s: pd.Series) -> pd.Series:

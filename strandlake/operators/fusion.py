@@ -11,7 +11,7 @@ from strandlake.functions.sequence import reverse_complement
 from strandlake.operators import compare
 from strandlake.operators.intervals import covered_length, islands
 from strandlake.operators.ranges import number_rows
-from strandlake.session import stage
+from strandlake.session import prepare, stage
 
 #: Neighbouring loci that one call of a grouped function takes; it saves calls and changes nothing else.
 LOCI_AT_ONCE = 256
@@ -32,7 +32,7 @@ def candidates(
     order = Window.partitionBy("read_id", "chr").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     close = rows.withColumn("_gap", F.col("s") - reach).filter(F.col("_gap") < min_distance).select("read_id").distinct()
-    total = covered_length(rows, ["read_id"], "q_start", "q_end")
+    total = covered_length(rows, ["read_id"], "q_start", "q_end", small_keys=True)
     return reads.join(total, "read_id").filter(F.col("covered") >= min_total * F.col("_len")).join(close, "read_id", "left_anti").select("read_id", "n_loci")
 
 
@@ -61,6 +61,7 @@ def merge_parts(parts: DataFrame, max_point_dist: int = 100, max_exon_dist: int
     place and id a part joins the first group with all of whose members it is compatible.
     A locus is grouped within one task, equal parts being compared once.
     """
+    prepare(parts.sparkSession)
     placed = islands(parts, ["chr", "strand"], island="locus").withColumn("_some", F.floor(F.col("locus") / LOCI_AT_ONCE))
     columns = [c for c in placed.columns if c != "_some"]
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import splice_motif
 from strandlake.operators import compare
-from strandlake.operators.intervals import nearest
-from strandlake.session import stage
+from strandlake.operators.intervals import islands, nearest
+from strandlake.operators.ranges import prefix_sums
+from strandlake.operators.seqtools import cut_sequences
+from strandlake.session import prepare, stage
 
 
 def junction_rows(records: DataFrame) -> DataFrame:
@@ -26,9 +28,15 @@ def junction_report(records: DataFrame, sample: str = "sample") -> DataFrame:
 
 
 def with_motif(report: DataFrame, genome: DataFrame) -> DataFrame:
-    """Add ``genome``, the donor and acceptor bases; null without the chromosome's ``sequence``."""
-    named = genome.select(F.col("chr"), F.col("sequence").alias("_sequence"))
-    return report.join(named, "chr", "left").withColumn("genome", splice_motif("_sequence", "left", "right", "strand")).drop("_sequence")
+    """Add ``genome``, the donor and acceptor bases such as ``GT-AG``; null where the bases are not known.
+
+    ``genome``: ``chr`` and ``sequence``, or windows of it (``seqtools.sequence_windows``).
+    """
+    columns = [c for c in report.columns if c != "genome"]
+    rows = report.select(*columns, (F.col("left") + 1).alias("_a"), (F.col("left") + 3).alias("_b"), (F.col("right") - 2).alias("_c"), F.col("right").alias("_d"))
+    rows = cut_sequences(rows, genome, "_a", "_b").withColumnRenamed("piece", "_donor")
+    rows = cut_sequences(rows, genome, "_c", "_d")
+    return rows.select(*columns, splice_motif("_donor", "piece", "strand").alias("genome"))
 
 
 def with_annotation(report: DataFrame, known: DataFrame) -> DataFrame:
@@ -47,12 +55,11 @@ def labelled(report: DataFrame, radius: int = 3) -> DataFrame:
     time.  The clusters of a chromosome and strand are numbered from 0.  This stands for a
     clustering that depends on the order of insertion; the README says how they differ.
     """
+    prepare(report.sparkSession)
     key = ["chr", "strand"]
-    rows = stage(report.select(*key, "left", "right").distinct(), "junctions")
+    rows = report.select(*key, "left", "right").dropna().distinct().withColumn("_reach", F.col("left") + radius)
     # A gap wider than the radius ends all open clusters, so stretches between gaps are independent.
-    order = Window.partitionBy(*key).orderBy("left", "right")
-    gap = F.when(F.col("left") - F.lag("left").over(order) <= radius, 0).otherwise(1)
-    stretches = rows.withColumn("_gap", gap).withColumn("_stretch", F.sum("_gap").over(order))
+    stretches = islands(stage(rows, "junctions"), key, "left", "_reach", island="_stretch")
 
     def run(pdf):
         import pandas as pd
@@ -76,8 +83,7 @@ def labelled(report: DataFrame, radius: int = 3) -> DataFrame:
     some = stretches.select(*key, "left", "right", "_stretch", F.floor(F.col("_stretch") / 256).alias("_some"))
     found = stage(some.groupBy(*key, "_some").applyInPandas(run, schema), "labels")
     heads = found.groupBy(*key, "_stretch").agg((F.max("_within") + 1).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = found.join(heads.withColumn("_before", before).drop("_n"), [*key, "_stretch"])
+    numbered = found.join(prefix_sums(heads, key, ["_stretch"], "_n", "_before").drop("_n"), [*key, "_stretch"])
     label = F.concat_ws("_", "chr", "strand", (F.col("_before") + F.col("_within")).cast("string")).alias("label")
     return report.join(numbered.select(*key, "left", "right", label), [*key, "left", "right"])
 
@@ -110,17 +116,18 @@ def scrub_transcripts(records: DataFrame, kept: DataFrame, key: str = "pbid", ma
     return joined.withColumns({"exons": F.when(complete, rebuilt).otherwise(F.col("exons")), "scrubbed": complete}).drop("_j")
 
 
-def merge_equal(records: DataFrame, counts: Sequence[str] = ("count_fl",), key: str = "pbid") -> DataFrame:
+def merge_equal(records: DataFrame, counts: Sequence[str] = ("count_fl",), key: str = "pbid", members: str | None = None) -> DataFrame:
     """Merge transcripts with equal junctions, single exons with equal exons: the longest stands for all.
 
     Rows: ``chr``, ``strand``, key and ``exons`` of the longest (ties: least key), sums of
-    ``counts`` and ``n_merged``.
+    ``counts`` and ``n_merged``.  ``members``, an array column, is put together and sorted.
     """
     multi = F.size("exons") > 1
     shape = F.when(multi, F.to_json(compare.junctions("exons"))).otherwise(compare.exon_text("exons"))
     span = F.element_at("exons", -1)["end"] - F.col("exons")[0]["start"]
     rows = records.filter(F.size("exons") > 0).withColumns({"_shape": shape, "_span": span})
     best = F.struct(-F.col("_span"), F.col(key))
+    joined = [] if members is None else [F.array_sort(F.array_distinct(F.flatten(F.collect_list(members)))).alias(members)]
     return rows.groupBy("chr", "strand", "_shape").agg(
-        F.min_by(key, best).alias(key), F.min_by("exons", best).alias("exons"), *(F.sum(c).alias(c) for c in counts), F.count("*").alias("n_merged")
+        F.min_by(key, best).alias(key), F.min_by("exons", best).alias("exons"), *(F.sum(c).alias(c) for c in counts), F.count("*").alias("n_merged"), *joined
     ).drop("_shape")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.alignment import cigar_ops
+from strandlake.functions.alignment import cigar_ops, is_unmapped, sam_flag
 from strandlake.functions.sequence import hamming, reverse_complement
+from strandlake.operators.grouped import map_groups
+from strandlake.operators.intervals import islands, overlap_join
+from strandlake.operators.ranges import prefix_sums
+from strandlake.session import prepare, stage
 
 _POSITION = ["chr", "pos"]
 
@@ -29,14 +33,22 @@ def base_counts(pile: DataFrame) -> DataFrame:
     return pile.groupBy(*_POSITION, "ref", "base").agg(F.count("*").alias("n"))
 
 
-def near_homopolymer(positions: DataFrame, least: int = 4) -> DataFrame:
-    """Add ``near_hp``: whether the position or a neighbour lies in a run of at least ``least`` equal reference bases."""
-    order = Window.partitionBy("chr").orderBy("pos")
+def near_homopolymer(positions: DataFrame, least: int = 4, stretch: int = 1 << 16) -> DataFrame:
+    """Add ``near_hp``: whether the position or a neighbour lies in a run of at least ``least`` equal reference bases.
+
+    Positions (``chr``, ``pos``, ``ref``) are distinct.  They are looked at in stretches of fixed
+    size that overlap by more than ``least``, so no task has a whole chromosome.
+    """
+    halo = least + 1
+    parts = F.array_distinct(F.array(*(F.floor((F.col("pos") + d) / stretch) for d in (-halo, 0, halo))))
+    rows = positions.withColumn("_part", F.explode(parts))
+    order = Window.partitionBy("chr", "_part").orderBy("pos")
     new = F.when((F.lag("ref").over(order) == F.col("ref")) & (F.lag("pos").over(order) == F.col("pos") - 1), 0).otherwise(1)
-    runs = positions.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
-    sized = runs.withColumn("_hp", F.count("*").over(Window.partitionBy("chr", "_run")) >= least)
+    runs = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
+    sized = runs.withColumn("_hp", F.count("*").over(Window.partitionBy("chr", "_part", "_run")) >= least)
     beside = lambda f, d: F.coalesce(F.when(f("pos").over(order) == F.col("pos") + d, f("_hp").over(order)), F.lit(False))
-    return sized.withColumn("near_hp", F.col("_hp") | beside(F.lag, -1) | beside(F.lead, 1)).drop("_new", "_run", "_hp")
+    near = sized.withColumn("near_hp", F.col("_hp") | beside(F.lag, -1) | beside(F.lead, 1))
+    return near.filter(F.floor(F.col("pos") / stretch) == F.col("_part")).drop("_new", "_run", "_hp", "_part")
 
 
 def callable_positions(clean: DataFrame, positions: DataFrame, min_cov: int = 10, hp: int = 4) -> DataFrame:
@@ -55,43 +67,52 @@ def ranked_bases(clean: DataFrame) -> DataFrame:
     return clean.withColumn("rank", F.row_number().over(order).cast("bigint"))
 
 
-def fisher_greater(a: int, b: int, c: int, d: int) -> float:
-    """One-sided Fisher exact test of a 2 x 2 table: the chance of ``a`` or more, all sums being fixed."""
-    g = math.lgamma
+def fisher_greater(a: int, b: int, c: int, d: int, logs: np.ndarray | None = None) -> float:
+    """One-sided Fisher exact test of a 2 x 2 table: the chance of ``a`` or more, all sums being fixed.
+
+    ``logs``, if given, has the logarithms of the factorials from 0 on.
+    """
     row, other, column = a + b, c + d, a + c
-    total = row + other
+    g = log_factorials(row + other) if logs is None else logs
+    k = np.arange(max(a, column - other), min(row, column) + 1)
+    if not len(k):
+        return 0.0
+    choose = lambda n, k: g[n] - g[k] - g[n - k]
+    return min(1.0, float(np.exp(choose(row, k) + choose(other, column - k) - choose(row + other, column)).sum()))
 
-    def choose(n: int, k: int) -> float:
-        return g(n + 1) - g(k + 1) - g(n - k + 1)
 
-    base = choose(total, column)
-    chances = [math.exp(choose(row, k) + choose(other, column - k) - base) for k in range(a, min(row, column) + 1) if column - k <= other]
-    return min(1.0, math.fsum(chances))
+def log_factorials(most: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))])
 
 
-def call_variants(clean: DataFrame, sites: DataFrame, p_cut: float = 0.01, error: float = 0.005, fdr: bool = False) -> DataFrame:
+def call_variants(clean: DataFrame, sites: DataFrame, p_cut: float = 0.01, error: float = 0.005, fdr: float | None = None) -> DataFrame:
     """Bases that stand out from sequencing error at the callable ``sites``, the most frequent base always
     among them: ``chr``, ``pos``, ``ref``, ``base``, ``n``, ``rank``, ``pvalue`` (null for the first base).
 
-    The expected table is rounded down.  P values are multiplied by the number of tests, or,
-    with ``fdr``, pass up to the largest rank whose p value lies below its share of ``p_cut``.
-    A position where no other base stands out gives no row.
+    The expected table is rounded down.  P values are multiplied by the number of tests and must
+    then lie below ``p_cut``.  With ``fdr``, those of at most ``p_cut`` are ranked, and all up to
+    the largest one that lies below ``fdr`` times its share of the ranks pass.  A position where no
+    other base stands out gives no row.
     """
+    prepare(clean.sparkSession)
     rows = ranked_bases(clean).join(sites.select(*_POSITION, "cov", "n_types"), _POSITION)
 
     @F.pandas_udf("double")
     def pvalue(n: pd.Series, cov: pd.Series) -> pd.Series:
-        table = lambda x, c: (int(x), int(c - x), math.floor(c * error), math.floor(c * (1 - error)))
-        return pd.Series([fisher_greater(*table(x, c)) for x, c in zip(n, cov)])
+        # Each different pair of counts is tested once.
+        pairs, at = np.unique(np.stack([n.to_numpy(dtype=np.int64), cov.to_numpy(dtype=np.int64)]), axis=1, return_inverse=True)
+        logs = log_factorials(2 * int(pairs[1].max())) if pairs.size else None
+        found = [fisher_greater(x, c - x, int(c * error), int(c * (1 - error)), logs) for x, c in pairs.T.tolist()]
+        return pd.Series(np.array(found, dtype=float)[at.ravel()])
 
     rows = rows.withColumn("pvalue", F.when(F.col("rank") > 1, pvalue(F.col("n"), F.col("cov"))))
-    if fdr:
+    if fdr is not None:
+        rows = stage(rows, "tested-bases")
         tested = rows.filter((F.col("rank") > 1) & (F.col("pvalue") <= p_cut))
-        total = tested.agg(F.count("*").alias("_m"))
-        placed = tested.groupBy("pvalue").agg(F.count("*").alias("_k"))
-        place = F.sum("_k").over(Window.orderBy("pvalue"))  # one row for each different p value of counts, which are few
-        last = placed.withColumn("_place", place).crossJoin(total).filter(F.col("pvalue") <= F.col("_place") / F.col("_m") * p_cut).agg(F.max("pvalue").alias("_last"))
-        rows = rows.crossJoin(F.broadcast(last)).withColumn("_ok", F.col("pvalue") <= F.col("_last")).drop("_last")
+        placed = prefix_sums(tested.groupBy("pvalue").agg(F.count("*").alias("_k")), [], ["pvalue"], "_k", "_before")
+        total = tested.count()
+        last = placed.filter(F.col("pvalue") < (F.col("_before") + F.col("_k")) / F.lit(float(max(total, 1))) * fdr).agg(F.max("pvalue")).first()[0]
+        rows = rows.withColumn("_ok", F.col("pvalue") <= F.lit(last).cast("double"))
     else:
         tests = sites.agg(F.sum("n_types").alias("_tests"))
         rows = rows.crossJoin(F.broadcast(tests)).withColumn("_ok", F.col("pvalue") * F.col("_tests") < p_cut).drop("_tests")
@@ -100,70 +121,146 @@ def call_variants(clean: DataFrame, sites: DataFrame, p_cut: float = 0.01, error
     return rows.withColumn("_any", called).filter(F.col("_any") & (F.col("_ok") | (F.col("rank") == 1))).select(*_POSITION, "ref", "base", "n", "rank", "pvalue")
 
 
-def aligned_bases(reads: DataFrame) -> DataFrame:
-    """Base of each read at each reference position it aligns to: ``read_id``, ``chr``, ``pos``, ``base``.
+def numbered_sites(variants: DataFrame, by: str = "chr") -> DataFrame:
+    """The variant positions of each locus, numbered from 0: by, ``pos``, ``place``.  A locus has few by nature."""
+    order = Window.partitionBy(by).orderBy("pos")
+    return variants.select(by, "pos").distinct().withColumn("place", (F.row_number().over(order) - 1).cast("bigint"))
+
+
+def site_bases(reads: DataFrame, sites: DataFrame, by: str = "chr") -> DataFrame:
+    """Base of each read at each variant position that it aligns to: ``read_id``, by, ``place``, ``base``.
 
-    ``reads``: ``read_id``, ``chr``, ``s`` (0-based), ``cigar``, ``seq``.
+    ``reads``: ``read_id``, by, ``s`` (0-based), ``cigar`` and ``seq`` in the direction of the reference.
+    Only the aligned blocks meet the positions, and only where they overlap.
     """
-    rows = reads.select("read_id", "chr", "s", "seq", F.posexplode(cigar_ops("cigar")).alias("_i", "_op")).select("read_id", "chr", "s", "seq", "_i", "_op.*")
-    before = Window.partitionBy("read_id", "chr", "s", "seq").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    moved = lambda *kinds: F.coalesce(F.sum(F.when(F.col("op").isin(*kinds), F.col("n")).otherwise(0)).over(before), F.lit(0))
-    placed = rows.withColumns({"_r": F.col("s") + moved("M", "D", "N", "=", "X"), "_q": moved("M", "I", "S", "=", "X")}).filter(F.col("op").isin("M", "=", "X"))
-    steps = placed.select("read_id", "chr", "seq", "_r", "_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("_k"))
-    return steps.select("read_id", "chr", (F.col("_r") + F.col("_k")).alias("pos"), F.substring("seq", (F.col("_q") + F.col("_k") + 1).cast("int"), F.lit(1)).alias("base"))
+    ops = reads.filter("seq is not null").select("read_id", by, "s", "seq", cigar_ops("cigar").alias("_ops"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("q"), F.lit(0).cast("bigint").alias("n"), F.lit("").alias("op"))
 
+    def step(done: Column, x: Column) -> Column:
+        # The block of this operation begins where the one before ends.
+        last = F.element_at(done, -1)
+        r = last["r"] + F.when(last["op"].isin("M", "D", "N", "=", "X"), last["n"]).otherwise(0)
+        q = last["q"] + F.when(last["op"].isin("M", "I", "S", "=", "X"), last["n"]).otherwise(0)
+        return F.concat(done, F.array(F.struct(r.alias("r"), q.alias("q"), x["n"].cast("bigint").alias("n"), x["op"].alias("op"))))
 
-def haplotype_strings(bases: DataFrame, variants: DataFrame, partial: bool = False) -> DataFrame:
-    """The bases of each read at the variant positions of its chromosome, in order: ``read_id``, ``chr``, ``hap``.
+    placed = ops.select("read_id", by, "s", "seq", F.explode(F.aggregate("_ops", F.array(zero), step)).alias("_b")).filter(F.col("_b.op").isin("M", "=", "X"))
+    blocks = placed.select("read_id", by, "seq", (F.col("s") + F.col("_b.r")).alias("_from"), F.col("_b.q").alias("_q"), (F.col("s") + F.col("_b.r") + F.col("_b.n")).alias("_to"))
+    points = sites.withColumn("_next", F.col("pos") + 1)
+    met = overlap_join(blocks, points, [by], ("_from", "_to"), ("pos", "_next"))
+    base = F.upper(F.substring("seq", (F.col("_q") + F.col("pos") - F.col("_from") + 1).cast("int"), F.lit(1)))
+    return met.select("read_id", by, "place", base.alias("base")).filter("base <> ''")
 
-    A position the read doesn't cover is ``?``; such reads are left out unless ``partial``.
-    """
-    sites = variants.select(*_POSITION).distinct()
-    reads = bases.select("read_id", "chr").distinct()
-    grid = reads.join(sites, "chr").join(bases.select("read_id", *_POSITION, F.upper("base").alias("base")), ["read_id", *_POSITION], "left")
-    array = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("base", F.lit("?")).alias("b"))))
-    out = grid.groupBy("read_id", "chr").agg(array.alias("_a")).select("read_id", "chr", F.array_join(F.transform("_a", lambda x: x["b"]), "").alias("hap"))
-    out = out.filter(~F.col("hap").rlike(r"^\?*$"))
-    return out if partial else out.filter(~F.col("hap").contains("?"))
 
+def haplotype_strings(bases: DataFrame, sites: DataFrame, by: str = "chr") -> DataFrame:
+    """The bases of each read at the variant positions of its locus, in order: ``read_id``, by, ``hap``, ``n_missing``.
 
-def impute(hap: str, known: Sequence[str], least: int = 3) -> str | None:
-    """The known haplotype that agrees with ``hap`` at most places, if at ``least`` that many and more than any other."""
+    ``bases`` as ``site_bases`` gives them.  A position without a base of the read is ``?``; a read
+    without any base has no row.
+    """
+    sizes = sites.groupBy(by).agg(F.count("*").alias("_size"))
+    array = F.array_sort(F.collect_list(F.struct("place", "base")))
+    rows = bases.groupBy("read_id", by).agg(array.alias("_a")).join(sizes, by)
+    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("at"))
+    gap = lambda n: F.repeat(F.lit("?"), n.cast("int"))
+    # A place that comes twice, by two alignments of one read, counts once.
+    text = F.aggregate(
+        "_a", start, lambda acc, x: F.when(x["place"] < acc["at"], acc).otherwise(F.struct(F.concat(acc["text"], gap(x["place"] - acc["at"]), F.coalesce(x["base"], F.lit("?"))).alias("text"), (x["place"] + 1).alias("at")))
+    )
+    rows = rows.withColumn("_t", text).withColumn("hap", F.concat("_t.text", gap(F.col("_size") - F.col("_t.at"))))
+    return rows.select("read_id", by, "hap", (F.length("hap") - F.length(F.translate("hap", "?", ""))).cast("bigint").alias("n_missing"))
+
+
+def impute(hap: str, known: Sequence[str], least: int = 3) -> int | None:
+    """Number of the known haplotype that agrees with ``hap`` at most places, if at ``least`` that many and more than any other."""
     scores = sorted(((sum(x == y for x, y in zip(hap, other)), -i) for i, other in enumerate(known)), reverse=True)
     if not scores or scores[0][0] < least or len(scores) > 1 and scores[1][0] == scores[0][0]:
         return None
-    return known[-scores[0][1]]
+    return -scores[0][1]
 
 
 def phase(haps: DataFrame, variants: DataFrame, by: str = "chr") -> DataFrame:
-    """Number the haplotypes of a locus in the order of read ids and assign reads: ``read_id``, ``hap``, ``hap_idx`` (from 0).
+    """Number the haplotypes of a locus in the order of read ids and assign reads: ``read_id``, by, ``hap``, ``hap_idx`` (from 0).
 
-    A read with a base that was not called is given the known haplotype it clearly resembles,
-    else it is left out.  A locus is phased within one task.
+    A read with a base that was not called (``variants``: by, ``pos``, ``base``) is given the known
+    haplotype that it clearly resembles among those of the reads before it; where there is
+    none, ``hap`` stays and ``hap_idx`` is null.  One task has the different haplotypes of a locus, not its reads.
     """
-    called = variants.groupBy(by).agg(F.array_sort(F.collect_set(F.struct("pos", "base"))).alias("_v"))
-    rows = haps.join(called, by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("read_id")
-        alleles: dict[int, set[str]] = {}
-        for x in pdf["_v"].iloc[0]:
-            alleles.setdefault(x["pos"], set()).add(x["base"])
-        allowed = [alleles[p] | {"?"} for p in sorted(alleles)]
+    prepare(haps.sparkSession)
+    called = variants.groupBy(by, "pos").agg(F.concat_ws("", F.collect_set(F.upper("base"))).alias("_b")).groupBy(by)
+    called = called.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_b"))), lambda x: x["_b"]).alias("_v"))
+    kinds = haps.groupBy(by, "hap").agg(F.min("read_id").alias("_first"))
+    letters = F.filter(F.split("hap", ""), lambda x: x != "")
+    odd = F.exists(F.zip_with(letters, "_v", lambda b, ok: F.coalesce((b != "?") & ~F.contains(ok, b), F.lit(True))), lambda x: x)
+    kinds = kinds.join(called, by).select(by, "_first", "hap", odd.alias("_odd"))
+
+    def run(key: tuple, rows: list[tuple]) -> list[tuple]:
+        rows.sort(key=lambda x: (x[0], x[1]))
         known: list[str] = []
         out = []
-        for read, hap, key in zip(pdf["read_id"], pdf["hap"], pdf[by]):
-            if any(b not in ok for b, ok in zip(hap, allowed)):
-                hap = impute(hap, known)
-            if hap is None:
-                continue
-            if hap not in known:
+        open_haps: dict[str, int | None] = {}
+        for first, hap, is_odd in rows:
+            if is_odd:
+                open_haps[hap] = impute(hap, known)
+                out.append((*key, hap, first, None if open_haps[hap] is None else known[open_haps[hap]], open_haps[hap]))
+            else:
                 known.append(hap)
-            out.append((read, key, hap, known.index(hap)))
-        return pd.DataFrame(out, columns=["read_id", by, "hap", "hap_idx"])
-
-    kinds = {c: haps.schema[c].dataType.simpleString() for c in ("read_id", by)}
-    return rows.groupBy(by).applyInPandas(run, f"read_id {kinds['read_id']}, `{by}` {kinds[by]}, hap string, hap_idx bigint")
+                out.append((*key, hap, first, hap, len(known) - 1))
+                # From here on a read with an odd base may resemble another haplotype.
+                for other, before in list(open_haps.items()):
+                    now = impute(other, known)
+                    if now != before:
+                        open_haps[other] = now
+                        out.append((*key, other, first, None if now is None else known[now], now))
+        return out
+
+    kind, read = (haps.schema[c].dataType.simpleString() for c in (by, "read_id"))
+    found = map_groups(kinds, [by], run, f"`{by}` {kind}, hap string, _from {read}, _as string, hap_idx bigint")
+    latest = F.max_by(F.struct("_as", "hap_idx"), "_from").alias("_x")
+    met = haps.select("read_id", by, "hap").join(found, [by, "hap"]).filter(F.col("_from") <= F.col("read_id")).groupBy("read_id", by, "hap").agg(latest)
+    return met.select("read_id", by, F.coalesce("_x._as", "hap").alias("hap"), F.col("_x.hap_idx").alias("hap_idx"))
+
+
+def phase_reads(reads: DataFrame, variants: DataFrame, by: str = "chr", strand: str | None = "+", partial: bool = False, secondary: bool = True, read_direction: bool = False) -> DataFrame:
+    """Haplotypes of aligned reads, and why a read has none: ``read_id``, by, ``hap``, ``hap_idx``, ``reason``.
+
+    ``reads``: ``read_id``, by (the locus, such as the chromosome), ``flag``, ``s``, ``e`` (0-based,
+    half-open), ``cigar``, ``seq``; ``variants``: by, ``pos``, ``base``.  The first reason that holds
+    counts: ``unmapped``; ``strand is +`` or ``-``, if ``strand`` expects the other one; ``aln too short``
+    if the read doesn't span all positions; ``no base at <pos>`` for a position that it has no base at;
+    ``no variant base``; ``not called`` for a base that was not called and could not be imputed.  With
+    ``partial`` a read need not cover all positions.  Metagenomes take ``strand=None`` and
+    ``secondary=False``, which leaves secondary alignments out.  ``seq`` has the direction of the
+    reference, as in SAM, or with ``read_direction`` that of the read.  Reads of a locus without
+    variants have no row; a null ``seq`` has no base.
+    """
+    sites = stage(numbered_sites(variants, by), "sites")
+    ends = sites.groupBy(by).agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
+    turned = sam_flag("flag")["strand"]
+    rows = reads if secondary else reads.filter(F.col("flag").bitwiseAND(F.lit(256)) == 0)
+    if read_direction:
+        rows = rows.withColumn("seq", F.when(turned == "-", reverse_complement("seq")).otherwise(F.col("seq")))
+    reason = F.when(is_unmapped("flag"), "unmapped")
+    if strand is not None:
+        reason = reason.when(turned != strand, F.concat(F.lit("strand is "), turned))
+    if not partial:
+        reason = reason.when((F.col("s") > F.col("_lo")) | (F.col("e") < F.col("_hi")), "aln too short")
+    rows = rows.select("read_id", by, "flag", "s", "e", "cigar", "seq").join(ends, by).withColumn("reason", reason)
+    kept = rows.filter("reason is null")
+    haps = stage(haplotype_strings(site_bases(kept, sites, by), sites, by), "haplotypes")
+    whole = haps if partial else haps.filter("n_missing = 0")
+    phased = phase(whole, variants, by)
+    out = kept.select("read_id", by).distinct().join(haps, ["read_id", by], "left").join(phased.select("read_id", by, F.col("hap").alias("_hap"), "hap_idx", F.lit(True).alias("_met")), ["read_id", by], "left")
+    if not partial:
+        # The first position without a base.
+        gaps = out.filter("_met is null").select("read_id", by, F.greatest(F.coalesce(F.instr("hap", "?"), F.lit(1)) - 1, F.lit(0)).cast("bigint").alias("place"))
+        missing = gaps.join(sites, [by, "place"]).select("read_id", by, F.concat(F.lit("no base at "), "pos").alias("_gap"))
+        out = out.join(missing, ["read_id", by], "left")
+    else:
+        out = out.withColumn("_gap", F.lit(None).cast("string"))
+    why = F.when(F.col("hap_idx").isNotNull(), None).when(F.col("_met"), "not called").when(F.col("hap").isNull() & F.lit(partial), "no variant base").otherwise(F.col("_gap"))
+    out = out.select("read_id", by, F.coalesce("_hap", "hap").alias("hap"), "hap_idx", why.alias("reason"))
+    rejected = rows.filter("reason is not null").select("read_id", by, F.lit(None).cast("string").alias("hap"), F.lit(None).cast("bigint").alias("hap_idx"), "reason")
+    return out.unionByName(rejected)
 
 
 def tally(assigned: DataFrame, members: DataFrame, by: str = "chr") -> DataFrame:
@@ -171,48 +268,107 @@ def tally(assigned: DataFrame, members: DataFrame, by: str = "chr") -> DataFrame
     return assigned.join(members.select("pbid", F.col("member").alias("read_id")), "read_id").groupBy(by, "pbid", "hap_idx").agg(F.count("*").alias("n"))
 
 
-def allele_numbers(haps: DataFrame, by: str = "chr") -> DataFrame:
-    """Allele of each haplotype at each variant position, numbered in the order of haplotypes: by, ``hap_idx``, ``place``, ``base``, ``allele`` (null for ``?``)."""
-    rows = haps.select(by, "hap_idx", F.posexplode(F.filter(F.split("hap", ""), lambda x: x != "")).alias("place", "base"))
-    first = rows.filter("base <> '?'").groupBy(by, "place", "base").agg(F.min("hap_idx").alias("_first"))
-    number = F.row_number().over(Window.partitionBy(by, "place").orderBy("_first")) - 1
-    return rows.join(first.withColumn("allele", number.cast("bigint")), [by, "place", "base"], "left").select(by, "hap_idx", F.col("place").cast("bigint").alias("place"), "base", "allele")
+def alleles(haps: DataFrame, variants: DataFrame, by: str = "chr") -> DataFrame:
+    """Alleles at each variant position of each locus: by, ``pos``, ``place``, ``ref``, ``base``, ``allele``, ``n``.
+
+    ``haps``: by, ``hap_idx``, ``hap``; ``variants``: by, ``pos``, ``ref``, ``base``, ``n`` (reads).  The reference
+    base is 0; others count from 1 in the order of the haplotypes that have them; called
+    bases that no haplotype has follow, most frequent first.
+    """
+    sites = numbered_sites(variants, by).join(variants.groupBy(by, "pos").agg(F.min(F.upper("ref")).alias("ref")), [by, "pos"])
+    letters = haps.select(by, "hap_idx", F.posexplode(F.filter(F.split("hap", ""), lambda x: x != "")).alias("place", "base"))
+    used = letters.filter("base <> '?'").groupBy(by, F.col("place").cast("bigint").alias("place"), "base").agg(F.min("hap_idx").alias("_first")).join(sites, [by, "place"])
+    called = variants.groupBy(by, "pos", F.upper("base").alias("base")).agg(F.sum("n").alias("n")).join(sites, [by, "pos"])
+    key = [by, "pos", "place", "ref", "base"]
+    rows = used.select(*key, "_first", F.lit(0).cast("bigint").alias("n")).unionByName(called.select(*key, F.lit(None).cast("bigint").alias("_first"), "n"))
+    rows = rows.unionByName(sites.select(by, "pos", "place", "ref", F.col("ref").alias("base"), F.lit(None).cast("bigint").alias("_first"), F.lit(0).cast("bigint").alias("n")))
+    rows = rows.groupBy(*key).agg(F.min("_first").alias("_first"), F.sum("n").alias("n"))
+    order = Window.partitionBy(by, "pos").orderBy(F.when(F.col("base") == F.col("ref"), 0).otherwise(1), F.asc_nulls_last("_first"), F.desc("n"), "base")
+    return rows.select(*key, (F.row_number().over(order) - 1).cast("bigint").alias("allele"), "n")
+
+
+def haplotype_alleles(haps: DataFrame, found: DataFrame, by: str = "chr") -> DataFrame:
+    """Allele of each haplotype at each variant position: by, ``hap_idx``, ``hap``, ``pos``, ``place``, ``base``, ``allele`` (null for ``?``)."""
+    letters = haps.select(by, "hap_idx", "hap", F.posexplode(F.filter(F.split("hap", ""), lambda x: x != "")).alias("place", "base")).withColumn("place", F.col("place").cast("bigint"))
+    sites = found.select(by, "pos", "place").distinct()
+    return letters.join(sites, [by, "place"]).join(found.select(by, "place", "base", "allele"), [by, "place", "base"], "left").select(by, "hap_idx", "hap", "pos", "place", "base", "allele")
+
+
+def haplotype_tables(haps: DataFrame, found: DataFrame, assigned: DataFrame, by: str = "chr") -> dict[str, DataFrame]:
+    """Tables to read by eye: ``by_pos`` (a row for each base of a haplotype, with its kind REF or ALTn and its
+    reads), ``by_hap`` (reads of each haplotype) and ``by_read``."""
+    reads = assigned.filter("hap_idx is not null").groupBy(by, "hap_idx").agg(F.count("*").alias("n_reads"))
+    rows = haplotype_alleles(haps, found, by).filter("allele is not null").join(found.select(by, "place", "allele", "n"), [by, "place", "allele"])
+    kind = F.when(F.col("allele") == 0, "REF").otherwise(F.concat(F.lit("ALT"), F.col("allele") - 1))
+    by_pos = rows.select("hap", "hap_idx", by, (F.col("pos") + 1).alias("pos1"), (F.col("place") + 1).alias("var_idx"), kind.alias("base_kind"), "base", "n")
+    return {
+        "by_pos": by_pos,
+        "by_hap": haps.select("hap", "hap_idx", by).join(reads, [by, "hap_idx"], "left").fillna(0, ["n_reads"]).select("hap", "hap_idx", by, "n_reads"),
+        "by_read": assigned.filter("hap_idx is not null").select("read_id", "hap", "hap_idx"),
+    }
 
 
 def complement_haplotype(hap: str, alleles: Sequence[Sequence[str]]) -> str:
-    """The other allele at each place; where there aren't two, the same."""
-    return "".join(next((a for a in two if a != b), b) for b, two in zip(hap, alleles))
+    """The other allele at each place: the second one where ``hap`` has the first, else the first; where there is one only, that."""
+    return "".join(two[1] if len(two) > 1 and b == two[0] else two[0] for b, two in zip(hap, alleles))
 
 
 def differences(a: str, b: str) -> int:
+    """Places at which two haplotypes differ; ``?`` differs from any base."""
     return sum(x != y for x, y in zip(a, b))
 
 
 def diploid_pair(haps: Sequence[str], alleles: Sequence[Sequence[str]]) -> tuple[str, str, int] | None:
-    """The complete haplotype and its complement that lie nearest to all: the pair and the summed distance."""
-    pairs = []
+    """The first complete haplotype that lies, with its complement, nearest to all: the pair and the summed distance."""
+    best = None
     for hap in haps:
         if "?" not in hap:
             other = complement_haplotype(hap, alleles)
-            pairs.append((sum(min(differences(h, hap), differences(h, other)) for h in haps), hap, other))
-    return (lambda best: (best[1], best[2], best[0]))(min(pairs)) if pairs else None
+            total = sum(min(differences(h, hap), differences(h, other)) for h in haps)
+            if best is None or total < best[2]:
+                best = (hap, other, total)
+    return best
+
+
+def diploid_pairs(haps: DataFrame, variants: DataFrame, by: str = "chr") -> DataFrame:
+    """The two haplotypes of each diploid locus: by, ``hap1``, ``hap2``, ``distance`` to all its different haplotypes.
+
+    ``haps``: by, ``hap_idx``, ``hap``; ``variants``: by, ``pos``, ``base``, ``rank``, the first two of which count.
+    Ties go to the lower ``hap_idx``; a locus without a complete haplotype has no row.
+    """
+    prepare(haps.sparkSession)
+    per_site = variants.groupBy(by, "pos").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.upper("base").alias("b")))), lambda x: x["b"]), 1, 2), "").alias("_two"))
+    two = per_site.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_two"))), lambda x: x["_two"]).alias("_v"))
+    lists = haps.groupBy(by, "hap").agg(F.min("hap_idx").alias("_i")).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "hap"))), lambda x: x["hap"]).alias("_h"))
+
+    @F.pandas_udf("hap1 string, hap2 string, distance bigint")
+    def pair(h: pd.Series, v: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([diploid_pair(list(x), list(y)) or (None, None, None) for x, y in zip(h, v)], columns=["hap1", "hap2", "distance"])
+
+    return lists.join(two, by).select(by, pair("_h", "_v").alias("_p")).select(by, "_p.*").filter("hap1 is not null")
 
 
 def choose_haplotypes(counts: dict[str, int], ploidy: int, max_diff: int = 3, min_share: float | None = None) -> list[str]:
-    """Add complete haplotypes by frequency until there are ``ploidy`` or the next one brings too little:
-    it is rarer than ``min_share`` or shortens the summed distance of all reads by less than ``max_diff``."""
+    """Add complete haplotypes by frequency until there are ``ploidy`` or the next one brings too little.
+
+    It brings too little if fewer than ``min_share`` of the reads with a complete haplotype have it, or
+    if the sum of the distances of all different haplotypes, partial ones too, to the nearest
+    chosen one falls by less than ``max_diff`` (1 for haplotypes of less than twice that length).
+    """
     min_share = min(0.25, 1 / (ploidy + 4)) if min_share is None else min_share
     order = sorted((h for h in counts if "?" not in h), key=lambda h: (-counts[h], h))
-    total = sum(counts.values())
-    chosen: list[str] = []
-    for hap in order:
-        if len(chosen) == ploidy:
-            break
-        limit = 1 if len(hap) < 2 * max_diff else max_diff
-        gain = min((differences(hap, c) for c in chosen), default=limit)
-        if chosen and (gain < limit or counts[hap] < min_share * total):
+    if not order:
+        return []
+    total = sum(counts[h] for h in order)
+    limit = 1 if len(order[0]) < 2 * max_diff else max_diff
+    chosen = order[:1]
+    nearest = [differences(h, order[0]) for h in counts]
+    for hap in order[1:ploidy]:
+        with_it = [min(d, differences(h, hap)) for d, h in zip(nearest, counts)]
+        if counts[hap] < min_share * total or sum(nearest) - sum(with_it) < limit:
             break
         chosen.append(hap)
+        nearest = with_it
     return chosen
 
 
@@ -227,18 +383,27 @@ def correct_haplotypes(haps: DataFrame, chosen: DataFrame, by: str = "chr") -> D
 
 
 def clean_phasing(assigned: DataFrame, ploidy: int = 2, max_diff: int = 3, by: str = "chr") -> DataFrame:
-    """Choose the haplotypes of each locus and give each read the nearest: ``read_id``, by, ``hap``, ``corrected``, ``distance``."""
+    """Choose the haplotypes of each locus and give each read the nearest: ``read_id``, by, ``hap``, ``corrected``, ``distance``.
+
+    One task has the different haplotypes of a locus with their reads counted.  A locus without a
+    complete haplotype has no row.
+    """
+    prepare(assigned.sparkSession)
     counts = assigned.groupBy(by, "hap").agg(F.count("*").alias("n"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = choose_haplotypes(dict(zip(pdf["hap"], pdf["n"].tolist())), ploidy, max_diff)
-        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(chosen), "rank": range(len(chosen)), "hap": chosen})
+    def run(key: tuple, rows: list[tuple]) -> list[tuple]:
+        return [(*key, rank, hap) for rank, hap in enumerate(choose_haplotypes(dict(rows), ploidy, max_diff))]
 
     kind = counts.schema[by].dataType.simpleString()
-    chosen = counts.groupBy(by).applyInPandas(run, f"`{by}` {kind}, rank bigint, hap string")
+    chosen = map_groups(counts, [by], run, f"`{by}` {kind}, rank bigint, hap string")
     return assigned.select("read_id", by, "hap").join(correct_haplotypes(counts, chosen, by), [by, "hap"])
 
 
+def retally(cleaned: DataFrame, members: DataFrame, by: str = "chr") -> DataFrame:
+    """Reads by isoform and corrected haplotype: by, ``pbid``, ``corrected``, ``n``.  ``cleaned`` as ``clean_phasing`` gives it."""
+    return cleaned.join(members.select("pbid", F.col("member").alias("read_id")), "read_id").groupBy(by, "pbid", "corrected").agg(F.count("*").alias("n"))
+
+
 def adjacent_bases(haps: DataFrame, by: str = "chr") -> DataFrame:
     """How often two bases follow each other at neighbouring variant positions: by, ``place``, ``base``, ``next_base``, ``n``."""
     rows = haps.withColumn("_n", F.length("hap")).filter("_n > 1").select(by, "hap", F.explode(F.sequence(F.lit(1), F.col("_n") - 1)).alias("place"))
@@ -246,21 +411,76 @@ def adjacent_bases(haps: DataFrame, by: str = "chr") -> DataFrame:
     return rows.select(by, (F.col("place") - 1).cast("bigint").alias("place"), pair(0).alias("base"), pair(1).alias("next_base")).groupBy(by, "place", "base", "next_base").agg(F.count("*").alias("n"))
 
 
-def fake_genome(exons: DataFrame, keys: Sequence[str], flank: int = 50) -> DataFrame:
-    """Map of a joined genome of exon regions, widened by ``flank``: keys, ``fake_start``, ``ref_start``, ``ref_end`` of each region, in order."""
-    from strandlake.operators.intervals import islands
+def fake_genome(exons: DataFrame, keys: Sequence[str], flank: int = 50, pad: int = 10) -> DataFrame:
+    """Map of a joined genome of exon regions, widened by ``flank``: keys, ``fake_start``, ``ref_start``, ``ref_end`` of each region, in order.
 
+    The first region of a key begins and the last one ends ``pad`` further out; nothing begins before 0.
+    """
+    keys = list(keys)
     wide = exons.select(*keys, F.greatest(F.col("s") - flank, F.lit(0)).alias("s"), (F.col("e") + flank).alias("e"))
     regions = islands(wide, keys).groupBy(*keys, "island").agg(F.min("s").alias("ref_start"), F.max("e").alias("ref_end"))
-    before = Window.partitionBy(*keys).orderBy("ref_start").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("ref_end") - F.col("ref_start")).over(before), F.lit(0))
-    return regions.select(*keys, start.alias("fake_start"), "ref_start", "ref_end")
+    regions = stage(regions, "regions")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    last = regions.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max("island").alias("_last"))
+    regions = regions.join(last, same, "left") if keys else regions.crossJoin(F.broadcast(last))
+    first = F.when(F.col("island") == 1, F.greatest(F.col("ref_start") - pad, F.lit(0))).otherwise(F.col("ref_start"))
+    final = F.when(F.col("island") == F.col("_last"), F.col("ref_end") + pad).otherwise(F.col("ref_end"))
+    regions = regions.select(*keys, "island", first.alias("ref_start"), final.alias("ref_end")).withColumn("_size", F.col("ref_end") - F.col("ref_start"))
+    return prefix_sums(regions, keys, ["island"], "_size", "fake_start").select(*keys, "fake_start", "ref_start", "ref_end")
+
+
+def fake_sequence(regions: DataFrame, genome: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sequence of the joined genome of each key, which has the column ``chr``: keys and ``sequence``.
+
+    ``genome``: ``chr`` and ``sequence``, or windows of it as ``sequence_windows`` gives them.
+    """
+    from strandlake.operators.seqtools import cut_sequences
+
+    pieces = cut_sequences(regions.withColumns({"_s": F.col("ref_start"), "_e": F.col("ref_end")}), genome, "_s", "_e")
+    array = F.array_sort(F.collect_list(F.struct("fake_start", "piece")))
+    return pieces.groupBy(*keys).agg(F.array_join(F.transform(array, lambda x: x["piece"]), "").alias("sequence"))
+
+
+def strictly_within(transcripts: DataFrame, chr: str, start: int, end: int, strand: str) -> DataFrame:
+    """Transcripts (``exons``) of several exons that lie within a region on its strand."""
+    return transcripts.filter(
+        (F.col("chr") == chr) & (F.col("strand") == strand) & (F.size("exons") > 1) & (F.col("exons")[0]["start"] >= start) & (F.element_at("exons", -1)["end"] <= end)
+    )
+
+
+def loci_to_phase(read_stat: DataFrame, reads: DataFrame, min_reads: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Loci with enough reads, and their reads: (``locus``, ``n_reads``, ``n_zmw``) and (``locus``, ``pbid``, ``zmw``, ``seq``).
+
+    ``read_stat``: ``id``, ``pbid`` (PB.i.j); ``reads``: ``id``, ``seq``.  Rows of ``read_stat`` whose well
+    (``movie/zmw``) has no read don't count; a locus needs ``min_reads`` rows.  A well that comes
+    several times gives its read once, with the least ``pbid``.
+    """
+    well = lambda c: F.regexp_extract(c, r"^([^/]+/[0-9]+)", 1)
+    zmw = lambda c: F.when(well(c) != "", well(c)).otherwise(F.col(c))
+    known = reads.groupBy(zmw("id").alias("zmw")).agg(F.min_by("seq", "id").alias("seq"))
+    rows = read_stat.filter("pbid is not null").select("pbid", zmw("id").alias("zmw"), F.regexp_extract("pbid", r"^(.*)\.[0-9]+$", 1).alias("locus"))
+    rows = rows.join(known.select("zmw"), "zmw", "left_semi")
+    loci = rows.groupBy("locus").agg(F.count("*").alias("n_reads"), F.countDistinct("zmw").alias("n_zmw")).filter(F.col("n_reads") >= min_reads)
+    kept = rows.join(loci.select("locus"), "locus", "left_semi").groupBy("locus", "zmw").agg(F.min("pbid").alias("pbid"))
+    return loci, kept.join(known, "zmw").select("locus", "pbid", "zmw", "seq")
+
+
+def locus_configs(loci: DataFrame, records: DataFrame, lengths: DataFrame, flank: int = 50, pad: int = 10) -> DataFrame:
+    """Configuration of each locus: ``pbid``, ``ref_chr``, ``ref_strand``, ``ref_start``, ``ref_end``.
+
+    ``records``: ``pbid`` (PB.i.j), ``chr``, ``strand``, ``exons``; ``lengths``: ``chr``, ``length``.  The region is that of the
+    fake genome, within the chromosome; a locus without records is left out.
+    """
+    rows = records.withColumn("locus", F.regexp_extract("pbid", r"^(.*)\.[0-9]+$", 1)).join(loci.select("locus"), "locus", "left_semi")
+    rows = rows.groupBy("locus", "chr", "strand").agg(F.min(F.col("exons")[0]["start"]).alias("_s"), F.max(F.element_at("exons", -1)["end"]).alias("_e")).join(lengths, "chr")
+    return rows.select(
+        F.col("locus").alias("pbid"), F.col("chr").alias("ref_chr"), F.col("strand").alias("ref_strand"),
+        F.greatest(F.col("_s") - flank - pad, F.lit(0)).alias("ref_start"), F.least(F.col("_e") + flank + pad, "length").alias("ref_end"),
+    )
 
 
 def lift(positions: DataFrame, regions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Positions of the joined genome (keys, ``pos``) on the real one: adds ``ref_pos``; others are left out."""
-    from strandlake.operators.intervals import overlap_join
-
     spans = regions.withColumn("_f1", F.col("fake_start") + F.col("ref_end") - F.col("ref_start"))
     at = positions.withColumn("_p1", F.col("pos") + 1)
     met = overlap_join(at, spans, keys, ("pos", "_p1"), ("fake_start", "_f1"))
@@ -275,8 +495,6 @@ def compare_variants(ours: DataFrame, truth: DataFrame, coverage: DataFrame, rep
     rows = rows.select(*_POSITION, status.alias("status")).join(coverage.select(*_POSITION, "cov"), _POSITION, "left").fillna(0, ["cov"])
     if repeats is None:
         return rows.withColumn("in_repeat", F.lit("NA"))
-    from strandlake.operators.intervals import overlap_join
-
     hit = overlap_join(rows.withColumn("_p1", F.col("pos") + 1), repeats.select("chr", "s", "e"), ["chr"], ("pos", "_p1"), ("s", "e")).select(*_POSITION).distinct()
     return rows.join(hit.withColumn("in_repeat", F.lit("Y")), _POSITION, "left").fillna("N", ["in_repeat"])
 
@@ -300,11 +518,17 @@ def locus_summary(loci: DataFrame, variants: DataFrame, haps: DataFrame, by: str
 
 
 def phase_switches(genotypes: DataFrame, by: Sequence[str] = ("chr", "sample")) -> DataFrame:
-    """How often the genotype of a sample changes along the positions of a locus, heterozygous phased ones only: by, ``n_switch``."""
+    """How often the genotype of a sample changes along the positions of a locus: by, ``n_switch``.
+
+    Heterozygous phased genotypes are compared with the one before them; the first genotype of
+    a sample counts as that one whatever it is.  A sample has few positions in a locus by nature.
+    """
     parts = F.split("gt", r"\|")
-    het = genotypes.filter(F.col("gt").contains("|") & (F.try_element_at(parts, F.lit(1)) != F.try_element_at(parts, F.lit(2))))
-    before = F.lag("gt").over(Window.partitionBy(*by).orderBy("pos"))
-    return het.withColumn("_c", (before != F.col("gt")).cast("int")).groupBy(*by).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_switch"))
+    order = Window.partitionBy(*by).orderBy("pos")
+    het = F.coalesce(F.col("gt").contains("|") & (F.try_element_at(parts, F.lit(1)) != F.try_element_at(parts, F.lit(2))), F.lit(False))
+    rows = genotypes.withColumns({"_first": F.row_number().over(order) == 1, "_het": het}).filter("_first OR _het")
+    changed = F.col("_het") & ~F.lag("gt").over(order).eqNullSafe(F.col("gt")) & ~F.col("_first")
+    return rows.withColumn("_c", changed.cast("int")).groupBy(*by).agg(F.sum("_c").alias("n_switch"))
 
 
 def tag_reads(reads: DataFrame, assigned: DataFrame, cells: DataFrame | None = None, missing: str = "NA") -> DataFrame:
@@ -319,8 +543,3 @@ def snp_table(called: DataFrame) -> DataFrame:
     rows = called.groupBy(*_POSITION).agg(array.alias("_a"))
     text = lambda f: F.array_join(F.transform("_a", lambda x: x[f].cast("string")), "/")
     return rows.select("chr", (F.col("pos") + 1).alias("pos1"), text("base").alias("bases"), text("n").alias("counts"))
-
-
-def reverse_haplotype(hap):
-    """A haplotype read on the minus strand."""
-    return reverse_complement(hap)

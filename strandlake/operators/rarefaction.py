@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.session import prepare
+
 
 def counted(rows: DataFrame, by: Sequence[str], count: str = "fl_count", min_count: int = 1, length: tuple[int, int] | None = None) -> DataFrame:
     """Reads of each kind, after leaving out rows below ``min_count`` or outside the lengths (inclusive)."""
@@ -19,7 +21,12 @@ def counted(rows: DataFrame, by: Sequence[str], count: str = "fl_count", min_cou
 
 
 def steps(total: int, step: int, first: int = 0) -> list[int]:
-    return sorted({*range(first, total + 1, step), total})
+    """The sizes from ``first`` on, each ``step`` more, up to the number of reads."""
+    return list(range(first, total + 1, step))
+
+
+#: Reads of one kind that one row stands for while the reads are spread.
+BLOCK = 1 << 20
 
 
 def subsample(counts: DataFrame, key: str, step: int = 10_000, iterations: int = 100, seed: int = 0, category: str | None = None, first: int = 0) -> DataFrame:
@@ -34,7 +41,9 @@ def subsample(counts: DataFrame, key: str, step: int = 10_000, iterations: int =
     spark = counts.sparkSession
     total = counts.agg(F.sum("n")).first()[0] or 0
     by = [category] if category else []
-    reads = counts.select(key, *by, F.explode(F.sequence(F.lit(1), F.col("n").cast("bigint"))).alias("_read"))
+    n = F.col("n").cast("bigint")
+    blocks = counts.filter("n > 0").select(key, *by, n.alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / BLOCK))).alias("_block"))
+    reads = blocks.select(key, *by, F.explode(F.sequence(F.col("_block") * BLOCK + 1, F.least(F.col("n"), (F.col("_block") + 1) * BLOCK))).alias("_read"))
     runs = spark.range(iterations).withColumnRenamed("id", "run")
     order = F.xxhash64(key, *by, "_read", "run", F.lit(seed))
     rows = reads.crossJoin(F.broadcast(runs)).withColumn("_h", order).withColumn("_bucket", F.shiftrightunsigned("_h", 56))
@@ -60,6 +69,7 @@ def expected_richness(counts: DataFrame, step: int = 10_000, category: str | Non
 
     Of N reads, n of one kind, s drawn reads miss the kind with probability C(N - n, s) / C(N, s).
     """
+    prepare(counts.sparkSession)
     spark = counts.sparkSession
     total = counts.agg(F.sum("n")).first()[0] or 0
     by = [category] if category else []

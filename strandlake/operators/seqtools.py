@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.alignment import cigar_ops, cigar_summary, is_unmapped
-from strandlake.functions.sequence import overlap_length, splice_sequence
+from strandlake.functions.sequence import overlap_length, reverse_complement
 from strandlake.operators.intervals import overlap_join
 
 
@@ -105,10 +105,56 @@ def to_reference(positions: DataFrame, blocks: DataFrame, read: str = "read_id")
     )
 
 
+#: Bases of one window of a reference sequence.
+WINDOW = 1 << 16
+
+
+def sequence_windows(genome: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Windows of reference sequences: ``chr``, ``window`` (from 0) and ``bases``; they begin every ``size`` bases.
+
+    ``genome`` (``chr``, ``sequence``) has one row for each sequence; windows given already stay as they are.
+    """
+    if "window" in genome.columns:
+        return genome
+    count = F.floor((F.length("sequence") + size - 1) / size)
+    rows = genome.select("chr", "sequence", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(count, F.lit(1)) - 1)).alias("window"))
+    return rows.select("chr", "window", F.substring("sequence", (F.col("window") * size + 1).cast("int"), F.lit(size)).alias("bases"))
+
+
+def cut_sequences(spans: DataFrame, genome: DataFrame, start: str, end: str, size: int = WINDOW) -> DataFrame:
+    """Add ``piece``: the bases of each span (``chr``, start, end; 0-based, half-open); null if they are not all known.
+
+    Each different span meets the windows of the genome that it touches by chromosome and
+    window, so neither the spans of a chromosome nor its sequence come together in one task.
+    All rows stay.
+    """
+    windows = sequence_windows(genome, size).withColumnsRenamed({"chr": "_chr", "window": "_window"})
+    key = ["_of", "_from", "_to"]
+    kinds = spans.select(F.col("chr").alias("_of"), F.col(start).alias("_from"), F.col(end).alias("_to")).filter("_from >= 0 AND _from < _to").distinct()
+    spread = kinds.withColumn("_w", F.explode(F.sequence(F.floor(F.col("_from") / size), F.floor((F.col("_to") - 1) / size))))
+    met = spread.join(windows, (F.col("_of") == F.col("_chr")) & (F.col("_w") == F.col("_window")))
+    first = F.greatest(F.col("_from") - F.col("_w") * size, F.lit(0))
+    last = F.least(F.col("_to") - F.col("_w") * size, F.lit(size))
+    part = F.struct("_w", F.substring("bases", (first + 1).cast("int"), (last - first).cast("int")).alias("b"))
+    pieces = met.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["b"]), "").alias("piece"))
+    pieces = pieces.filter(F.length("piece") == F.col("_to") - F.col("_from"))
+    on = (F.col("chr") == F.col("_of")) & (F.col(start) == F.col("_from")) & (F.col(end) == F.col("_to"))
+    return spans.join(pieces, on, "left").drop(*key)
+
+
 def reference_sequence(records: DataFrame, genome: DataFrame) -> DataFrame:
-    """Error-free sequence of each record from its exons: adds ``seq``; null without the chromosome."""
-    named = genome.select("chr", F.col("sequence").alias("_s"))
-    return records.join(named, "chr", "left").withColumn("seq", splice_sequence("_s", "exons", "strand")).drop("_s")
+    """Error-free sequence of each record from its exons: adds ``seq``; null where bases are not known.
+
+    Each different structure (``chr``, ``strand``, ``exons``) is put together once.
+    """
+    kinds = records.select(F.col("chr").alias("_c"), F.col("exons").alias("_x")).filter(F.size("_x") > 0).distinct()
+    exons = kinds.select(F.col("_c").alias("chr"), "_x", F.posexplode("_x").alias("_i", "_e")).select("chr", "_x", "_i", F.col("_e.start").alias("_s"), F.col("_e.end").alias("_t"))
+    pieces = cut_sequences(exons, genome, "_s", "_t")
+    array = F.array_sort(F.collect_list(F.struct("_i", "piece")))
+    text = F.when(F.max(F.col("piece").isNull()), None).otherwise(F.array_join(F.transform(array, lambda x: x["piece"]), ""))
+    whole = pieces.groupBy(F.col("chr").alias("_c"), "_x").agg(text.alias("_seq"))
+    joined = records.join(whole, (F.col("chr") == F.col("_c")) & (F.col("exons") == F.col("_x")), "left")
+    return joined.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement("_seq")).otherwise(F.col("_seq"))).drop("_c", "_x", "_seq")
 
 
 def simulate_errors(records: DataFrame, sub: float, ins: float, dele: float, seed: int = 0) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.sequence import a_tail, g_run, reverse_complement
 from strandlake.operators.grouped import map_groups
 from strandlake.operators.intervals import islands
+from strandlake.session import prepare
 
 
 def _part(c: Column, first: Column | int, n: Column | int) -> Column:
@@ -103,6 +104,8 @@ def clip_adapter(reads: DataFrame, umi_len: int, adapter: str, seq: str = "seq",
     first ``search`` bases, end gaps of the read being free."""
     from strandlake.operators.aligner import best_placement
 
+    prepare(reads.sparkSession)
+
     @F.pandas_udf("bigint")
     def place(s: pd.Series) -> pd.Series:
         found = [best_placement(x[:search], adapter) if x else None for x in s]
@@ -159,6 +162,7 @@ def correct_tags(molecules: DataFrame, gene: str = "gene", bc: str = "bc", umi:
 
     A tag differs from the one that takes it in one place at most.  Null tags stay null.
     """
+    prepare(molecules.sparkSession)
     null_safe = lambda a, b: a.eqNullSafe(b)
     fix = corrections(molecules, [gene], bc).select(F.col(gene).alias("_g"), F.col(bc).alias("_b"), F.col("corrected").alias("_bc"))
     rows = molecules.join(fix, null_safe(F.col(gene), F.col("_g")) & (F.col(bc) == F.col("_b")), "left")
@@ -211,17 +215,22 @@ def parse_dedup_header(headers: DataFrame, header: str = "header") -> DataFrame:
     )
 
 
-def umi_groups(alignments: DataFrame, use_barcode: bool = True) -> DataFrame:
+def umi_groups(alignments: DataFrame, use_barcode: bool = True, members: bool = False) -> DataFrame:
     """Reads by locus and tags: ``chr``, ``island``, ``umi``, [``bc``,] ``size`` and ``n_reads_total`` of the locus.
 
-    Loci are clusters of overlapping alignments; a read counts in its first locus only.
+    Loci are clusters of overlapping alignments on both strands; a read counts in its first
+    locus only.  With ``members``, ``members`` has the read ids of the group, sorted; a group that
+    holds very many reads is then one large row.
     """
     keys = ["umi", "bc"] if use_barcode else ["umi"]
     placed = islands(alignments, ["chr"])
-    first = Window.partitionBy("read_id").orderBy("chr", "island", "s", "e")
-    once = placed.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    sizes = once.groupBy("chr", "island", *keys).agg(F.count("*").alias("size"))
-    return sizes
+    place = F.struct("chr", "island", "s", "e")
+    once = placed.filter("island is not null").groupBy("read_id").agg(*(F.min_by(c, place).alias(c) for c in ("chr", "island", *keys)))
+    counts = [F.count("*").alias("size")] + ([F.array_sort(F.collect_list("read_id")).alias("members")] if members else [])
+    sizes = once.groupBy("chr", "island", *keys).agg(*counts)
+    total = once.groupBy("chr", "island").agg(F.count("*").alias("n_reads_total"))
+    same = [F.col("chr").eqNullSafe(F.col("_chr")), F.col("island") == F.col("_island")]
+    return sizes.join(total.withColumnsRenamed({"chr": "_chr", "island": "_island"}), same, "left").drop("_chr", "_island")
 
 
 def tag_report(molecules: DataFrame) -> DataFrame:

@@ -31,3 +31,31 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     even = left.join(hot, keys, "left_anti").join(right, keys, how)
     hot_rows = left.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how)
     return even.unionByName(hot_rows)
+
+
+def join_unique_rows(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], condition, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """Left join by null-safe equality of keys and a condition, where a key has few rows on the right.
+
+    Keys that hold a large share of ``left`` meet their rows by broadcast: at most HOT_SHARE keys;
+    all others are shuffled.  ``left`` is read up to three times.
+    """
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        on = condition
+        for x, y in zip(left_keys, right_keys):
+            on = on & F.col(x).eqNullSafe(F.col(y))
+        return a.join(b, on, "left")
+
+    def among(df: DataFrame, keys: list[str], hot: DataFrame, how: str) -> DataFrame:
+        listed = hot.toDF(*(f"__hot_{i}" for i in range(len(keys))))
+        on = F.lit(True)
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"__hot_{i}"))
+        return df.join(F.broadcast(listed), on, how)
+
+    rows = left.count()
+    if rows < least_rows:
+        return joined(left, right)
+    hot = hot_keys(left, left_keys, rows)
+    even = joined(among(left, left_keys, hot, "left_anti"), right)
+    return even.unionByName(joined(among(left, left_keys, hot, "left_semi"), F.broadcast(among(right, right_keys, hot, "left_semi"))))

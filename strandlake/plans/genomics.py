@@ -414,12 +414,40 @@ def _sites(t: Tables) -> DataFrame:
     return phasing.callable_positions(_clean(t), t.x_pile.select(F.col("chr_no").alias("chr"), "pos", "ref"))
 
 
-@query()
+# Bases over 40 positions; at some of them up to a tenth of the reads have another base.
+_STACKED = """SELECT chr, pos, substr('ACGT', CAST(pos % 4 + 1 AS INT), 1) AS ref, substr('ACGT', CAST((pos + CASE WHEN e < pos % 10 THEN 1 + e % 3 ELSE 0 END) % 4 + 1 AS INT), 1) AS base, count(*) AS n
+  FROM (SELECT user_id % 2 AS chr, event_id * 7919 % 20 AS pos, (event_id * 31 + user_id * 17) % 100 AS e FROM {events}) GROUP BY ALL"""
+
+_TESTED = f"""c AS ({_STACKED.format(events="events")}), s AS (SELECT chr, pos, ref, sum(n) AS cov, count(*) AS n_types FROM c GROUP BY ALL HAVING count(*) >= 2 AND sum(n) >= 10),
+  r AS (SELECT c.*, row_number() OVER (PARTITION BY c.chr, c.pos ORDER BY n DESC, base) AS rank, CAST(cov AS BIGINT) AS cov, CAST(floor(cov * 0.005) AS BIGINT) AS x, CAST(floor(cov * 0.995) AS BIGINT) AS y FROM c JOIN s USING (chr, pos)),
+  d AS (SELECT DISTINCT n, cov, x, y FROM r WHERE rank > 1), t AS (SELECT *, unnest(range(greatest(n, n + x - (x + y)), least(cov, n + x) + 1)) AS k FROM d),
+  p AS (SELECT n, cov, least(1, sum(exp(lgamma(cov + 1) - lgamma(k + 1) - lgamma(cov - k + 1) + lgamma(x + y + 1) - lgamma(n + x - k + 1) - lgamma(y - n + k + 1) - lgamma(cov + x + y + 1) + lgamma(n + x + 1) + lgamma(cov + y - n + 1)))) AS p
+    FROM t WHERE n + x - k <= x + y GROUP BY n, cov),
+  q AS (SELECT r.chr, r.pos, r.ref, r.base, r.n, r.rank, p.p FROM r LEFT JOIN p ON r.rank > 1 AND r.n = p.n AND r.cov = p.cov)"""
+
+
+def _stacked(t: Tables) -> tuple[DataFrame, DataFrame]:
+    clean = t.spark.sql(_STACKED, events=t.events)
+    return clean, phasing.callable_positions(clean, clean)
+
+
+@query(
+    f"""WITH {_TESTED}, o AS (SELECT *, coalesce(p * (SELECT sum(n_types) FROM s) < 0.01, false) AS ok FROM q)
+  SELECT chr, pos, ref, base, n, rank, round(p, 9) AS pvalue FROM (SELECT *, bool_or(ok) OVER (PARTITION BY chr, pos) AS called FROM o) WHERE called AND (ok OR rank = 1)"""
+)
 def e19_called_variants(t: Tables) -> DataFrame:
-    """All bases, stacked on fewer positions so that some stand out from error by the usual thresholds."""
-    pile = t.x_pile.select(F.col("chr_no").alias("chr"), (F.col("pos") % 100).alias("pos"), "base", "ref")
-    clean = phasing.clean_counts(phasing.base_counts(pile))
-    return phasing.call_variants(clean, phasing.callable_positions(clean, pile.select("chr", "pos", "ref"))).withColumn("pvalue", F.round("pvalue", 9))
+    return phasing.call_variants(*_stacked(t)).withColumn("pvalue", F.round("pvalue", 9))
+
+
+@query(
+    f"""WITH {_TESTED}, g AS (SELECT round(p, 13) AS pr, max(p) AS p, count(*) AS k FROM q WHERE p <= 0.2 GROUP BY 1),
+  l AS (SELECT max(p) AS last FROM (SELECT p, sum(k) OVER (ORDER BY p) AS place, sum(k) OVER () AS m FROM g) WHERE p < place / m * 0.05),
+  o AS (SELECT q.*, coalesce(p <= last * (1 + 1e-9), false) AS ok FROM q CROSS JOIN l)
+  SELECT chr, pos, ref, base, n, rank, round(p, 9) AS pvalue FROM (SELECT *, bool_or(ok) OVER (PARTITION BY chr, pos) AS called FROM o) WHERE called AND (ok OR rank = 1)"""
+)
+def e19_called_by_rank(t: Tables) -> DataFrame:
+    """By the rank of the p value among those of at most 0.2, at a false discovery rate of 5 %."""
+    return phasing.call_variants(*_stacked(t), p_cut=0.2, fdr=0.05).withColumn("pvalue", F.round("pvalue", 9))
 
 
 @query(f"SELECT chr, pos + 1 AS pos1, string_agg(base, '/' ORDER BY n DESC, base) AS bases, string_agg(CAST(n AS STRING), '/' ORDER BY n DESC, base) AS counts FROM ({_COUNTS}) GROUP BY chr, pos")
@@ -454,11 +482,6 @@ def e26_corrected_haplotypes(t: Tables) -> DataFrame:
     return phasing.correct_haplotypes(haps, chosen)
 
 
-@query()
-def e25_clean_phasing(t: Tables) -> DataFrame:
-    return phasing.clean_phasing(_haps(t)).select("read_id", "chr", "hap", "corrected", "distance")
-
-
 @query(f"SELECT chr, place, base, next_base, count(*) AS n FROM (SELECT chr, unnest([0, 1]) AS place, hap FROM ({_HAP})), LATERAL (SELECT substr(hap, CAST(place + 1 AS INT), 1) AS base, substr(hap, CAST(place + 2 AS INT), 1) AS next_base) GROUP BY 1, 2, 3, 4")
 def f12_adjacent_bases(t: Tables) -> DataFrame:
     return phasing.adjacent_bases(_haps(t))
@@ -485,7 +508,11 @@ def a23_merged_genotypes(t: Tables) -> DataFrame:
     return phasing.merge_genotypes(_genotypes(t))
 
 
-@query(f"SELECT chr, sample, CAST(coalesce(sum(c), 0) AS BIGINT) AS n_switch FROM (SELECT chr, sample, CASE WHEN lag(gt) OVER (PARTITION BY chr, sample ORDER BY pos) <> gt THEN 1 ELSE 0 END AS c FROM ({_GT}) WHERE split_part(gt, '|', 1) <> split_part(gt, '|', 2)) GROUP BY 1, 2")
+@query(
+    f"""WITH g AS (SELECT *, row_number() OVER (PARTITION BY chr, sample ORDER BY pos) AS k FROM ({_GT})),
+  h AS (SELECT *, k > 1 AND lag(gt) OVER (PARTITION BY chr, sample ORDER BY pos) <> gt AS c FROM g WHERE k = 1 OR split_part(gt, '|', 1) <> split_part(gt, '|', 2))
+  SELECT chr, sample, CAST(sum(CASE WHEN c THEN 1 ELSE 0 END) AS BIGINT) AS n_switch FROM h GROUP BY 1, 2"""
+)
 def a25_phase_switches(t: Tables) -> DataFrame:
     return phasing.phase_switches(_genotypes(t))
 
@@ -510,8 +537,9 @@ def a24_locus_summary_whole(t: Tables) -> DataFrame:
     return phasing.locus_summary(haps.groupBy("chr").agg(F.count("*").alias("size")), _sites(t), haps)
 
 
-_REGIONS = """SELECT chr, min(s) AS ref_start, max(e) AS ref_end FROM (SELECT *, sum(new) OVER (PARTITION BY chr ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
-  FROM (SELECT chr, greatest(s - 50, 0) AS s, e + 50 AS e FROM x_exon))) GROUP BY chr, g"""
+_REGIONS = """SELECT chr, CASE WHEN g = 1 THEN greatest(ref_start - 10, 0) ELSE ref_start END AS ref_start, CASE WHEN g = max(g) OVER (PARTITION BY chr) THEN ref_end + 10 ELSE ref_end END AS ref_end
+  FROM (SELECT chr, g, min(s) AS ref_start, max(e) AS ref_end FROM (SELECT *, sum(new) OVER (PARTITION BY chr ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
+  FROM (SELECT chr, greatest(s - 50, 0) AS s, e + 50 AS e FROM x_exon))) GROUP BY chr, g)"""
 
 
 @query(f"SELECT chr, CAST(coalesce(sum(ref_end - ref_start) OVER (PARTITION BY chr ORDER BY ref_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS fake_start, ref_start, ref_end FROM ({_REGIONS})")
@@ -630,7 +658,7 @@ def a21_top_loci(t: Tables) -> DataFrame:
     """WITH i1 AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM x_aln),
   i2 AS (SELECT *, sum(new) OVER (PARTITION BY chr ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM i1),
   f AS (SELECT chr, island, concat('u', read_id % 3) AS umi, row_number() OVER (PARTITION BY read_id ORDER BY chr, island, s, e) AS n FROM i2)
-  SELECT chr, island, umi, count(*) AS size FROM f WHERE n = 1 GROUP BY 1, 2, 3"""
+  SELECT chr, island, umi, count(*) AS size, CAST(sum(count(*)) OVER (PARTITION BY chr, island) AS BIGINT) AS n_reads_total FROM f WHERE n = 1 GROUP BY 1, 2, 3"""
 )
 def a19_umi_groups(t: Tables) -> DataFrame:
     return singlecell.umi_groups(t.x_aln.withColumn("umi", F.concat(F.lit("u"), F.col("read_id") % 3)), use_barcode=False)

@@ -80,7 +80,7 @@ def e02_elementary_segments(t: Tables) -> DataFrame:
 
 @query("SELECT read_id, sum(covered) AS covered FROM (SELECT read_id, chr, max(e) - min(s) AS covered FROM (SELECT *, sum(new) OVER (PARTITION BY read_id, chr ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY read_id, chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM x_aln)) GROUP BY read_id, chr, g) GROUP BY read_id")
 def t04_covered_length(t: Tables) -> DataFrame:
-    return intervals.covered_length(t.x_aln, ["read_id", "chr"]).groupBy("read_id").agg(F.sum("covered").alias("covered"))
+    return intervals.covered_length(t.x_aln, ["read_id", "chr"], small_keys=True).groupBy("read_id").agg(F.sum("covered").alias("covered"))
 
 
 _PROBES = "SELECT concat('probe', p_partkey) AS probe, p_brand AS gene, concat('chr', p_partkey % 5) AS chr, p_partkey * 1000 + 200 AS p_s, p_partkey * 1000 + 500 AS p_e FROM {part}"

@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,7 @@ def local_session(name: str = "strandlake", cores: int | str = 8, **conf: str) -
         .config("spark.sql.shuffle.partitions", str(cores if cores != "*" else 8))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
@@ -47,6 +50,13 @@ def prepare(spark: SparkSession) -> None:
         pass
 
 
+def prepare_active() -> None:
+    """``prepare`` the active session, for functions of columns, which know no DataFrame."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        prepare(spark)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each application, as ``--py-files`` would."""
     sc = spark.sparkContext
@@ -88,6 +98,22 @@ def checkpoint_root(spark: SparkSession) -> str:
 _staged: set[str] = set()
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, the tables that operators staged within it.
+
+    An operator may return a DataFrame that reads tables it has staged, so write or collect the
+    results within the block.  Without a block they stay until the process ends.
+    """
+    before = set(_staged)
+    try:
+        yield
+    finally:
+        for path in _staged - before:
+            _remove(spark, path)
+            _staged.discard(path)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder and read it again.
 

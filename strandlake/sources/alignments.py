@@ -18,7 +18,7 @@ FIELDS = ("read_id", "flag", "chr", "pos", "mapq", "cigar", "mate_chr", "mate_po
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Lines of SAM text: the eleven fields (``pos`` from 0, ``*`` as null) and ``tags``, a map of name to value.
 
-    Header lines may stand anywhere.  A line with fewer fields is an error of the file and
+    Header lines may stand anywhere.  Of a tag that a line repeats the first one counts.  A line with fewer fields is an error of the file and
     gives nulls.
     """
     lines = spark.read.text(path).filter("value <> ''").filter(~F.col("value").rlike("^@(HD|SQ|RG|PG|CO)\t"))
@@ -30,7 +30,10 @@ def parse_sam(lines: DataFrame, value: str = "value") -> DataFrame:
     field = lambda i: F.nullif(F.try_element_at(parts, F.lit(i + 1)), F.lit("*"))
     numbers = {"flag", "pos", "mapq", "mate_pos", "tlen"}
     columns = [(field(i).cast("bigint") if name in numbers else field(i)).alias(name) for i, name in enumerate(FIELDS)]
-    tags = F.map_from_entries(F.transform(F.slice(parts, F.lit(12), F.greatest(F.size(parts) - 11, F.lit(0))), lambda x: F.struct(F.substring(x, F.lit(1), F.lit(2)), F.substring(x, F.lit(6), F.length(x)))))
+    given = F.slice(parts, F.lit(12), F.greatest(F.size(parts) - 11, F.lit(0)))
+    names = F.transform(given, lambda x: F.substring(x, F.lit(1), F.lit(2)))
+    first = F.filter(given, lambda x, i: F.array_position(names, F.substring(x, F.lit(1), F.lit(2))) == i + 1)
+    tags = F.map_from_entries(F.transform(first, lambda x: F.struct(F.substring(x, F.lit(1), F.lit(2)), F.substring(x, F.lit(6), F.length(x)))))
     rows = lines.select(*columns, tags.alias("tags"))
     return rows.withColumns({"pos": F.col("pos") - 1, "mate_pos": F.col("mate_pos") - 1})
 

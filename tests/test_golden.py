@@ -153,23 +153,88 @@ def test_fisher():
     assert phasing.fisher_greater(10, 0, 0, 10) == pytest.approx(1 / 184756)
 
 
-def test_diploid_pair():
+def test_variants_by_rank(spark):
+    clean = spark.createDataFrame([("a", p, "A", b, n) for p, m in ((1, 1), (2, 3), (3, 8), (4, 20)) for b, n in (("A", 40), ("C", m))], "chr string, pos bigint, ref string, base string, n bigint")
+    sites = clean.groupBy("chr", "pos").agg(F.sum("n").alias("cov"), F.count("*").alias("n_types"))
+    called = lambda **o: {r.pos for r in phasing.call_variants(clean, sites, **o).filter("rank > 1").collect()}
+    # p values: 0.5 (1 of 41), 0.12 (3 of 43), 0.003 (8 of 48), 2e-7 (20 of 60); eight tests.
+    assert called() == {4}
+    assert called(p_cut=0.2, fdr=0.05) == {3, 4}
+    assert called(p_cut=0.2, fdr=0.5) == {2, 3, 4}
+    # Below the cut-off only, so that one alone is ranked: equal to its level doesn't pass.
+    assert called(p_cut=0.001, fdr=1e-9) == set()
+
+
+def test_diploid_pair(spark):
     assert phasing.diploid_pair(["AC", "GT", "AT"], [["A", "G"], ["C", "T"]]) == ("AC", "GT", 1)
+    assert phasing.diploid_pair(["A?"], [["A", "G"], ["C", "T"]]) is None
+    haps = spark.createDataFrame([("x", 0, "AT"), ("x", 1, "AC"), ("x", 2, "GT"), ("x", 3, "G?"), ("y", 0, "?C")], "chr string, hap_idx bigint, hap string")
+    variants = spark.createDataFrame([(c, p, b, r) for c in "xy" for p, two in ((5, "AG"), (9, "CT")) for r, b in enumerate(two, 1)], "chr string, pos bigint, base string, rank bigint")
+    # AT with GC is 1 off AC, 1 off GT and 1 off G?; AC with GT is 1 off AT and 1 off G?.
+    assert [tuple(r) for r in phasing.diploid_pairs(haps, variants).collect()] == [("x", "AC", "GT", 2)]
+
+
+def test_haplotypes_are_chosen_by_gain(spark):
+    choose = phasing.choose_haplotypes
+    assert choose({"AAAAAA": 10, "TTTTTT": 8, "AAAAAT": 5}, 2) == ["AAAAAA", "TTTTTT"]
+    assert choose({"AAAAAA": 10, "AAAAAT": 5}, 2) == ["AAAAAA"]
+    # The distances of all haplotypes count: they fall from 2 + 3 to 1, by 4.
+    assert choose({"AAAAAA": 10, "AAAATT": 8, "TAAATT": 6}, 2) == ["AAAAAA", "AAAATT"]
+    # Partial ones are no share of the total: 3 of 13 is more than 1/6.
+    assert choose({"AAAAAA": 10, "TTTTTT": 3, "AAAAA?": 12}, 2) == ["AAAAAA", "TTTTTT"]
+    assert choose({"AAAAAA": 10, "TTTTTT": 9, "CCCCCC": 8}, 3) == ["AAAAAA", "TTTTTT", "CCCCCC"]
+    assert choose({"AAAAAA": 10, "TTTTTT": 9, "CCCCCC": 1}, 3) == ["AAAAAA", "TTTTTT"]
+    # Short haplotypes need a gain of one only.
+    assert choose({"AAA": 10, "AAT": 5}, 2) == ["AAA", "AAT"]
+    assert choose({"A?": 3}, 2) == choose({}, 2) == []
+    assigned = spark.createDataFrame([(i, "c", h) for i, h in enumerate(["AAA"] * 10 + ["AAT"] * 5 + ["CAT", "A?T"])] + [(99, "d", "A?")], "read_id bigint, chr string, hap string")
+    got = {(r.chr, r.hap, r.corrected, r.distance) for r in phasing.clean_phasing(assigned).collect()}
+    assert got == {("c", "AAA", "AAA", 0), ("c", "AAT", "AAT", 0), ("c", "CAT", "AAT", 1), ("c", "A?T", "AAT", 1)}
+    members = spark.createDataFrame([("p", 0), ("p", 15), ("q", 16)], "pbid string, member bigint")
+    assert {tuple(r) for r in phasing.retally(phasing.clean_phasing(assigned), members).collect()} == {("c", "p", "AAA", 1), ("c", "p", "AAT", 1), ("c", "q", "AAT", 1)}
+
+
+def test_imputation():
+    assert phasing.impute("ACGTA", ["ACGTT", "TTTTT"]) == 0
+    assert phasing.impute("ACGTA", ["ACGTT", "ACGTC"]) is None
+    assert phasing.impute("ACG", []) is None
 
 
-def test_haplotypes_are_chosen_by_gain():
-    assert phasing.choose_haplotypes({"AAAAAA": 10, "TTTTTT": 8, "AAAAAT": 5}, 2) == ["AAAAAA", "TTTTTT"]
-    assert phasing.choose_haplotypes({"AAAAAA": 10, "AAAAAT": 5}, 2) == ["AAAAAA"]
-    assert phasing.impute("ACGTA", ["ACGTT", "TTTTT"]) == "ACGTT"
-    assert phasing.impute("ACGTA", ["ACGTT", "ACGTC"]) is None
+READS = "read_id string, chr string, flag bigint, s bigint, e bigint, cigar string, seq string"
+
+
+def phased(spark, reads, variants, **options):
+    v = spark.createDataFrame([("c", p, b) for p, two in variants for b in two], "chr string, pos bigint, base string")
+    return {r.read_id: (r.hap, r.hap_idx, r.reason) for r in phasing.phase_reads(spark.createDataFrame(reads, READS), v, **options).collect()}
 
 
 def test_phasing_from_reads(spark):
-    reads = spark.createDataFrame([(f"r{i}", "c", 0, "6M", "ACGTAC" if i % 2 else "ATGTGC") for i in range(6)], "read_id string, chr string, s bigint, cigar string, seq string")
-    bases = phasing.aligned_bases(reads)
-    variants = spark.createDataFrame([("c", p, b) for p, two in ((1, "CT"), (4, "AG")) for b in two], "chr string, pos bigint, base string")
-    got = phasing.phase(phasing.haplotype_strings(bases, variants), variants).collect()
-    assert {(r.read_id, r.hap, r.hap_idx) for r in got} == {(f"r{i}", "CA" if i % 2 else "TG", i % 2) for i in range(6)}
+    reads = [(f"r{i}", "c", 0, 0, 6, "6M", "ACGTAC" if i % 2 else "ATGTGC") for i in range(6)]
+    reads += [
+        ("s", "c", 4, 0, 6, "6M", "ACGTAC"), ("t", "c", 16, 0, 6, "6M", "ACGTAC"), ("u", "c", 0, 2, 6, "4M", "GTAC"), ("v", "c", 0, 0, 6, "3M2D1M", "ACGC"),
+        ("w", "c", 0, 0, 6, "1S6M", "TACGTAC"), ("x", "c", 0, 0, 6, "6M", "AAGTAC"), ("y", "c", 0, 0, 6, "6M", None), ("z", "c", 0, 0, 6, "2M2I4M", "ACTTGTAC"),
+    ]
+    got = phased(spark, reads, ((1, "CT"), (4, "AG")))
+    assert got == {f"r{i}": ("CA", 1, None) if i % 2 else ("TG", 0, None) for i in range(6)} | {
+        "s": (None, None, "unmapped"), "t": (None, None, "strand is -"), "u": (None, None, "aln too short"), "v": ("C?", None, "no base at 4"),
+        "w": ("CA", 1, None), "x": ("AA", None, "not called"), "y": (None, None, "no base at 1"), "z": ("CA", 1, None),
+    }
+    partial = phased(spark, reads, ((1, "CT"), (4, "AG")), partial=True, strand=None)
+    assert partial["v"] == ("C?", 3, None) and partial["u"] == ("?A", 2, None) and partial["t"] == ("CA", 1, None) and partial["y"] == (None, None, "no variant base")
+
+
+def test_imputed_reads_see_the_haplotypes_before_them(spark):
+    sites = tuple((i, "AC") for i in range(5))
+    reads = [("a", "c", 0, 0, 5, "5M", "AAAAT"), ("b", "c", 0, 0, 5, "5M", "AAAAC"), ("c", "c", 0, 0, 5, "5M", "AAAAT"), ("d", "c", 0, 0, 5, "5M", "AAAAA"), ("e", "c", 0, 0, 5, "5M", "AAAAT")]
+    got = phased(spark, reads, sites)
+    assert [got[x][1:] for x in "abcde"] == [(None, "not called"), (0, None), (0, None), (1, None), (None, "not called")]
+    assert got["c"][0] == "AAAAC"
+
+
+def test_reads_in_their_own_direction(spark):
+    reads = [("a", "c", 16, 0, 4, "4M", "TTGC")]  # GCAA along the reference
+    assert phased(spark, reads, ((0, "GT"), (2, "AC")), strand="-", read_direction=True)["a"] == ("GA", 0, None)
+    assert phased(spark, reads, ((0, "GT"), (2, "GC")), strand="-")["a"] == ("TG", 0, None)
 
 
 def test_rarefaction_meets_its_expectation(spark):
@@ -187,7 +252,7 @@ def test_abundance(spark):
 
 
 def test_split_reads(spark):
-    link = "GTACTCTGCGTTGATACCACTGCTTAGCGCTAAGCAGTGGTATC"
+    link = "CATTGACCAGGTTCAAGCTGACTTGGCACTGATCAACGTTGCAT"
     read = "A" * 200 + link + "C" * 200
     linkers = {"F5": [("R3", link)], "R3": [("F5", link)]}
     df = spark.createDataFrame([("r", read, "F5"), ("n", None, "F5"), ("x", read, "?")], "id string, seq string, flag string")

@@ -85,13 +85,35 @@ def test_deletions_and_insertions_get_anchors(spark):
 
 
 def test_vcf_lines(spark):
-    haps = spark.createDataFrame([("c", 0, "AC"), ("c", 1, "GC")], "chr string, hap_idx bigint, hap string")
-    places = spark.createDataFrame([("c", 0, 9, "A"), ("c", 1, 20, "T")], "chr string, place bigint, pos bigint, ref string")
-    alleles = phasing.allele_numbers(haps).join(places, ["chr", "place"])
-    tally = spark.createDataFrame([("c", "PB.1.1", 0, 3), ("c", "PB.1.1", 1, 1), ("c", "PB.1.2", 0, 4)], "chr string, pbid string, hap_idx bigint, n bigint")
-    got = [r.value.split("\t") for r in sinks.vcf_lines(alleles, tally).orderBy("place").collect()]
-    assert got[0] == ["c", "10", ".", "A", "G", ".", "PASS", "AF=0.13;DP=8", "GT:HQ", "0|1:3,1", "0:4"]
-    assert got[1][3:5] == ["T", "C"] and got[1][7] == "AF=1.00;DP=8"
+    haps = spark.createDataFrame([("c", 0, "AC"), ("c", 1, "GC"), ("c", 2, "?G")], "chr string, hap_idx bigint, hap string")
+    called = [("c", 9, "A", "A", 6), ("c", 9, "A", "T", 1), ("c", 9, "A", "G", 1), ("c", 20, "T", "C", 7), ("c", 20, "T", "G", 1)]
+    found = phasing.alleles(haps, spark.createDataFrame(called, "chr string, pos bigint, ref string, base string, n bigint"))
+    # The reference is 0 even if no read has it; a called base that no haplotype has comes last.
+    assert sorted((r.pos, r.allele, r.base) for r in found.collect()) == [(9, 0, "A"), (9, 1, "G"), (9, 2, "T"), (20, 0, "T"), (20, 1, "C"), (20, 2, "G")]
+    tally = spark.createDataFrame([("c", "PB.1.1", 0, 3), ("c", "PB.1.1", 1, 1), ("c", "PB.1.2", 2, 4)], "chr string, pbid string, hap_idx bigint, n bigint")
+    got = [r.value.split("\t") for r in sinks.vcf_lines(found, phasing.haplotype_alleles(haps, found), tally).orderBy("pos").collect()]
+    assert got[0] == ["c", "10", ".", "A", "G,T", ".", "PASS", "AF=0.13,0.13;DP=8", "GT:HQ", "0|1:3,1", ".:4"]
+    assert got[1][3:5] == ["T", "C,G"] and got[1][7:] == ["AF=0.88,0.13;DP=8", "GT:HQ", "1|1:3,1", "2:4"]
+    assert sinks.vcf_header(["a"])[-1].endswith("FORMAT\ta")
+    tables_ = phasing.haplotype_tables(haps, found, spark.createDataFrame([(7, "AC", 0, "c"), (8, "AC", 0, "c")], "read_id bigint, hap string, hap_idx bigint, chr string"))
+    assert sorted((r.hap_idx, r.n_reads) for r in tables_["by_hap"].collect()) == [(0, 2), (1, 0), (2, 0)]
+    assert ("GC", 1, "c", 10, 1, "ALT0", "G", 1) in {tuple(r) for r in tables_["by_pos"].collect()} and tables_["by_read"].count() == 2
+
+
+def test_lines_for_browsers_and_hits(spark):
+    x = [{"start": 4, "end": 9}, {"start": 20, "end": 30}]
+    df = spark.createDataFrame([("a", "c", "-", x)], f"pbid string, chr string, strand string, exons {collapse.EXONS}")
+    assert [r.value for r in sinks.ucsc_lines(df).orderBy("line_no").collect()] == ["c\tNA\texon\t21\t30\t.\t-\t.\ta", "c\tNA\texon\t5\t9\t.\t-\t.\ta", "###"]
+    assert [r.value for r in sinks.exon_picture_lines(df).orderBy("line_no").collect()] == ["a exon 5 10", "a exon 21 31"]
+    hits = spark.createDataFrame([("a", "c", "-", 20, 30), ("a", "c", "-", 4, 9)], "query string, chr string, strand string, s bigint, e bigint")
+    assert [tuple(map(tuple, r.exons)) for r in sinks.hits_to_records(hits).collect()] == [((4, 9), (20, 30))]
+    with pytest.raises(Exception, match="several places"):
+        sinks.hits_to_records(hits.union(hits.selectExpr("query", "'d'", "strand", "s", "e"))).collect()
+
+
+def test_repeated_tags(spark):
+    line = "r\t0\tc\t1\t9\t2M\t*\t0\t0\tAC\t*\tNM:i:1\tXS:A:+\tNM:i:7"
+    assert alignments.parse_sam(spark.createDataFrame([(line,)], "value string")).first().tags == {"NM": "1", "XS": "+"}
 
 
 def test_groups_are_written_apart(spark, tmp_path):

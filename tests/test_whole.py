@@ -83,7 +83,7 @@ def test_orphans_are_counted_by_table_and_day(spark):
 def test_variants_are_called_by_significance(spark, monkeypatch):
     given, plain = [], phasing.call_variants
     monkeypatch.setattr(phasing, "call_variants", lambda clean, sites, **rest: given.append(rest) or plain(clean, sites, **rest))
-    run(spark, "e19_called_variants")
+    assert run(spark, "e19_called_variants").count() > 0
     assert given == [{}]
     # One odd base in forty is error; ten are a variant.
     counts = [("a", 1, "A", "A", 39), ("a", 1, "A", "C", 1), ("a", 2, "A", "A", 30), ("a", 2, "A", "C", 10)]
