@@ -13,7 +13,7 @@ from strandlake.operators import compare
 from strandlake.operators.grouped import map_groups
 from strandlake.operators.intervals import islands
 from strandlake.operators.ranges import number_rows
-from strandlake.session import prepare
+from strandlake.session import prepare, stage
 
 EXONS = "array<struct<start:bigint,end:bigint>>"
 
@@ -127,17 +127,25 @@ def merge_locus(rows: list[tuple[int, list[tuple[int, int]]]], strand: str, merg
         ([i for s, e in exons for i in range(first_at[s], last_at[e] + 1)], [key])
         for key, exons in sorted(rows, key=lambda x: (x[1][0][0], x[1][-1][1], x[0]))
     ]
+    # Only a path that begins on a segment of the one that grows may join it, and only if it goes on
+    # to the same segment next; so the paths wait by their first two segments.
+    waiting: dict[int, dict[int | None, list[int]]] = {}
+    for at, (path, _) in enumerate(queue):
+        waiting.setdefault(path[0], {}).setdefault(path[1] if len(path) > 1 else None, []).append(at)
+    taken = [False] * len(queue)
     done = []
-    while queue:
-        path, ids = queue.pop(0)
-        rest, open_to_merge = [], True
-        for other, other_ids in queue:
-            open_to_merge = open_to_merge and other[0] <= path[-1]
-            if open_to_merge and mergeable(path, other, segments, strand, merge_5, max_5_diff, max_3_diff):
-                path, ids = sorted({*path, *other}), ids + other_ids
-            else:
-                rest.append((other, other_ids))
-        queue = rest
+    for at, (path, ids) in enumerate(queue):
+        if taken[at]:
+            continue
+        taken[at], i = True, 0
+        while i < len(path):
+            by_next = waiting.get(path[i], {})
+            names = [None, path[i + 1]] if i + 1 < len(path) else list(by_next)
+            for other in sorted(x for name in names for x in by_next.get(name, ()) if x > at and not taken[x]):
+                if mergeable(path, queue[other][0], segments, strand, merge_5, max_5_diff, max_3_diff):
+                    # The joined path begins here or later, so what was passed stays as it is.
+                    path, ids, taken[other] = sorted({*path, *queue[other][0]}), ids + queue[other][1], True
+            i += 1
         done.append((path, ids))
     out = []
     for path, ids in done:
@@ -249,6 +257,29 @@ def representative(members: DataFrame, key: str, length: str, error: str | None
     return members.groupBy(key).agg(F.max_by(read, best).alias("representative"))
 
 
+def collapse_outputs(alignments: DataFrame, reads: DataFrame, limits: dict | None = None, error: str | None = None, min_reads: int = 1, **options) -> dict[str, DataFrame]:
+    """The whole collapsing of alignments: ``isoforms``, ``members``, ``representatives``, ``bad`` and ``ignored``.
+
+    ``alignments``: ``read_id``, ``chr``, ``strand``, ``exons``, ``flag``, ``q_coverage``, ``identity``; ``reads``: ``read_id``, ``seq``
+    and, if it is named, the column ``error`` with the expected errors of the read.  ``limits`` go to ``with_reason``,
+    ``options`` to ``collapse``.  Isoforms of fewer than ``min_reads`` reads are in ``bad`` only, with their members' number.
+    """
+    checked = with_reason(alignments, exons="exons", **(limits or {}))
+    collapsed = stage(collapse(checked.filter("reason is null"), **options), "collapsed")
+    enough = F.col("n_reads") >= min_reads
+    good = collapsed.filter(enough)
+    columns = ["read_id", F.length("seq").alias("_length")] + ([F.col(error).alias("_error")] if error else [])
+    known = members_of(good).withColumnRenamed("member", "read_id").join(reads.select(*columns), "read_id")
+    chosen = representative(known, "pbid", "_length", "_error" if error else None)
+    return {
+        "isoforms": isoforms_of(good),
+        "members": members_of(good),
+        "representatives": chosen.join(reads.select(F.col("read_id").alias("representative"), "seq"), "representative").select("pbid", "representative", "seq"),
+        "bad": isoforms_of(collapsed.filter(~enough)),
+        "ignored": checked.filter("reason is not null").select("read_id", "reason"),
+    }
+
+
 def transcript_stats(records: DataFrame, key: str) -> DataFrame:
     """Exonic length, genomic span and number of exons of each transcript."""
     exonic = F.aggregate("exons", F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
@@ -271,8 +302,10 @@ def multi_exon(records: DataFrame) -> DataFrame:
 def without_subsets(records: DataFrame, gene: str = "gene", key: str = "pbid", fuzzy: int = 5) -> DataFrame:
     """Drop isoforms that are 5'-degraded copies of a longer one of their gene.
 
-    Pairs of a gene are taken in the order of start, end and id, and a dropped isoform
-    drops no other.  A gene's isoforms are compared within one task.
+    Pairs of a gene and strand are taken in the order of start, end and id, and a dropped isoform
+    drops no other.  A gene's isoforms are compared within one task: those of several exons only
+    with others that end on the same 3' exon, single exons with all that overlap them.  Null or
+    empty exons are left out; a null gene is a gene of its own.
     """
     prepare(records.sparkSession)
     columns = records.columns
@@ -281,8 +314,15 @@ def without_subsets(records: DataFrame, gene: str = "gene", key: str = "pbid", f
         pdf = pdf.assign(_start=[x[0]["start"] for x in pdf["exons"]], _end=[x[-1]["end"] for x in pdf["exons"]]).sort_values(["_start", "_end", key])
         exons = [compare.as_exons(x) for x in pdf["exons"]]
         strand, gone = pdf["strand"].tolist(), set()
+        # The inner end of the 3' exon, which both of a pair must have within ``fuzzy`` if the shorter one has several exons.
+        inner = [(x[-1][0] if t == "+" else x[0][1]) // (fuzzy + 1) for x, t in zip(exons, strand)]
+        by_inner: dict[int, list[int]] = {}
+        for i, place in enumerate(inner):
+            by_inner.setdefault(place, []).append(i)
+        single = [i for i, x in enumerate(exons) if len(x) == 1]
         for i in range(len(exons)):
-            for j in range(i + 1, len(exons)):
+            near = range(i + 1, len(exons)) if len(exons[i]) == 1 else sorted({j for p in (inner[i] - 1, inner[i], inner[i] + 1) for j in by_inner.get(p, ()) if j > i} | {j for j in single if j > i})
+            for j in near:
                 if exons[j][0][0] > exons[i][-1][1] or i in gone:
                     break
                 if j in gone:
@@ -295,4 +335,4 @@ def without_subsets(records: DataFrame, gene: str = "gene", key: str = "pbid", f
         kept = [i for i in range(len(exons)) if i not in gone]
         return pd.DataFrame({c: [pdf[c].iloc[i] for i in kept] for c in columns})
 
-    return records.filter(F.size("exons") > 0).groupBy(gene).applyInPandas(run, records.schema)
+    return records.filter(F.size("exons") > 0).groupBy(gene, "strand").applyInPandas(run, records.schema)

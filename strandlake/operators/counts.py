@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import shade_index
+from strandlake.session import stage
 
 
 def abundance(read_stat: DataFrame, given_total: int | None = None) -> DataFrame:
@@ -17,12 +18,32 @@ def abundance(read_stat: DataFrame, given_total: int | None = None) -> DataFrame
     count; the share is of all counted reads unless ``given_total`` says otherwise.
     """
     counts = read_stat.filter((F.col("is_fl") == "Y") & F.col("pbid").isNotNull()).groupBy("pbid").agg(F.count("*").alias("count_fl"))
+    return _with_share(counts, given_total)
+
+
+def _with_share(counts: DataFrame, given_total: int | None) -> DataFrame:
     if given_total is not None:
         return counts.withColumn("norm_fl", F.col("count_fl") / F.lit(given_total))
+    counts = stage(counts, "counts")  # as the total and the rows are read apart
     total = counts.agg(F.sum("count_fl").alias("_total"))  # one row
     return counts.crossJoin(F.broadcast(total)).select("pbid", "count_fl", (F.col("count_fl") / F.col("_total")).alias("norm_fl"))
 
 
+def cluster_abundance(groups: DataFrame, clusters: DataFrame, given_total: int | None = None) -> DataFrame:
+    """``abundance`` of ``read_stat(groups, clusters)`` without a row for each read and isoform.
+
+    A read that lies in one cluster, as nearly all do, is counted with its cluster, and the
+    counts of clusters are added up by isoform; only reads of several clusters are looked up one by
+    one, so that a read counts once for an isoform.  Null ids match nothing.
+    """
+    of_cluster = groups.filter("pbid is not null and member is not null").select("pbid", F.col("member").alias("cluster_id")).distinct()
+    reads = clusters.filter("read_type = 'FL' AND cluster_id is not null").groupBy("read_id").agg(F.min("cluster_id").alias("_lo"), F.max("cluster_id").alias("_hi"), F.collect_set("cluster_id").alias("_all"))
+    alone = reads.filter("_lo = _hi").groupBy(F.col("_lo").alias("cluster_id")).agg(F.count("*").alias("n")).join(of_cluster, "cluster_id").select("pbid", "n")
+    several = reads.filter("_lo <> _hi").select("read_id", F.explode("_all").alias("cluster_id")).join(of_cluster, "cluster_id").select("read_id", "pbid").distinct()
+    counts = alone.unionByName(several.groupBy("pbid").agg(F.count("*").alias("n"))).groupBy("pbid").agg(F.sum("n").alias("count_fl"))
+    return _with_share(counts, given_total)
+
+
 def read_stat(groups: DataFrame, clusters: DataFrame) -> DataFrame:
     """Status of each read: ``id``, ``is_fl``, ``stat`` (unique, ambiguous or unmapped) and ``pbid``.
 
@@ -58,6 +79,23 @@ def demux_long(members: DataFrame, primers: DataFrame) -> DataFrame:
     return members.join(primers, "id").groupBy("pbid", "primer").agg(F.count("*").alias("n"))
 
 
+def demux_dense(members: DataFrame, primers: int) -> DataFrame:
+    """Full-length reads of each isoform by primer number, dense from 0 to ``primers`` - 1, for older cluster ids.
+
+    ``members``: ``pbid``, ``id``, where the id's second part between ``|`` is the primer number.
+    Columns: ``pbid`` and ``primer_0`` and so on; ids without such a number don't count.
+    """
+    number = F.expr("try_cast(try_element_at(split(id, '[|]'), 2) as int)")
+    rows = members.withColumn("_p", number)
+    return rows.groupBy("pbid").agg(*(F.count(F.when(F.col("_p") == i, 1)).alias(f"primer_{i}") for i in range(primers)))
+
+
+def group_read_stat(groups: DataFrame) -> DataFrame:
+    """A read status table from groups alone: each distinct member of an isoform is a unique full-length read."""
+    rows = groups.filter("member is not null").select(F.col("member").alias("id"), "pbid").distinct()
+    return rows.select("id", F.lit("Y").alias("is_fl"), F.lit("unique").alias("stat"), "pbid")
+
+
 def group_barcodes(matrix: DataFrame, key: str, groups: dict[str, Sequence[str]]) -> DataFrame:
     """Sums of barcode columns by output group, in long form: key, ``grp``, ``n``."""
     sums = [F.struct(F.lit(g).alias("grp"), sum((F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in cols), F.lit(0)).alias("n")) for g, cols in groups.items()]

@@ -11,8 +11,11 @@ from strandlake.functions.sequence import reverse_complement
 from strandlake.operators import compare
 from strandlake.operators.intervals import covered_length, islands
 from strandlake.operators.ranges import number_rows
+from strandlake.operators.seqtools import cut_sequences
 from strandlake.session import prepare, stage
 
+#: Bases on one side of a breakpoint.
+FLANK = 50
 #: Neighbouring loci that one call of a grouped function takes; it saves calls and changes nothing else.
 LOCI_AT_ONCE = 256
 
@@ -108,38 +111,101 @@ def shared_members(parts: DataFrame) -> DataFrame:
     return of_member.join(all_parts, "fusion_id").filter("_n = _all").select("fusion_id", "member")
 
 
-def breakpoints(parts: DataFrame) -> DataFrame:
-    """Left and right breakpoint (1-based) of two-part fusions, from ``fusion_id``, ``part`` (1 or 2), ``strand``, ``s``, ``e``."""
-    left = F.when(F.col("strand") == "+", F.col("e")).otherwise(F.col("s") + 1)
-    right = F.when(F.col("strand") == "+", F.col("s") + 1).otherwise(F.col("e"))
-    of = lambda n, c: F.max(F.when(F.col("part") == n, c))
-    return parts.groupBy("fusion_id").agg(
-        of(1, F.col("chr")).alias("left_chr"), of(1, left).alias("left_break"), of(2, F.col("chr")).alias("right_chr"), of(2, right).alias("right_break")
-    )
+def fusion_records(grouped: DataFrame, fusions: DataFrame, lengths: DataFrame) -> DataFrame:
+    """The parts of the read that stands for each fusion, the longest (ties: the largest id): ``fusion_id``, ``part``
+    (from 1, along the read), ``chr``, ``strand``, ``exons``, ``representative``, ``n_reads``.
+
+    ``grouped`` as ``merge_parts``, ``fusions`` as ``assemble`` gives them; ``lengths``: ``read_id``, ``length``.
+    """
+    best = F.struct("length", "read_id")
+    chosen = fusions.join(lengths, "read_id").groupBy("fusion_id").agg(F.max_by("read_id", best).alias("read_id"), F.max("n_reads").alias("n_reads"))
+    rows = grouped.join(chosen, "read_id")
+    part = F.row_number().over(Window.partitionBy("fusion_id").orderBy("q_start", "chr", "s", "e"))  # a read has few parts
+    return rows.select("fusion_id", part.cast("bigint").alias("part"), "chr", "strand", "exons", F.col("read_id").alias("representative"), "n_reads")
 
 
-def flank(sequence: Column | str, at: Column | str, strand: Column | str, before: bool, size: int = 50) -> Column:
-    """Bases before or after a breakpoint along the strand."""
-    sequence, at, strand = (F.col(c) if isinstance(c, str) else c for c in (sequence, at, strand))
-    low = F.substring(sequence, F.greatest(at - size + 1, F.lit(1)).cast("int"), F.least(at, F.lit(size)).cast("int"))
-    high = F.substring(sequence, at.cast("int"), F.lit(size))
-    ahead, behind = (high, low) if not before else (low, high)
-    return F.when(strand == "-", reverse_complement(behind)).otherwise(ahead)
+def ends_of(parts: DataFrame) -> DataFrame:
+    """The first and last part of each fusion with its breakpoint: ``fusion_id``, and for ``left`` and ``right`` ``_chr``,
+    ``_strand``, ``_break``, ``_exons`` (number), ``_cds`` (number, null without a ``cds`` column), ``_from`` and ``_to`` (the flank).
+
+    ``parts``: ``fusion_id``, ``part``, ``chr``, ``strand``, ``exons``.  Breakpoints are the end of the left part (on the minus
+    strand its start, from 1) and the start of the right part (on the minus strand its end).
+    """
+    start, end, plus = F.col("exons")[0]["start"], F.element_at("exons", -1)["end"], F.col("strand") == "+"
+    cds = F.size("cds").cast("bigint") if "cds" in parts.columns else F.lit(None).cast("bigint")
+
+    def side(name: str, at_end: Column, point: Column) -> Column:
+        low = F.when(at_end, F.greatest(end - FLANK, F.lit(0))).otherwise(start)
+        high = F.when(at_end, end).otherwise(start + FLANK)
+        values = {"chr": F.col("chr"), "strand": F.col("strand"), "break": point, "exons": F.size("exons").cast("bigint"), "cds": cds, "from": low, "to": high}
+        return F.struct(*(v.alias(f"{name}_{k}") for k, v in values.items()))
 
+    left, right = side("left", plus, F.when(plus, end).otherwise(start + 1)), side("right", ~plus, F.when(plus, start).otherwise(end))
+    return parts.groupBy("fusion_id").agg(F.min_by(left, "part").alias("_l"), F.max_by(right, "part").alias("_r")).select("fusion_id", "_l.*", "_r.*")
 
-def with_verdict(fusions: DataFrame, min_count: int = 2, min_distance: int = 10_000, mitochondrial: str = "chrM") -> DataFrame:
-    """Add ``verdict``: FAIL with the first reason that holds, else PASS.
 
-    ``fusions``: ``left_gene``, ``right_gene`` (null or novel...: no known gene), ``count_fl``, chromosomes and breakpoints.
+def with_verdict(fusions: DataFrame, min_count: int = 2, min_distance: int = 10_000, mitochondrial: str | None = "MT-") -> DataFrame:
+    """Add ``verdict``: FAIL with the first reason that holds, else PASS; a null count is never too few.
+
+    ``fusions``: ``left_gene``, ``right_gene`` (null, empty or novel...: no known gene), ``count_fl``, chromosomes and
+    breakpoints.  ``mitochondrial`` is how the names of such genes begin; None lets them pass.
     """
-    novel = lambda c: F.col(c).isNull() | F.lower(F.col(c)).startswith("novel")
+    novel = lambda c: F.col(c).isNull() | (F.col(c) == "") | F.lower(F.col(c)).startswith("novel")
     near = (F.col("left_chr") == F.col("right_chr")) & (F.abs(F.col("left_break") - F.col("right_break")) <= min_distance)
+    organelle = F.lit(False) if mitochondrial is None else F.col("left_gene").startswith(mitochondrial) | F.col("right_gene").startswith(mitochondrial)
+    any_novel = novel("left_gene") | novel("right_gene")
+    if "any_novel" in fusions.columns:
+        any_novel = any_novel | F.col("any_novel")
     verdict = (
-        F.when(novel("left_gene") | novel("right_gene"), "FAIL:NovelGene")
+        F.when(any_novel, "FAIL:NovelGene")
         .when(F.col("left_gene") == F.col("right_gene"), "FAIL:SameGene")
         .when(F.col("count_fl") < min_count, "FAIL:TooFewFLReads")
-        .when((F.col("left_chr") == mitochondrial) | (F.col("right_chr") == mitochondrial), "FAIL:MtGenes")
+        .when(organelle, "FAIL:MtGenes")
         .when(near, "FAIL:BreakpointTooClose")
         .otherwise("PASS")
     )
-    return fusions.withColumns({"verdict": verdict, "fusion_name": F.concat_ws("--", "left_gene", "right_gene")})
+    return fusions.withColumn("verdict", verdict)
+
+
+def collate(
+    parts: DataFrame, classes: DataFrame, counts: DataFrame | None = None, genome: DataFrame | None = None, sequences: DataFrame | None = None,
+    gene_ids: DataFrame | None = None, total: int | None = None, **limits,
+) -> DataFrame:
+    """One row for each fusion with all that is known of it.
+
+    ``parts`` as for ``ends_of``; ``classes``: ``fusion_id``, ``part``, ``gene``, ``orf``; ``counts``: ``fusion_id``, ``count_fl``;
+    ``genome``: ``chr``, ``sequence`` or windows of it; ``sequences``: ``fusion_id``, ``sequence``; ``gene_ids``: ``gene``, ``gene_id`` (several
+    are joined by ``_``).  Columns: ``fusion_id``, ``fusion_name`` (all genes joined by ``--``), and for left and right ``_gene``,
+    ``_gene_id``, ``_breakpoint`` (``chr:place:strand``), ``_flank`` (FLANK bases along the strand), ``_orf``, ``_exons``, ``_cds``;
+    ``count_fl``, ``score`` (reads of a million of ``total``, which is the sum of all counts if not given), ``sequence``
+    and ``verdict``.  What isn't given is null.  ``limits`` go to ``with_verdict``.
+    """
+    novel = F.col("gene").isNull() | (F.col("gene") == "") | F.lower("gene").startswith("novel")
+    named = F.array_sort(F.collect_list(F.struct("part", F.coalesce("gene", F.lit("")).alias("g"))))
+    of_class = classes.groupBy("fusion_id").agg(
+        F.array_join(F.transform(named, lambda x: x["g"]), "--").alias("fusion_name"), F.max(novel).alias("any_novel"),
+        F.min_by("gene", "part").alias("left_gene"), F.max_by("gene", "part").alias("right_gene"), F.min_by("orf", "part").alias("left_orf"), F.max_by("orf", "part").alias("right_orf"),
+    )
+    rows = of_class.join(ends_of(parts), "fusion_id")
+    none = F.lit(None).cast("string")
+    for side in ("left", "right"):
+        rows = rows.withColumn(f"{side}_breakpoint", F.concat_ws(":", f"{side}_chr", F.col(f"{side}_break").cast("string"), f"{side}_strand"))
+        if genome is None:
+            rows = rows.withColumn(f"{side}_flank", none)
+        else:
+            cut = cut_sequences(rows.withColumn("chr", F.col(f"{side}_chr")), genome, f"{side}_from", f"{side}_to", whole=False).drop("chr")
+            rows = cut.withColumn(f"{side}_flank", F.when(F.col(f"{side}_strand") == "-", reverse_complement("piece")).otherwise(F.col("piece"))).drop("piece")
+        if gene_ids is None:
+            rows = rows.withColumn(f"{side}_gene_id", none)
+        else:
+            ids = gene_ids.groupBy(F.col("gene").alias(f"{side}_gene")).agg(F.array_join(F.array_sort(F.collect_set("gene_id")), "_").alias(f"{side}_gene_id"))
+            rows = rows.join(ids, f"{side}_gene", "left")
+    rows = rows.join(sequences.select("fusion_id", "sequence"), "fusion_id", "left") if sequences is not None else rows.withColumn("sequence", none)
+    if counts is None:
+        rows = rows.withColumns({"count_fl": F.lit(None).cast("bigint"), "score": F.lit(None).cast("double")})
+    else:
+        of_all = F.lit(float(total)) if total is not None else F.lit(float(counts.agg(F.sum("count_fl")).first()[0] or 0))
+        rows = rows.join(counts.select("fusion_id", "count_fl"), "fusion_id", "left").withColumn("score", F.try_divide(F.col("count_fl") * 1e6, of_all))
+    rows = with_verdict(rows, **limits)
+    sides = [f"{side}_{c}" for side in ("left", "right") for c in ("gene", "gene_id", "breakpoint", "flank", "orf", "exons", "cds")]
+    return rows.select("fusion_id", "fusion_name", *sides, "count_fl", "score", "sequence", "verdict")

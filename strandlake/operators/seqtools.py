@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.alignment import cigar_ops, cigar_summary, is_unmapped
 from strandlake.functions.sequence import overlap_length, reverse_complement
 from strandlake.operators.intervals import overlap_join
+from strandlake.session import prepare
 
 
 def select_by_id(records: DataFrame, ids: DataFrame, partial: bool = False, exclude: bool = False, key: str = "id") -> DataFrame:
@@ -121,8 +123,9 @@ def sequence_windows(genome: DataFrame, size: int = WINDOW) -> DataFrame:
     return rows.select("chr", "window", F.substring("sequence", (F.col("window") * size + 1).cast("int"), F.lit(size)).alias("bases"))
 
 
-def cut_sequences(spans: DataFrame, genome: DataFrame, start: str, end: str, size: int = WINDOW) -> DataFrame:
+def cut_sequences(spans: DataFrame, genome: DataFrame, start: str, end: str, size: int = WINDOW, whole: bool = True) -> DataFrame:
     """Add ``piece``: the bases of each span (``chr``, start, end; 0-based, half-open); null if they are not all known.
+    Without ``whole`` a span that runs over the end of a sequence gives what there is.
 
     Each different span meets the windows of the genome that it touches by chromosome and
     window, so neither the spans of a chromosome nor its sequence come together in one task.
@@ -137,7 +140,8 @@ def cut_sequences(spans: DataFrame, genome: DataFrame, start: str, end: str, siz
     last = F.least(F.col("_to") - F.col("_w") * size, F.lit(size))
     part = F.struct("_w", F.substring("bases", (first + 1).cast("int"), (last - first).cast("int")).alias("b"))
     pieces = met.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["b"]), "").alias("piece"))
-    pieces = pieces.filter(F.length("piece") == F.col("_to") - F.col("_from"))
+    if whole:
+        pieces = pieces.filter(F.length("piece") == F.col("_to") - F.col("_from"))
     on = (F.col("chr") == F.col("_of")) & (F.col(start) == F.col("_from")) & (F.col(end) == F.col("_to"))
     return spans.join(pieces, on, "left").drop(*key)
 
@@ -181,44 +185,95 @@ def simulate_alleles(records: DataFrame, ploidy: int, every: int = 300, seed: in
     return copies.withColumn("seq", F.array_join(made, ""))
 
 
-def exon_path_score(record: DataFrame, annotation: DataFrame, keys: Sequence[str] = ("chr", "strand")) -> DataFrame:
-    """The annotated transcript whose exons each record's exons overlap best: ``id``, ``transcript``, ``score``.
+def path_score(found: Sequence[tuple[int, int]], known: Sequence[tuple[int, int]]) -> tuple[float, list[tuple[int, int]]]:
+    """Score of a record's exons against those of an annotated transcript, and the pairs (known, found) that match.
 
-    The score is the overlap of both exon sets less what either has alone; ties go to the
-    least transcript.  Exons of one side are disjoint, so the sums need no path.
+    Exons are aligned in order.  A pair that overlaps scores the share of the known exon that
+    is covered; where the exons are apart, a found one that lies behind costs 2 and a known one that
+    is passed over 1.  The end of the known path is free but for 1 for each exon left over.
     """
-    size = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
-    a = record.select("id", *keys, size("exons").alias("_size_a"), F.explode("exons").alias("_x")).select("id", *keys, "_size_a", F.col("_x.start").alias("s"), F.col("_x.end").alias("e"))
-    b = annotation.select("transcript", *keys, size("exons").alias("_size_b"), F.explode("exons").alias("_y"))
-    b = b.select("transcript", *keys, "_size_b", F.col("_y.start").alias("p_s"), F.col("_y.end").alias("p_e"))
-    met = overlap_join(a, b, list(keys), ("s", "e"), ("p_s", "p_e"))
-    sums = met.groupBy("id", "transcript", "_size_a", "_size_b").agg(F.sum(overlap_length("s", "e", "p_s", "p_e")).alias("_o"))
-    scored = sums.withColumn("score", F.col("_o") * 3 - F.col("_size_a") - F.col("_size_b"))
-    best = Window.partitionBy("id").orderBy(F.desc("score"), "transcript")
-    return scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("id", "transcript", "score")
-
-
-def evaluate_mapping(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """Category of each record against its true exons: full, 5missX, 3missX, both or skipped (X exons).
-
-    ``found`` and ``truth``: ``id``, ``strand``, ``exons``.  Exons count as found if they overlap.
+    width = len(known)
+    rows = [[0.0] * (width + 1)]
+    moves = [[2] * (width + 1)]
+    for s, e in found:
+        row, move = [0.0] * (width + 1), [1] * (width + 1)
+        above = rows[-1]
+        for j, (lo, hi) in enumerate(known, 1):
+            both = min(e, hi) - max(s, lo)
+            if both > 0:
+                row[j], move[j] = above[j - 1] + both / (hi - lo), 0
+            elif hi <= s:
+                row[j], move[j] = above[j] - 2, 1
+            else:
+                row[j], move[j] = row[j - 1] - 1, 2
+        rows.append(row)
+        moves.append(move)
+    best = max(range(width, -1, -1), key=lambda j: rows[-1][j])
+    pairs, i, j = [], len(found), best
+    while i and j:
+        if moves[i][j] == 0:
+            pairs.append((j - 1, i - 1))
+        i, j = i - (moves[i][j] != 2), j - (moves[i][j] != 1)
+    return rows[-1][best] - (width - best), pairs[::-1]
+
+
+def exon_path_score(record: DataFrame, annotation: DataFrame, keys: Sequence[str] = ("chr",), bin_size: int = 10_000) -> DataFrame:
+    """The annotated transcript that each record's exons match best: ``id``, ``transcript``, ``score``, ``n_known`` (its exons)
+    and ``matched``, the pairs (known, found) of exon numbers from 0.
+
+    ``record``: ``id``, keys, ``exons``; ``annotation``: ``transcript``, keys, ``exons``.  Transcripts with an exon in the
+    span of the record are compared, by ``path_score``; only a score above 0 counts, and ties go to
+    the least transcript.  Give the strand as a key if it counts.  Null or empty exons match nothing.
+    """
+    prepare(record.sparkSession)
+    keys = list(keys)
+    a = record.filter(F.size("exons") > 0).select("id", *keys, F.col("exons").alias("_x"), F.col("exons")[0]["start"].alias("_s"), F.element_at("exons", -1)["end"].alias("_e"))
+    b = annotation.filter(F.size("exons") > 0).select("transcript", *keys, F.col("exons").alias("_y"), F.explode("exons").alias("_z"))
+    b = b.select("transcript", *keys, "_y", F.col("_z.start").alias("_p"), F.col("_z.end").alias("_q"))
+    pairs = overlap_join(a, b, keys, ("_s", "_e"), ("_p", "_q"), bin_size).groupBy("id", "transcript", "_x", "_y").agg(F.lit(1)).drop("1")
+
+    @F.pandas_udf("score double, matched array<struct<known:int,found:int>>")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, q in zip(x, y):
+            score, matched = path_score([(u["start"], u["end"]) for u in p], [(u["start"], u["end"]) for u in q])
+            rows.append((score, [{"known": k, "found": f} for k, f in matched]))
+        return pd.DataFrame(rows, columns=["score", "matched"])
+
+    scored = pairs.select("id", "transcript", F.size("_y").alias("n_known"), run("_x", "_y").alias("_r")).select("id", "transcript", "n_known", "_r.*").filter("score > 0")
+    # The best score, and of equal ones the least transcript.
+    top = scored.groupBy("id").agg(F.max("score").alias("score"))
+    best = scored.join(top, ["id", "score"]).groupBy("id").agg(F.min_by(F.struct("transcript", "score", "n_known", "matched"), "transcript").alias("_b"))
+    return best.select("id", "_b.*")
+
+
+def evaluate_mapping(record: DataFrame, annotation: DataFrame, keys: Sequence[str] = ("chr",)) -> DataFrame:
+    """How each record recovers the annotated transcript that it matches best: ``id``, ``transcript``, ``category``, ``boundary``.
+
+    ``full``: every known exon is matched; ``fused``: so too, but the record begins with exons before the
+    first match; ``5missX`` and ``3missX``, joined by a semicolon: X known exons are missing at that end of
+    the strand; ``skipped``: inner ones are missing; ``bad``: no transcript.  ``boundary`` has for each match
+    the differences of start and end.  Both tables have ``exons``, ``record`` has ``id`` and ``strand``.
     """
-    rows = truth.select("id", "strand", F.col("exons").alias("_t")).join(found.select("id", F.col("exons").alias("_f")), "id", "left")
-    hit = F.transform("_t", lambda t: F.exists(F.coalesce("_f", F.array()), lambda f: (f["start"] < t["end"]) & (t["start"] < f["end"])))
-    left = F.array_position(hit, F.lit(True)) - 1
-    right = F.array_position(F.reverse(hit), F.lit(True)) - 1
-    rows = rows.withColumns({"_h": hit, "_l": left, "_r": right})
-    five, three = (F.when(F.col("strand") == "+", F.col(a)).otherwise(F.col(b)) for a, b in (("_l", "_r"), ("_r", "_l")))
-    inner = F.slice("_h", (F.col("_l") + 1).cast("int"), (F.size("_h") - F.col("_l") - F.col("_r")).cast("int"))
-    name = (
-        F.when(~F.exists("_h", lambda x: x), "unmapped")
-        .when(F.exists(inner, lambda x: ~x), "skipped")
-        .when((five > 0) & (three > 0), F.concat(F.lit("5miss"), five, F.lit("_3miss"), three))
-        .when(five > 0, F.concat(F.lit("5miss"), five))
-        .when(three > 0, F.concat(F.lit("3miss"), three))
-        .otherwise("full")
+    best = exon_path_score(record, annotation, keys)
+    rows = record.select("id", "strand", F.col("exons").alias("_f")).join(best, "id", "left").join(annotation.select("transcript", F.col("exons").alias("_k")), "transcript", "left")
+    first, last = F.col("matched")[0], F.element_at("matched", -1)
+    left, right = first["known"], F.col("n_known") - 1 - last["known"]
+    plus = F.col("strand") == "+"
+    ends = [
+        F.when(left > 0, F.concat(F.when(plus, "5miss").otherwise("3miss"), left.cast("string"))),
+        F.when(right > 0, F.concat(F.when(plus, "3miss").otherwise("5miss"), right.cast("string"))),
+    ]
+    missing = F.concat_ws(";", *ends)
+    category = (
+        F.when(F.col("transcript").isNull(), "bad")
+        .when(F.size("matched") == F.col("n_known"), F.when(first["found"] == 0, "full").otherwise("fused"))
+        .when(missing == "", "skipped")
+        .otherwise(missing)
     )
-    return rows.select("id", name.alias("category"))
+    known, found = (lambda x: F.element_at("_k", x["known"] + 1)), (lambda x: F.element_at("_f", x["found"] + 1))
+    boundary = F.transform("matched", lambda x: F.struct((found(x)["start"] - known(x)["start"]).alias("head"), (found(x)["end"] - known(x)["end"]).alias("tail")))
+    return rows.select("id", "transcript", category.alias("category"), boundary.alias("boundary"))
 
 
 def exon_coverage(exons: DataFrame) -> DataFrame:

@@ -99,9 +99,9 @@ def s08_fusion_parts(t: Tables) -> DataFrame:
     return parts.select("id", F.size("parts").cast("bigint").alias("n_parts"), F.array_join(F.transform("parts", lambda x: F.concat(x["chr"], x["strand"])), ",").alias("places"))
 
 
-@query("SELECT DISTINCT c.chr, c.s, c.e, tid AS transcript FROM (SELECT DISTINCT chr, s, s + 5 AS e FROM x_exon WHERE tid % 50 = 0) c JOIN x_exon x ON c.chr = x.chr AND x.s < c.e AND c.s < x.e")
+@query("SELECT DISTINCT c.chr, c.s, c.e, tid AS transcript FROM (SELECT DISTINCT chr, s, s + 5 AS e FROM x_exon) c JOIN x_exon x ON c.chr = x.chr AND x.s < c.e AND c.s < x.e")
 def s11_find_transcripts(t: Tables) -> DataFrame:
-    regions = t.x_exon.filter("tid % 50 = 0").select("chr", "s", (F.col("s") + 5).alias("e")).distinct()
+    regions = t.x_exon.select("chr", "s", (F.col("s") + 5).alias("e")).distinct()
     return annotations.find_transcripts(t.x_exon.withColumn("transcript", F.col("tid")), regions)
 
 
@@ -114,17 +114,11 @@ def s17_bed_round_trip(t: Tables) -> DataFrame:
     return annotations.parse_bed(_bed(t)).select("chr", "s", "e", "name")
 
 
-@query("SELECT p.chr, p.pos, coalesce(min(name), 'NA') AS name FROM (SELECT DISTINCT chr, s AS pos FROM x_exon WHERE tid % 7 = 0) p LEFT JOIN (SELECT chr, s, 'x' || tid AS name FROM x_exon WHERE tid % 2 = 0) b ON p.chr = b.chr AND p.pos = b.s GROUP BY 1, 2")
-def s18_point_lookup(t: Tables) -> DataFrame:
-    bed = annotations.parse_bed(sinks.bed_lines(t.x_exon.filter("tid % 2 = 0").withColumn("name", F.concat(F.lit("x"), "tid"))))
-    return annotations.point_lookup(t.x_exon.filter("tid % 7 = 0").select("chr", F.col("s").alias("pos")).distinct(), bed)
-
-
 @query(
     """WITH p AS (SELECT DISTINCT chr, s AS pos FROM x_exon UNION SELECT DISTINCT chr, s + 5 FROM x_exon)
   SELECT p.chr, p.pos, coalesce(min(name), 'NA') AS name FROM p LEFT JOIN (SELECT chr, s, 'x' || tid AS name FROM x_exon) b ON p.chr = b.chr AND p.pos = b.s GROUP BY 1, 2"""
 )
-def s18_point_lookup_whole(t: Tables) -> DataFrame:
+def s18_point_lookup(t: Tables) -> DataFrame:
     """All starts against all lines; starts moved by five have no line of their own."""
     points = t.x_exon.select("chr", F.explode(F.array("s", F.col("s") + 5)).alias("pos")).distinct()
     return annotations.point_lookup(points, annotations.parse_bed(_bed(t)))
@@ -147,50 +141,54 @@ def s20_pileup(t: Tables) -> DataFrame:
     return annotations.parse_pileup(t.events.select(F.when(F.col("event_id") % 3 == 0, short).otherwise(full).alias("value"))).select("chr", "pos", "ref", "cov", "read_bases")
 
 
+#: Bases of the genome repeat this pattern.
+_PATTERN = "ACGGTCA"
+
+# Runs of one to three rows: insertions stand still on the reference, deletions on the query.
+_SNPS = """SELECT p, k, CASE WHEN p % 5 = 0 THEN 'ins' WHEN p % 7 = 0 THEN 'del' ELSE 'snp' END AS kind,
+    p * 30 + CASE WHEN p % 5 > 0 AND p % 7 = 0 THEN k ELSE 0 END AS ref0, p * 20 + CASE WHEN p % 5 = 0 THEN k ELSE 0 END AS query0,
+    CASE WHEN p % 5 = 0 THEN '.' ELSE substr('ACGGTCA', CAST((p * 30 + CASE WHEN p % 7 = 0 THEN k ELSE 0 END) % 7 + 1 AS INT), 1) END AS r,
+    CASE WHEN p % 5 > 0 AND p % 7 = 0 THEN '.' ELSE substr('TGCA', CAST((p + k) % 4 + 1 AS INT), 1) END AS q
+  FROM (SELECT p_partkey AS p, k FROM {part} CROSS JOIN (VALUES (0), (1), (2)) AS x(k) WHERE k = 0 OR (p_partkey % 5 = 0 OR p_partkey % 7 = 0) AND k <= p_partkey % 3)"""
+
+
 def _snp_lines(t: Tables) -> DataFrame:
-    p = F.col("p_partkey")
-    fields = [p * 3 + 1, F.when(p % 5 == 0, ".").otherwise("A"), F.when(p % 7 == 0, ".").otherwise("C"), p * 2 + 1, F.lit(0), F.lit(0), F.lit(10), F.lit(20), F.when(p % 2 == 0, 1).otherwise(-1), F.lit(1), F.lit("ref"), F.lit("q")]
-    return t.part.filter("p_partkey % 35 > 0").select(F.concat_ws("\t", *(f.cast("string") for f in fields)).alias("value"))
+    rows = t.spark.sql(_SNPS, part=t.part)
+    fields = [F.col("ref0") + 1, "r", "q", F.col("query0") + 1, F.lit(0), F.lit(0), F.lit(10), F.lit(20), F.when(F.col("p") % 2 == 0, 1).otherwise(-1), F.lit(1), F.lit("ref"), F.lit("q")]
+    return rows.select(F.concat_ws("\t", *((F.col(f) if isinstance(f, str) else f).cast("string") for f in fields)).alias("value"))
 
 
-@query("SELECT p_partkey * 3 AS ref_pos, CASE WHEN p_partkey % 5 = 0 THEN '.' ELSE 'A' END AS ref_base, p_partkey * 2 AS query_pos, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS ref_strand FROM part WHERE p_partkey % 35 > 0")
+@query(f"SELECT ref0 AS ref_pos, r AS ref_base, query0 AS query_pos, CASE WHEN p % 2 = 0 THEN '+' ELSE '-' END AS ref_strand FROM ({_SNPS.format(part='part')})")
 def s21_snps(t: Tables) -> DataFrame:
     return annotations.parse_snps(_snp_lines(t)).select("ref_pos", "ref_base", "query_pos", "ref_strand")
 
 
 @query(
-    """SELECT 'ref' AS chr, CASE WHEN p_partkey % 7 = 0 THEN p_partkey * 3 ELSE p_partkey * 3 + 1 END AS pos1, CASE WHEN p_partkey % 5 = 0 THEN 'N' WHEN p_partkey % 7 = 0 THEN 'NA' ELSE 'A' END AS ref,
-  CASE WHEN p_partkey % 5 = 0 THEN 'NC' WHEN p_partkey % 7 = 0 THEN 'N' ELSE 'C' END AS alt FROM part WHERE p_partkey % 35 > 0"""
+    f"""WITH x AS ({_SNPS.format(part='part')}), g AS (SELECT p, kind, min(ref0) AS spot, string_agg(r, '' ORDER BY k) AS r, string_agg(q, '' ORDER BY k) AS q FROM x GROUP BY p, kind),
+  b AS (SELECT *, substr('{_PATTERN}', CAST(CASE kind WHEN 'del' THEN spot - 1 ELSE spot END % 7 + 1 AS INT), 1) AS b FROM g)
+  SELECT 'ref' AS chr, CASE kind WHEN 'del' THEN spot ELSE spot + 1 END AS pos1, CASE kind WHEN 'snp' THEN r WHEN 'ins' THEN b ELSE b || r END AS ref, CASE kind WHEN 'snp' THEN q WHEN 'ins' THEN b || q ELSE b END AS alt FROM b"""
 )
 def k08_snp_vcf(t: Tables) -> DataFrame:
-    genome = t.spark.createDataFrame([("other", "ACGT")], "chr string, sequence string")
+    """Substitutions, and runs of insertions and deletions with the base before them."""
+    last = F.expr("max(p_partkey) * 30 + 40")
+    genome = t.part.agg(F.repeat(F.lit(_PATTERN), F.ceil(last / 7).cast("int")).alias("sequence")).select(F.lit("ref").alias("chr"), "sequence")
     return sinks.snp_vcf(annotations.parse_snps(_snp_lines(t)), genome)
 
 
-@query(
-    """WITH p AS (SELECT p_partkey, substr('ACGGTCA', CAST((CASE WHEN p_partkey % 7 = 0 THEN p_partkey * 3 - 1 ELSE p_partkey * 3 END) % 7 + 1 AS INT), 1) AS b FROM part WHERE p_partkey % 35 > 0)
-  SELECT 'ref' AS chr, CASE WHEN p_partkey % 7 = 0 THEN p_partkey * 3 ELSE p_partkey * 3 + 1 END AS pos1, CASE WHEN p_partkey % 5 = 0 THEN b WHEN p_partkey % 7 = 0 THEN b || 'A' ELSE 'A' END AS ref,
-  CASE WHEN p_partkey % 5 = 0 THEN b || 'C' WHEN p_partkey % 7 = 0 THEN b ELSE 'C' END AS alt FROM p"""
-)
-def k08_snp_vcf_whole(t: Tables) -> DataFrame:
-    """Anchor bases from a genome that has the chromosome of the data."""
-    snps = annotations.parse_snps(_snp_lines(t))
-    last = snps.agg(F.max("ref_pos")).first()[0] or 0
-    genome = t.spark.createDataFrame([("ref", "ACGGTCA" * (last // 7 + 1))], "chr string, sequence string")
-    return sinks.snp_vcf(snps, genome)
-
-
 @query("SELECT pbid, member FROM x_group")
 def s23_groups(t: Tables) -> DataFrame:
     packed = t.x_group.groupBy("pbid").agg(F.concat_ws(",", F.collect_list(F.concat(F.lit("s|"), "member"))).alias("members"))
     return tables.explode_groups(packed).select("pbid", "member")
 
 
-@query("SELECT id, umi, CASE WHEN length > 2000 THEN bc END AS bc, length, 3 AS n FROM (SELECT DISTINCT id, umi, bc, length FROM umi_bc_error_correct WHERE regexp_matches(umi, '^[ACGT]+$') AND regexp_matches(bc, '^[ACGT]+$') AND length IS NOT NULL)")
+_TAG = "CASE WHEN upper(trim({0})) NOT IN ('', 'NA') THEN upper(trim({0})) END"
+
+
+@query(f"SELECT DISTINCT id, {_TAG.format('umi')} AS umi, CASE WHEN length > 2000 THEN {_TAG.format('bc')} END AS bc, length, 3 AS n FROM umi_bc_error_correct WHERE id IS NOT NULL")
 def s27_dedup_headers(t: Tables) -> DataFrame:
-    rows = t.umi_bc_error_correct.filter("umi RLIKE '^[ACGT]+$' AND bc RLIKE '^[ACGT]+$' AND length IS NOT NULL").select("id", "umi", "bc", "length").distinct()
-    header = F.concat(F.col("id"), F.lit(" full_length_coverage=3;length="), "length", F.lit(";XM="), "umi", F.when(F.col("length") > 2000, F.concat(F.lit(";XC="), "bc")).otherwise(""))
-    return singlecell.parse_dedup_header(rows.select(header.alias("header"))).select("id", "umi", "bc", "length", "n")
+    rows = t.umi_bc_error_correct.filter("id is not null").select("id", tag_value("umi").alias("umi"), tag_value("bc").alias("bc"), "length").distinct()
+    fields = F.concat_ws(";", F.lit("full_length_coverage=3"), F.concat(F.lit("length="), "length"), F.concat(F.lit("XM="), "umi"), F.when(F.col("length") > 2000, F.concat(F.lit("XC="), "bc")))
+    return singlecell.parse_dedup_header(rows.select(F.concat_ws(" ", "id", fields).alias("header"))).select("id", "umi", "bc", "length", "n").distinct()
 
 
 @query("SELECT chr, name, block, count(*) AS n, string_agg(s || '-' || e, ',' ORDER BY s, e) AS exons FROM (SELECT chr, 't' || tid AS name, 1 AS block, s, e FROM x_exon) GROUP BY 1, 2, 3")
@@ -214,10 +212,26 @@ def k04_numbered_duplicates(t: Tables) -> DataFrame:
     return seqtools.number_duplicates(rows, ["tid"]).select("tid", "name")
 
 
-@query("SELECT 'r' || tid AS id, count(*) + 1 AS n_lines FROM x_exon GROUP BY tid")
+@query(
+    """SELECT id, CAST(line_no AS INT) AS line_no, value FROM (SELECT 'r' || tid AS id, 0 AS line_no, concat_ws(chr(9), chr, 'strandlake', 'gene', min(s) + 1, max(e), '.', strand, '.', 'ID=r' || tid || ';Name=r' || tid) AS value FROM x_exon GROUP BY tid, chr, strand
+  UNION ALL SELECT 'r' || tid, n, concat_ws(chr(9), chr, 'strandlake', 'exon', s + 1, e, '.', strand, '.', 'ID=r' || tid || '.exon' || n || ';Parent=r' || tid) FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY s) AS n FROM x_exon))"""
+)
 def k05_gff3_lines(t: Tables) -> DataFrame:
-    rows = _transcripts(t).withColumn("name", F.concat(F.lit("r"), "tid"))
-    return sinks.gff3_lines(rows).groupBy("id").agg(F.count("*").alias("n_lines"))
+    return sinks.gff3_lines(_transcripts(t).withColumn("name", F.concat(F.lit("r"), "tid")))
+
+
+@query("SELECT 'x' || tid AS id, CAST(n - 1 AS INT) AS line_no, concat_ws(' ', 'x' || tid, 'exon', s + 1, e + 1) AS value FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY s) AS n FROM x_exon)")
+def k02_exon_pictures(t: Tables) -> DataFrame:
+    return sinks.exon_picture_lines(_transcripts(t).withColumn("pbid", F.concat(F.lit("x"), "tid")))
+
+
+@query(
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY CASE strand WHEN '-' THEN -s ELSE s END) AS n FROM x_exon)
+  SELECT 'x' || tid AS id, CAST(n - 1 AS INT) AS line_no, concat_ws(chr(9), chr, 'NA', 'exon', s + 1, e, '.', strand, '.', 'x' || tid) AS value FROM n
+  UNION ALL SELECT 'x' || tid, CAST(count(*) AS INT), '###' FROM n GROUP BY tid"""
+)
+def k02_browser_lines(t: Tables) -> DataFrame:
+    return sinks.ucsc_lines(_transcripts(t).withColumn("pbid", F.concat(F.lit("x"), "tid")))
 
 
 @query(
@@ -248,8 +262,18 @@ def e08_collapse(t: Tables) -> DataFrame:
     return found.select("pbid", "chr", "strand", compare.exon_text("exons").alias("exons"), "n_reads")
 
 
-@query()
+@query(
+    """WITH d AS (SELECT chr, strand, gene, exons, min(pbid) AS pbid FROM (SELECT tid, chr, strand, concat('PB.', tid % 97) AS gene, concat('PB.', tid % 97, '.', tid) AS pbid, list([s, e] ORDER BY s) AS exons FROM x_exon GROUP BY tid, chr, strand) GROUP BY ALL),
+  t AS (SELECT *, len(exons) AS n, array_to_string(list_transform(range(1, len(exons)), lambda k: exons[k][2] || '-' || exons[k + 1][1]), ',') AS chain FROM d),
+  gone AS (SELECT DISTINCT j.pbid FROM t i JOIN t j ON i.gene = j.gene AND i.strand = j.strand AND i.n > j.n WHERE CASE
+    WHEN j.n > 1 AND i.strand = '+' THEN (',' || i.chain) LIKE '%,' || j.chain AND j.exons[1][1] >= i.exons[i.n - j.n + 1][1] AND j.exons[1][1] < i.exons[i.n - j.n + 1][2]
+    WHEN j.n > 1 THEN (i.chain || ',') LIKE j.chain || ',%' AND j.exons[j.n][2] >= i.exons[j.n][1] AND j.exons[j.n][2] < i.exons[j.n][2]
+    WHEN i.strand = '+' THEN j.exons[1][1] >= i.exons[i.n][1] - 5 AND j.exons[1][1] < i.exons[i.n][2] AND i.exons[i.n - 1][2] < j.exons[1][1]
+    ELSE j.exons[1][2] <= i.exons[1][2] + 5 AND j.exons[1][2] > i.exons[1][1] AND j.exons[1][2] < i.exons[2][1] END)
+  SELECT pbid, array_to_string(list_transform(exons, lambda x: x[1] || '-' || x[2]), ',') AS exons FROM t WHERE pbid NOT IN (SELECT pbid FROM gone)"""
+)
 def e09_without_subsets(t: Tables) -> DataFrame:
+    """The junctions of all structures lie ten bases apart at least, so that a tolerance of five is equality."""
     return collapse.without_subsets(_distinct(t)).select("pbid", compare.exon_text("exons").alias("exons"))
 
 
@@ -260,14 +284,20 @@ def _distinct(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH a AS (SELECT min(tid) AS id, chr, strand, exons FROM ({_TX}) GROUP BY chr, strand, exons)
-  SELECT count(*) AS n, sum(CASE WHEN x.exons = y.exons THEN 1 ELSE 0 END) AS n_equal FROM a x JOIN a y ON x.chr = y.chr AND x.strand = y.strand AND x.exons = y.exons"""
+    f"""WITH a AS (SELECT DISTINCT chr, strand, exons, n FROM (SELECT tid, chr, strand, string_agg(s || '-' || e, ',' ORDER BY s) AS exons, count(*) AS n FROM x_exon GROUP BY tid, chr, strand))
+  SELECT chr, strand, exons, kind, CASE kind WHEN 'same' THEN 'exact' WHEN 'longer ends' THEN 'exact' WHEN 'far' THEN 'nomatch' WHEN 'without first' THEN 'super' WHEN 'of without first' THEN 'subset' WHEN 'moved' THEN 'partial' WHEN 'both' THEN 'concordant' END AS how
+  FROM a CROSS JOIN (VALUES ('same', 1), ('longer ends', 1), ('far', 1), ('without first', 2), ('of without first', 2), ('moved', 2), ('both', 4)) AS v(kind, least) WHERE n >= least"""
 )
-def u01_exact_structures(t: Tables) -> DataFrame:
-    """Structures that compare as exact with equal exons, against equality of their exons."""
-    rows = _distinct(t).select("chr", "strand", F.col("exons").alias("x"))
-    how = rows.withColumn("y", F.col("x")).withColumn("how", compare.relation_of("x", "y", "strand"))
-    return how.agg(F.count("*").alias("n"), F.sum(F.when(F.col("how") == "exact", 1).otherwise(0)).alias("n_equal"))
+def u01_relations(t: Tables) -> DataFrame:
+    """Each structure against altered ones: how they relate is known from the change."""
+    x, n = F.col("exons"), F.size("exons")
+    moved = lambda d, keep=None: F.transform(x, lambda e, i: F.struct((e["start"] + (d if keep is None else F.when(i == keep, d).otherwise(0))).alias("start"), (e["end"] + (d if keep is None else 0)).alias("end")))
+    longer = F.transform(x, lambda e, i: F.struct((e["start"] - F.when(i == 0, 5).otherwise(0)).alias("start"), (e["end"] + F.when(i == n - 1, 5).otherwise(0)).alias("end")))
+    rest, head = F.slice(x, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(x, F.lit(1), F.greatest(n - 1, F.lit(0)))
+    cases = [("same", 1, x, x), ("longer ends", 1, x, longer), ("far", 1, x, moved(100_000_000)), ("without first", 2, x, rest), ("of without first", 2, rest, x), ("moved", 2, x, moved(3, 1)), ("both", 4, head, rest)]
+    options = F.array(*(F.when(n >= least, F.struct(F.lit(k).alias("kind"), p.cast(collapse.EXONS).alias("p"), q.cast(collapse.EXONS).alias("q"))) for k, least, p, q in cases))
+    rows = _distinct(t).select("chr", "strand", "exons", F.explode(F.array_compact(options)).alias("_o")).select("chr", "strand", compare.exon_text("exons").alias("exons"), "_o.*")
+    return rows.select("chr", "strand", "exons", "kind", compare.relation_of("p", "q", "strand").alias("how"))
 
 
 def _samples(t: Tables) -> dict[str, DataFrame]:
@@ -316,11 +346,22 @@ def e16_scrubbed_junctions(t: Tables) -> DataFrame:
     return junctions.scrub_by_label(rows, 2, 5).select(*key)
 
 
-@query(f"SELECT tid, exons, scrubbed FROM (SELECT tid, exons, n > 1 AS scrubbed FROM (SELECT tid, string_agg(s || '-' || e, ',' ORDER BY s) AS exons, count(*) AS n FROM x_exon GROUP BY tid))")
+@query(
+    """WITH j AS (SELECT tid, chr, strand, row_number() OVER w AS k, e - 1 AS l, lead(s) OVER w AS r FROM x_exon WINDOW w AS (PARTITION BY tid ORDER BY s)),
+  i AS (SELECT * FROM j WHERE r IS NOT NULL), kept AS (SELECT DISTINCT chr, strand, l + 3 AS kl, r - 2 AS kr FROM i WHERE (l + r) % 3 = 0),
+  d AS (SELECT DISTINCT chr, strand, l, r FROM i),
+  m AS (SELECT chr, strand, l, r, kl, kr FROM d JOIN kept USING (chr, strand) WHERE abs(l - kl) <= 20 AND abs(r - kr) <= 20 QUALIFY row_number() OVER (PARTITION BY chr, strand, l, r ORDER BY abs(l - kl) + abs(r - kr), kl, kr) = 1),
+  c AS (SELECT tid, count(*) AS n, count(kl) AS found FROM i LEFT JOIN m USING (chr, strand, l, r) GROUP BY tid),
+  t AS (SELECT x.tid, coalesce(c.n > 0 AND c.n = c.found, false) AS ok, list([s, e] ORDER BY s) AS exons FROM x_exon x LEFT JOIN c USING (tid) GROUP BY x.tid, c.n, c.found),
+  z AS (SELECT tid, list(kl ORDER BY k) AS kl, list(kr ORDER BY k) AS kr FROM i LEFT JOIN m USING (chr, strand, l, r) GROUP BY tid)
+  SELECT tid, array_to_string(list_transform(range(1, len(exons) + 1), lambda k: CASE WHEN ok AND k > 1 THEN kr[k - 1] ELSE exons[k][1] END || '-' || CASE WHEN ok AND k < len(exons) THEN kl[k] + 1 ELSE exons[k][2] END), ',') AS exons, ok AS scrubbed
+  FROM t LEFT JOIN z USING (tid)"""
+)
 def e17_scrub_transcripts(t: Tables) -> DataFrame:
-    """Scrubbing against the transcripts' own junctions leaves them as they are."""
+    """A third of the junctions, moved a little, are kept: transcripts whose junctions all have one nearby are rebuilt."""
     rows = _transcripts(t).select("tid", "chr", "strand", "exons")
-    kept = junctions.junction_report(rows.withColumn("sample", F.lit(1)))
+    report = junctions.junction_report(rows.withColumn("sample", F.lit(1))).filter((F.col("left") + F.col("right")) % 3 == 0)
+    kept = report.withColumns({"left": F.col("left") + 3, "right": F.col("right") - 2})
     return junctions.scrub_transcripts(rows, kept, key="tid").select("tid", compare.exon_text("exons").alias("exons"), "scrubbed")
 
 
@@ -347,31 +388,52 @@ def e12_fusions(t: Tables) -> DataFrame:
     return fusion.assemble(fusion.merge_parts(parts)).select("fusion_id", "n_parts", "n_reads", "read_id")
 
 
-@query("SELECT fusion_id, member FROM (SELECT o_custkey % 50 AS fusion_id, o_orderkey % 300 AS member, count(DISTINCT o_orderkey % 2) AS k FROM orders GROUP BY 1, 2) JOIN (SELECT o_custkey % 50 AS fusion_id, count(DISTINCT o_orderkey % 2) AS n FROM orders GROUP BY 1) USING (fusion_id) WHERE k = n")
+@query("SELECT fusion_id, member FROM (SELECT o_custkey % 50 AS fusion_id, o_orderkey // 2 % 300 AS member, count(DISTINCT o_orderkey % 2) AS k FROM orders GROUP BY 1, 2) JOIN (SELECT o_custkey % 50 AS fusion_id, count(DISTINCT o_orderkey % 2) AS n FROM orders GROUP BY 1) USING (fusion_id) WHERE k = n")
 def o01_shared_members(t: Tables) -> DataFrame:
-    rows = t.orders.select((F.col("o_custkey") % 50).alias("fusion_id"), (F.col("o_orderkey") % 2).alias("part"), (F.col("o_orderkey") % 300).alias("member"))
+    rows = t.orders.select((F.col("o_custkey") % 50).alias("fusion_id"), (F.col("o_orderkey") % 2).alias("part"), (F.floor(F.col("o_orderkey") / 2) % 300).alias("member"))
     return fusion.shared_members(rows)
 
 
 @query(
-    """SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN lg IS NULL THEN 'FAIL:NovelGene' WHEN lg = rg THEN 'FAIL:SameGene' WHEN c < 2 THEN 'FAIL:TooFewFLReads' WHEN lc = 'chrM' OR rc = 'chrM' THEN 'FAIL:MtGenes'
+    """SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN lg IS NULL THEN 'FAIL:NovelGene' WHEN lg = rg THEN 'FAIL:SameGene' WHEN c < 2 THEN 'FAIL:TooFewFLReads' WHEN lg LIKE 'MT-%' OR rg LIKE 'MT-%' THEN 'FAIL:MtGenes'
     WHEN lc = rc AND abs(lb - rb) <= 10000 THEN 'FAIL:BreakpointTooClose' ELSE 'PASS' END AS verdict
-  FROM (SELECT CASE WHEN p_partkey % 11 > 0 THEN 'g' || p_partkey % 5 END AS lg, 'g' || p_size % 5 AS rg, p_partkey % 9 AS c, CASE WHEN p_partkey % 13 = 0 THEN 'chrM' ELSE 'chr' || p_partkey % 3 END AS lc, 'chr' || p_size % 3 AS rc, p_partkey * 10 AS lb, p_size * 100 AS rb FROM part)) GROUP BY 1"""
+  FROM (SELECT CASE WHEN p_partkey % 13 = 0 THEN 'MT-' || p_partkey % 5 WHEN p_partkey % 11 > 0 THEN 'g' || p_partkey % 5 END AS lg, 'g' || p_size % 5 AS rg, p_partkey % 9 AS c, 'chr' || p_partkey % 3 AS lc, 'chr' || p_size % 3 AS rc, p_partkey * 10 AS lb, p_size * 100 AS rb FROM part)) GROUP BY 1"""
 )
 def pr14_fusion_verdicts(t: Tables) -> DataFrame:
     p, z = F.col("p_partkey"), F.col("p_size")
     rows = t.part.select(
-        F.when(p % 11 > 0, F.concat(F.lit("g"), p % 5)).alias("left_gene"), F.concat(F.lit("g"), z % 5).alias("right_gene"), (p % 9).alias("count_fl"),
-        F.when(p % 13 == 0, "chrM").otherwise(F.concat(F.lit("chr"), p % 3)).alias("left_chr"), F.concat(F.lit("chr"), z % 3).alias("right_chr"), (p * 10).alias("left_break"), (z * 100).alias("right_break"),
+        F.when(p % 13 == 0, F.concat(F.lit("MT-"), p % 5)).when(p % 11 > 0, F.concat(F.lit("g"), p % 5)).alias("left_gene"), F.concat(F.lit("g"), z % 5).alias("right_gene"), (p % 9).alias("count_fl"),
+        F.concat(F.lit("chr"), p % 3).alias("left_chr"), F.concat(F.lit("chr"), z % 3).alias("right_chr"), (p * 10).alias("left_break"), (z * 100).alias("right_break"),
     )
     return fusion.with_verdict(rows).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+def _annotation(t: Tables) -> DataFrame:
+    """One known transcript for each gene, strand and number of exons: the structure with the least id."""
+    rows = _distinct(t).groupBy("gene", "chr", "strand", F.size("exons").alias("n")).agg(F.min_by("exons", "pbid").alias("exons"), F.min("pbid").alias("transcript"))
+    return rows.select("transcript", "chr", "strand", "exons")
+
+
 @query()
 def j14_best_annotation(t: Tables) -> DataFrame:
+    """All structures against the annotation, by the score of their exon paths."""
+    found = seqtools.exon_path_score(_distinct(t).select(F.col("pbid").alias("id"), "chr", "strand", "exons"), _annotation(t), ["chr", "strand"])
+    return found.select("id", "transcript", F.round("score", 9).alias("score"), "n_known", F.size("matched").alias("n_matched"))
+
+
+@query(
+    """WITH d AS (SELECT chr, strand, gene, exons, min(pbid) AS pbid, len(exons) AS n FROM (SELECT tid, chr, strand, concat('PB.', tid % 97) AS gene, concat('PB.', tid % 97, '.', tid) AS pbid, list([s, e] ORDER BY s) AS exons FROM x_exon GROUP BY tid, chr, strand) GROUP BY ALL)
+  SELECT pbid AS id, CASE WHEN n = 1 THEN 'full' WHEN strand = '+' THEN '5miss1' ELSE '3miss1' END AS category, 0 AS off FROM d"""
+)
+def a28_mapping_evaluation(t: Tables) -> DataFrame:
+    """Each structure without its first exon against itself alone: what is missing is known."""
     rows = _distinct(t)
-    known = rows.select(F.col("pbid").alias("transcript"), "chr", "strand", "exons")
-    return seqtools.exon_path_score(rows.select(F.col("pbid").alias("id"), "chr", "strand", "exons"), known)
+    n = F.size("exons")
+    kept = F.when(n > 1, F.slice("exons", F.lit(2), F.greatest(n - 1, F.lit(1)))).otherwise(F.col("exons"))
+    own = rows.select(F.col("pbid").alias("id"), "strand", F.col("pbid").alias("own"), kept.alias("exons"))
+    found = seqtools.evaluate_mapping(own, rows.select(F.col("pbid").alias("transcript"), F.col("pbid").alias("own"), "exons"), ["own"])
+    off = F.aggregate("boundary", F.lit(0).cast("bigint"), lambda acc, x: acc + F.abs(x["head"]) + F.abs(x["tail"]))
+    return found.select("id", "category", off.alias("off"))
 
 
 # --- phasing ---------------------------------------------------------------------------------------
@@ -414,8 +476,8 @@ def _sites(t: Tables) -> DataFrame:
     return phasing.callable_positions(_clean(t), t.x_pile.select(F.col("chr_no").alias("chr"), "pos", "ref"))
 
 
-# Bases over 40 positions; at some of them up to a tenth of the reads have another base.
-_STACKED = """SELECT chr, pos, substr('ACGT', CAST(pos % 4 + 1 AS INT), 1) AS ref, substr('ACGT', CAST((pos + CASE WHEN e < pos % 10 THEN 1 + e % 3 ELSE 0 END) % 4 + 1 AS INT), 1) AS base, count(*) AS n
+# Bases over 40 positions; at some of them up to a quarter of the reads have another base.
+_STACKED = """SELECT chr, pos, substr('ACGT', CAST(pos % 4 + 1 AS INT), 1) AS ref, substr('ACGT', CAST((pos + CASE WHEN e < pos % 10 * 3 THEN 1 + e % 3 ELSE 0 END) % 4 + 1 AS INT), 1) AS base, count(*) AS n
   FROM (SELECT user_id % 2 AS chr, event_id * 7919 % 20 AS pos, (event_id * 31 + user_id * 17) % 100 AS e FROM {events}) GROUP BY ALL"""
 
 _TESTED = f"""c AS ({_STACKED.format(events="events")}), s AS (SELECT chr, pos, ref, sum(n) AS cov, count(*) AS n_types FROM c GROUP BY ALL HAVING count(*) >= 2 AND sum(n) >= 10),
@@ -517,20 +579,13 @@ def a25_phase_switches(t: Tables) -> DataFrame:
     return phasing.phase_switches(_genotypes(t))
 
 
-@query(f"SELECT chr, n AS size, (SELECT 0) AS num_snp, num_hap, 0 AS num_hap_partial FROM (SELECT chr, count(*) AS n, count(DISTINCT hap) AS num_hap FROM ({_HAP}) GROUP BY 1)")
-def a24_locus_summary(t: Tables) -> DataFrame:
-    haps = _haps(t)
-    none = t.spark.createDataFrame([], "chr bigint, pos bigint")
-    return phasing.locus_summary(haps.groupBy("chr").agg(F.count("*").alias("size")), none, haps)
-
-
 @query(
     f"""WITH h AS (SELECT chr, CASE WHEN read_id % 7 = 0 THEN substr(hap, 1, 1) || '?' || substr(hap, 3, 1) ELSE hap END AS hap FROM ({_HAP})),
   v AS (SELECT chr, count(*) AS num_snp FROM (SELECT chr, pos FROM ({_COUNTS}) GROUP BY chr, pos, ref HAVING count(*) >= 2 AND sum(n) >= 10) GROUP BY 1),
   l AS (SELECT chr, count(*) AS size, count(DISTINCT CASE WHEN hap NOT LIKE '%?%' THEN hap END) AS num_hap, count(DISTINCT CASE WHEN hap LIKE '%?%' THEN hap END) AS num_hap_partial FROM h GROUP BY 1)
   SELECT chr, size, coalesce(num_snp, 0) AS num_snp, num_hap, num_hap_partial FROM l LEFT JOIN v USING (chr)"""
 )
-def a24_locus_summary_whole(t: Tables) -> DataFrame:
+def a24_locus_summary(t: Tables) -> DataFrame:
     """Loci with variant positions, and partial haplotypes where a base is missing."""
     partial = F.concat(F.substring("hap", 1, 1), F.lit("?"), F.substring("hap", 3, 1))
     haps = _haps(t).withColumn("hap", F.when(F.col("read_id") % 7 == 0, partial).otherwise(F.col("hap")))
@@ -568,27 +623,27 @@ def e34_base_map(t: Tables) -> DataFrame:
     return seqtools.base_map(rows, "name").select("name", "q_from", "r_from", "n")
 
 
-@query("SELECT tid, CASE WHEN strand = '-' THEN reverse(translate(q, 'ACGT', 'TGCA')) ELSE q END AS seq FROM (SELECT tid, strand, string_agg(substr(repeat('ACGGTCA', 700), CAST(s - tid % 97 * 5000 + 1 AS INT), CAST(e - s AS INT)), '' ORDER BY s) AS q FROM x_exon WHERE exon_no <= 6 GROUP BY tid, strand)")
-def e35_reference_sequence(t: Tables) -> DataFrame:
-    shifted = t.x_exon.filter("exon_no <= 6").withColumns({"s": F.col("s") - F.col("tid") % 97 * 5000, "e": F.col("e") - F.col("tid") % 97 * 5000, "chr": F.lit("c")})
-    genome = t.spark.createDataFrame([("c", "ACGGTCA" * 700)], "chr string, sequence string")
-    return seqtools.reference_sequence(collapse.transcripts(shifted, ["tid", "chr", "strand"]), genome).select("tid", "seq")
-
-
 @query(
     """WITH x AS (SELECT tid, strand, s - tid % 97 * 5000 AS s, e - tid % 97 * 5000 AS e FROM x_exon), g AS (SELECT repeat('ACGGTCA', CAST(ceil(max(e) / 7.0) AS INT)) AS sequence FROM x)
   SELECT tid, CASE WHEN strand = '-' THEN reverse(translate(q, 'ACGT', 'TGCA')) ELSE q END AS seq
   FROM (SELECT tid, strand, string_agg(substr(sequence, CAST(s + 1 AS INT), CAST(e - s AS INT)), '' ORDER BY s) AS q FROM x CROSS JOIN g GROUP BY tid, strand)"""
 )
-def e35_reference_sequence_whole(t: Tables) -> DataFrame:
+def e35_reference_sequence(t: Tables) -> DataFrame:
     """Sequences of all exons, over a genome as long as the longest transcript."""
     shifted = t.x_exon.withColumns({"s": F.col("s") - F.col("tid") % 97 * 5000, "e": F.col("e") - F.col("tid") % 97 * 5000, "chr": F.lit("c")})
-    longest = shifted.agg(F.max("e")).first()[0] or 0
-    genome = t.spark.createDataFrame([("c", "ACGGTCA" * -(-longest // 7))], "chr string, sequence string")
+    genome = shifted.agg(F.repeat(F.lit("ACGGTCA"), F.ceil(F.max("e") / 7).cast("int")).alias("sequence")).select(F.lit("c").alias("chr"), "sequence")
     return seqtools.reference_sequence(collapse.transcripts(shifted, ["tid", "chr", "strand"]), genome).select("tid", "seq")
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT DISTINCT id, {_TAG.format("umi")} || {_TAG.format("bc")} AS tag FROM clip_out_umi_cellbc), b AS (SELECT id, tag, translate(tag, 'ACGT', '1101') AS bits FROM t WHERE tag IS NOT NULL),
+  u AS (SELECT DISTINCT bits FROM b), p AS (SELECT bits, unnest(range(0, length(bits) + 1)) AS i FROM u),
+  s AS (SELECT bits, i, CAST(coalesce(sum(CASE WHEN i = 0 THEN 0 WHEN substr(bits, i, 1) = '1' THEN 1 ELSE -2 END) OVER (PARTITION BY bits ORDER BY i), 0) AS BIGINT) AS s FROM p),
+  r AS (SELECT *, min(s) OVER (PARTITION BY bits ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lowest FROM s),
+  l AS (SELECT a.bits, a.i, max(z.i) AS j FROM (SELECT * FROM r WHERE lowest IS NULL OR s < lowest) a JOIN s z ON a.bits = z.bits AND z.s >= a.s GROUP BY a.bits, a.i),
+  k AS (SELECT bits, j, min(i) AS i FROM l WHERE j - i >= 8 GROUP BY bits, j), g AS (SELECT bits, string_agg((i + 1) || '-' || j, ',' ORDER BY i) AS runs FROM k GROUP BY bits)
+  SELECT DISTINCT id, bits, coalesce(runs, '') AS error_runs FROM b LEFT JOIN g USING (bits)"""
+)
 def e33_error_runs(t: Tables) -> DataFrame:
     rows = t.clip_out_umi_cellbc.select("id", F.translate(F.concat(tag_value("umi"), tag_value("bc")), "ACGT", "1101").alias("bits")).filter("bits is not null").distinct()
     return aligner.with_error_runs(rows, "bits", 2, 8)
@@ -597,32 +652,49 @@ def e33_error_runs(t: Tables) -> DataFrame:
 # --- molecular tags --------------------------------------------------------------------------------
 
 
+# Tags of each read from the digest of its id, without A and with a fixed first base for the tail, without G before a run of G.
+_NO_A, _NO_G = ("translate(substr(md5(CAST(doc_id AS STRING)), {0}, {1}), '0123456789abcdef', '" + letters + "')" for letters in ("CGTCGTCGTCGTCGTC", "ACTACTACTACTACTA"))
+
+
 @query(
-    """WITH p AS (SELECT doc_id, regexp_replace(raw, '[^ACGT]', '', 'g') || 'C' || repeat('A', CAST(12 + doc_id % 5 AS INT)) || substr('GTCAGTCATCGGCTACGTTCAGGTCCAT', 1, CAST(20 + doc_id % 8 AS INT)) AS seq FROM x_seq),
-  q AS (SELECT doc_id, seq, length(seq) - (20 + doc_id % 8) AS a_end FROM p)
-  SELECT doc_id AS id, CAST(20 + doc_id % 8 AS INT) AS clip_len, CASE WHEN doc_id % 8 > 0 THEN substr(seq, CAST(a_end + 1 AS INT), CAST(doc_id % 8 AS INT)) END AS extra,
-    substr(seq, CAST(length(seq) - 19 AS INT), 8) AS umi, right(seq, 12) AS bc FROM q"""
+    f"""SELECT doc_id AS id, CAST(20 + doc_id % 8 AS INT) AS clip_len, CASE WHEN doc_id % 8 > 0 THEN substr('GTCAGTC', 1, CAST(doc_id % 8 AS INT)) END AS extra, 'G' || {_NO_A.format(1, 7)} AS umi, {_NO_A.format(8, 12)} AS bc FROM x_seq"""
 )
 def e30_clip_tail(t: Tables) -> DataFrame:
-    tail = F.concat(F.lit("C"), F.repeat(F.lit("A"), (F.col("doc_id") % 5 + 12).cast("int")), F.substring(F.lit("GTCAGTCATCGGCTACGTTCAGGTCCAT"), F.lit(1), (F.col("doc_id") % 8 + 20).cast("int")))
+    tail = F.concat(F.lit("C"), F.repeat(F.lit("A"), (F.col("doc_id") % 5 + 12).cast("int")), F.substring(F.lit("GTCAGTC"), F.lit(1), (F.col("doc_id") % 8).cast("int")), F.lit("G"), F.expr(_NO_A.format(1, 19)))
     reads = t.x_seq.select(F.col("doc_id").alias("id"), F.concat(F.regexp_replace("raw", "[^ACGT]", ""), tail).alias("seq"))
     return singlecell.clip_tail(reads, 8, 12).select("id", "clip_len", "extra", "umi", "bc")
 
 
-@query(
-    """SELECT doc_id AS id, CASE WHEN doc_id % 4 > 0 THEN repeat('C', CAST(doc_id % 4 AS INT)) END AS extra, 'ACTACATC' AS umi FROM x_seq"""
-)
+@query(f"SELECT doc_id AS id, CASE WHEN doc_id % 4 > 0 THEN repeat('C', CAST(doc_id % 4 AS INT)) END AS extra, {_NO_G.format(1, 8)} AS umi FROM x_seq")
 def e30_clip_head(t: Tables) -> DataFrame:
-    head = F.concat(F.repeat(F.lit("C"), (F.col("doc_id") % 4).cast("int")), F.lit("ACTACATCGGGT"))
+    head = F.concat(F.repeat(F.lit("C"), (F.col("doc_id") % 4).cast("int")), F.expr(_NO_G.format(1, 8)), F.lit("GGGT"))
     reads = t.x_seq.select(F.col("doc_id").alias("id"), F.concat(head, F.regexp_replace("raw", "[^ACGT]", "")).alias("seq"))
     return singlecell.clip_head(reads, 8).select("id", "extra", "umi")
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 > 0 THEN repeat('T', CAST(doc_id % 3 AS INT)) END AS extra, 'ACTACATCAC' AS bc, 'TTCATC' AS umi, 'CATCGGG' AS tso FROM x_seq")
-def e30_clip_droplet(t: Tables) -> DataFrame:
-    head = F.concat(F.repeat(F.lit("T"), (F.col("doc_id") % 3).cast("int")), F.lit("ACTACATCACTTCATCCATCGGGT"))
+_DROPLET = f"SELECT doc_id AS id, CASE WHEN doc_id % 3 > 0 THEN repeat('T', CAST(doc_id % 3 AS INT)) END AS extra, {_NO_G.format(1, 10)} AS bc, {_NO_G.format(11, 6)} AS umi, 'CATCGGG' AS tso FROM x_seq"
+
+
+def _droplets(t: Tables) -> DataFrame:
+    head = F.concat(F.repeat(F.lit("T"), (F.col("doc_id") % 3).cast("int")), F.expr(_NO_G.format(1, 16)), F.lit("CATCGGGT"))
     reads = t.x_seq.select(F.col("doc_id").alias("id"), fs.reverse_complement(F.concat(head, F.regexp_replace("raw", "[^ACGT]", ""))).alias("seq"))
-    return singlecell.clip_droplet(reads, 6, 10, 4).select("id", "extra", "bc", "umi", "tso")
+    return singlecell.clip_droplet(reads, 6, 10, 4)
+
+
+@query(_DROPLET)
+def e30_clip_droplet(t: Tables) -> DataFrame:
+    return _droplets(t).select("id", "extra", "bc", "umi", "tso")
+
+
+@query(
+    f"""WITH d AS ({_DROPLET}), r AS (SELECT DISTINCT reverse(translate(bc, 'ACGT', 'TGCA')) AS b, CASE WHEN id % 4 = 0 THEN 'Y' ELSE 'N' END AS top FROM d WHERE id % 2 = 0)
+  SELECT id, reverse(translate(bc, 'ACGT', 'TGCA')) AS bc_rev, CASE WHEN max(top) IS NULL THEN 'N' ELSE 'Y' END AS bc_match, coalesce(max(top), 'N') AS bc_top_rank FROM d LEFT JOIN r ON b = reverse(translate(bc, 'ACGT', 'TGCA')) GROUP BY id, bc"""
+)
+def e30_whitelist(t: Tables) -> DataFrame:
+    """A list of known barcodes, half of them of top rank, against all."""
+    clipped = _droplets(t)
+    known = clipped.filter("id % 2 = 0").select(F.col("bc_rev").alias("cell_barcode"), F.when(F.col("id") % 4 == 0, "Y").otherwise("N").alias("top_ranked"))
+    return singlecell.with_whitelist(clipped, known).select("id", "bc_rev", "bc_match", "bc_top_rank")
 
 
 @query()
@@ -683,25 +755,13 @@ def j10_linked_cells(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT reverse(translate(a, 'ACGT', 'TGCA')) AS from_bc, reverse(translate(b, 'ACGT', 'TGCA')) AS to_bc FROM (
-  SELECT bc AS a, bc_ed AS b FROM umi_bc_error_correct WHERE bc_match = 'Y' AND bc IS NOT NULL AND bc_ed IS NOT NULL AND regexp_matches(bc || bc_ed, '^[ACGT]+$'))"""
+    f"""WITH r AS (SELECT DISTINCT {_TAG.format("bc")} AS bc, {_TAG.format("bc_ed")} AS ed, coalesce(bc_match = 'Y', false) AS matched FROM umi_bc_error_correct)
+  SELECT DISTINCT reverse(translate(bc, 'ACGT', 'TGCA')) AS from_bc, reverse(translate(ed, 'ACGT', 'TGCA')) AS to_bc FROM r WHERE bc IS NOT NULL AND ed IS NOT NULL AND (matched OR bc <> ed)"""
 )
 def s24_repair_map(t: Tables) -> DataFrame:
-    rows = t.umi_bc_error_correct.filter("bc RLIKE '^[ACGT]+$' AND bc_ed RLIKE '^[ACGT]+$'")
-    clean = rows.select(F.col("bc").alias("cell_barcode"), F.col("bc_ed").alias("repaired_to"), F.when(F.col("bc_match") == "Y", "TRUE").otherwise("FALSE").alias("repaired"))
-    empty = t.spark.createDataFrame([], "intended_sequence string, related_sequences string")
-    return singlecell.repair_map(clean, empty)
-
-
-@query(
-    """SELECT DISTINCT reverse(translate(bc, 'ACGT', 'TGCA')) AS from_bc, reverse(translate(bc_ed, 'ACGT', 'TGCA')) AS to_bc FROM umi_bc_error_correct
-  WHERE regexp_matches(bc, '^[ACGT]+$') AND regexp_matches(bc_ed, '^[ACGT]+$') AND (bc_match = 'Y' OR bc <> bc_ed)"""
-)
-def s24_repair_map_whole(t: Tables) -> DataFrame:
     """Both reports: matched rows as the clean one; of the others, the tags corrected to each as the synthesis one."""
-    rows = t.umi_bc_error_correct.filter("bc RLIKE '^[ACGT]+$' AND (bc_ed IS NULL OR bc_ed = 'NA' OR bc_ed RLIKE '^[ACGT]+$')")
-    matched = F.coalesce(F.col("bc_match") == "Y", F.lit(False))
-    clean = rows.select(F.col("bc").alias("cell_barcode"), F.col("bc_ed").alias("repaired_to"), F.when(matched, "TRUE").otherwise("FALSE").alias("repaired")).filter("repaired_to RLIKE '^[ACGT]+$'")
-    others = rows.filter(~matched & ~F.col("bc").eqNullSafe(F.col("bc_ed")))
-    synthesis = others.groupBy(F.col("bc_ed").alias("intended_sequence")).agg(F.concat_ws(":", F.collect_set("bc")).alias("related_sequences"))
+    rows = t.umi_bc_error_correct.select(tag_value("bc").alias("bc"), tag_value("bc_ed").alias("ed"), F.coalesce(F.col("bc_match") == "Y", F.lit(False)).alias("matched")).filter("bc is not null")
+    clean = rows.filter("ed is not null").select(F.col("bc").alias("cell_barcode"), F.col("ed").alias("repaired_to"), F.when(F.col("matched"), "TRUE").otherwise("FALSE").alias("repaired"))
+    others = rows.filter(~F.col("matched") & ~F.col("bc").eqNullSafe(F.col("ed")))
+    synthesis = others.groupBy(F.coalesce("ed", F.lit("NA")).alias("intended_sequence")).agg(F.concat_ws(":", F.collect_set("bc")).alias("related_sequences"))
     return singlecell.repair_map(clean, synthesis)

@@ -109,22 +109,12 @@ def j02_probe_hits(t: Tables) -> DataFrame:
     return seqtools.probe_hits(t.x_aln, _probes(t))
 
 
-_KNOWN = "SELECT DISTINCT chr, strand, \"left\" AS k_left, \"right\" AS k_right FROM scrub_sample_gff_junctions WHERE sample = 'J00_000' AND chr IS NOT NULL AND strand IS NOT NULL AND \"left\" < \"right\""
+_KNOWN = "SELECT DISTINCT chr, strand, \"left\" AS k_left, \"right\" AS k_right FROM scrub_sample_gff_junctions WHERE annotation = 'Y' AND chr IS NOT NULL AND strand IS NOT NULL AND \"left\" < \"right\""
 
 
-@query(
-    f"""WITH a AS (SELECT DISTINCT chr, strand, "left", "right" FROM scrub_sample_gff_junctions WHERE sample = 'J00_001'), k AS ({_KNOWN}),
-  m AS (SELECT a.chr, a.strand, "left", "right", k_left, k_right, abs("left" - k_left) + abs("right" - k_right) AS distance,
-    row_number() OVER (PARTITION BY a.chr, a.strand, "left", "right" ORDER BY abs("left" - k_left) + abs("right" - k_right), k_left, k_right) AS n
-    FROM a JOIN k ON a.chr = k.chr AND a.strand = k.strand AND abs("left" - k_left) <= 20 AND abs("right" - k_right) <= 20)
-  SELECT chr, strand, "left", "right", k_left, k_right, distance FROM m WHERE n = 1"""
-)
-def j03_nearest_junction(t: Tables) -> DataFrame:
-    rows = t.scrub_sample_gff_junctions
-    ours = rows.filter("sample = 'J00_001'").select("chr", "strand", "left", "right").distinct()
-    known = rows.filter("sample = 'J00_000' AND left < right").select("chr", "strand", F.col("left").alias("k_left"), F.col("right").alias("k_right")).distinct().dropna()
-    key = ["chr", "strand"]
-    return intervals.nearest(ours, known, key, ("left", "right"), ("k_left", "k_right"), 20, [*key, "left", "right"])
+def _known_junctions(t: Tables) -> DataFrame:
+    """Junctions that some report calls annotated."""
+    return t.scrub_sample_gff_junctions.filter("annotation = 'Y' AND left < right").select("chr", "strand", "left", "right").dropna().distinct()
 
 
 @query(
@@ -134,12 +124,11 @@ def j03_nearest_junction(t: Tables) -> DataFrame:
     FROM a JOIN k ON a.chr = k.chr AND a.strand = k.strand AND abs("left" - k_left) <= 20 AND abs("right" - k_right) <= 20)
   SELECT chr, strand, "left", "right", k_left, k_right, distance FROM m WHERE n = 1"""
 )
-def j03_nearest_junction_whole(t: Tables) -> DataFrame:
-    """The nearest known junction of the distinct junctions of all samples."""
-    rows = t.scrub_sample_gff_junctions
+def j03_nearest_junction(t: Tables) -> DataFrame:
+    """The nearest annotated junction of the distinct junctions of all samples."""
     key = ["chr", "strand"]
-    known = rows.filter("sample = 'J00_000' AND left < right").select(*key, F.col("left").alias("k_left"), F.col("right").alias("k_right")).distinct().dropna()
-    return intervals.nearest(rows.select(*key, "left", "right").distinct(), known, key, ("left", "right"), ("k_left", "k_right"), 20, [*key, "left", "right"])
+    known = _known_junctions(t).withColumnsRenamed({"left": "k_left", "right": "k_right"})
+    return intervals.nearest(t.scrub_sample_gff_junctions.select(*key, "left", "right").distinct(), known, key, ("left", "right"), ("k_left", "k_right"), 20, [*key, "left", "right"])
 
 
 @query(
@@ -148,9 +137,7 @@ def j03_nearest_junction_whole(t: Tables) -> DataFrame:
   LEFT JOIN k ON a.chr = k.chr AND a.strand = k.strand AND a."left" = k.k_left AND a."right" = k.k_right"""
 )
 def j11_known_junctions(t: Tables) -> DataFrame:
-    rows = t.scrub_sample_gff_junctions
-    known = rows.filter("sample = 'J00_000' AND left < right").dropna(subset=["chr", "strand"])
-    return junctions.with_annotation(rows.select("chr", "strand", "left", "right").distinct(), known)
+    return junctions.with_annotation(t.scrub_sample_gff_junctions.select("chr", "strand", "left", "right").distinct(), _known_junctions(t))
 
 
 _TRANSCRIPTS = "SELECT tid, chr, strand, string_agg(s || '-' || e, ',' ORDER BY s) AS exons, sum(e - s) AS exonic_length, max(e) - min(s) AS span, count(*) AS n_exons FROM x_exon GROUP BY tid, chr, strand"
@@ -222,9 +209,12 @@ _STAT = """WITH p AS (SELECT DISTINCT read_id, read_type, pbid FROM x_cluster LE
   FROM n WHERE read_type = 'FL' OR pbid IS NOT NULL OR k = 0"""
 
 
+def _cluster_groups(t: Tables) -> DataFrame:
+    return t.x_group.select("pbid", F.concat(F.lit("c"), F.substring("member", 6, 20).cast("bigint") % 700).alias("member"))
+
+
 def _read_stat(t: Tables) -> DataFrame:
-    groups = t.x_group.select("pbid", F.concat(F.lit("c"), F.substring("member", 6, 20).cast("bigint") % 700).alias("member"))
-    return counts.read_stat(groups, t.x_cluster)
+    return counts.read_stat(_cluster_groups(t), t.x_cluster)
 
 
 @query(_STAT)
@@ -234,7 +224,7 @@ def a02_read_stat(t: Tables) -> DataFrame:
 
 @query(f"SELECT pbid, count(*) AS count_fl, round(count(*) / sum(count(*)) OVER (), 9) AS norm_fl FROM ({_STAT}) WHERE is_fl = 'Y' AND pbid IS NOT NULL GROUP BY pbid")
 def a01_abundance(t: Tables) -> DataFrame:
-    return counts.abundance(_read_stat(t)).withColumn("norm_fl", F.round("norm_fl", 9))
+    return counts.cluster_abundance(_cluster_groups(t), t.x_cluster).withColumn("norm_fl", F.round("norm_fl", 9))
 
 
 @query("SELECT pbid, count(*) AS n_members FROM x_group GROUP BY 1")
@@ -255,6 +245,18 @@ def a05_demux_clusters(t: Tables) -> DataFrame:
     return counts.demux_long(t.x_cluster.filter("read_type = 'FL'").select(F.col("cluster_id").alias("pbid"), F.col("read_id").alias("id")), t.x_primer)
 
 
+@query("SELECT pbid, " + ", ".join(f"count(*) FILTER (WHERE CAST(substr(member, 6) AS BIGINT) % 7 = {i}) AS primer_{i}" for i in range(6)) + " FROM x_group GROUP BY pbid")
+def a05_demux_dense(t: Tables) -> DataFrame:
+    """Primer numbers within older cluster ids; the seventh is beyond the dense columns."""
+    number = F.substring("member", 6, 20).cast("bigint")
+    return counts.demux_dense(t.x_group.select("pbid", F.concat_ws("|", F.lit("i0"), number % 7, F.concat(F.lit("c"), number)).alias("id")), 6)
+
+
+@query("SELECT DISTINCT member AS id, 'Y' AS is_fl, 'unique' AS stat, pbid FROM x_group")
+def a29_group_read_stat(t: Tables) -> DataFrame:
+    return counts.group_read_stat(t.x_group.unionByName(t.x_group))
+
+
 @query("SELECT pbid, primer, count(*) AS n FROM x_group JOIN x_cluster ON concat('read/', substr(member, 6)) = read_id JOIN x_primer ON read_id = id WHERE read_type = 'FL' GROUP BY ALL")
 def a06_barcode_counts(t: Tables) -> DataFrame:
     fl = t.x_group.join(t.x_cluster.filter("read_type = 'FL'"), F.col("member") == F.col("read_id"))
@@ -288,9 +290,12 @@ def a09_length_histogram(t: Tables) -> DataFrame:
     return counts.length_histogram(t.collate_flnc_gene_info)
 
 
-@query("SELECT pbid, sum(count_fl) AS count_fl FROM sample_abundance WHERE pbid IS NOT NULL GROUP BY pbid HAVING sum(count_fl) >= 20")
+@query("SELECT pbid, count(*) AS count_fl FROM x_group GROUP BY pbid HAVING count(*) >= 10 AND max(CAST(substr(member, 6) AS BIGINT) % 12) >= 10")
 def pr02_filter_by_count(t: Tables) -> DataFrame:
-    return counts.filter_by_count(t.sample_abundance.filter("pbid is not null").groupBy("pbid").agg(F.sum("count_fl").alias("count_fl")), min_count=20)
+    """By the count of an isoform and the best count of a member, which its id has."""
+    number = F.substring("member", 6, 20).cast("bigint")
+    groups = t.x_group.select("pbid", F.concat(F.lit("i1/c"), number, F.lit("/f"), number % 12, F.lit("p"), number % 5).alias("member"))
+    return counts.filter_by_count(groups.groupBy("pbid").agg(F.count("*").alias("count_fl")), groups, min_count=10)
 
 
 @query("SELECT pbid, 'abundance' AS missing_in FROM (SELECT DISTINCT pbid FROM x_group) WHERE pbid NOT IN (SELECT pbid FROM sample_abundance WHERE pbid IS NOT NULL)")
@@ -340,7 +345,7 @@ def pr18_locus_reads(t: Tables) -> DataFrame:
 
 @query(
     """WITH r AS (SELECT gene, sum(fl_count) AS n FROM x_fl WHERE fl_count >= 2 GROUP BY 1), t AS (SELECT CAST(sum(n) AS BIGINT) AS total FROM r),
-  z AS (SELECT unnest(range(0, total + 1, 2000)) AS size FROM t UNION SELECT total FROM t)
+  z AS (SELECT unnest(range(0, total + 1, 2000)) AS size FROM t)
   SELECT size, round(sum(CASE WHEN total - n < size THEN 1 ELSE 1 - exp(lgamma(total - n + 1) - lgamma(total - n - size + 1) - lgamma(total + 1) + lgamma(total - size + 1)) END), 4) AS expected
   FROM z, t, r GROUP BY size"""
 )
@@ -422,6 +427,11 @@ def pr09_length_filter(t: Tables) -> DataFrame:
     return rarefaction.counted(t.x_fl, ["gene"], min_count=2, length=(310, 340))
 
 
-@query()
+@query("SELECT least(100, count(*)) AS n, least(100, count(*)) AS n_different, least(100, count(*)) AS n_known FROM (SELECT DISTINCT id, umi FROM clip_out_umi_cellbc)")
 def t09_random_sample(t: Tables) -> DataFrame:
-    return seqtools.random_sample(t.clip_out_umi_cellbc.select("id", "umi").distinct(), 100)
+    """A sample of 100 rows, counted: how many, how many different ones, and how many are rows of the table."""
+    rows = t.clip_out_umi_cellbc.select("id", "umi").distinct()
+    taken = seqtools.random_sample(rows, 100)
+    met = taken.join(rows.withColumnsRenamed({"id": "_id", "umi": "_umi"}), F.col("id").eqNullSafe(F.col("_id")) & F.col("umi").eqNullSafe(F.col("_umi")), "left_semi")
+    counted = taken.agg(F.count("*").alias("n"), F.count_distinct(F.struct("id", "umi")).alias("n_different"))
+    return counted.crossJoin(met.agg(F.count("*").alias("n_known")))

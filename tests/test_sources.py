@@ -1,12 +1,13 @@
 import datetime
 import gzip
+import random
 import struct
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import collapse, phasing, seqtools, singlecell
+from strandlake.operators import collapse, counts, fusion, junctions, phasing, seqtools, singlecell
 from strandlake.sources import alignments, annotations, sinks, tables
 from strandlake.streaming import counts as stream_counts
 
@@ -125,13 +126,99 @@ def test_groups_are_written_apart(spark, tmp_path):
     assert "".join(sorted((p.read_text() for p in (tmp_path / "t").glob("part*")))).startswith(">a\nA\n>b\nC\n")
 
 
+def plain_path_score(found, known):
+    """The best total over all ways to go through both paths, by recursion from the start."""
+    from functools import cache
+
+    @cache
+    def best(i, j):
+        if i == 0 or j == 0:
+            return 0.0
+        (s, e), (lo, hi) = found[i - 1], known[j - 1]
+        if min(e, hi) > max(s, lo):
+            return best(i - 1, j - 1) + (min(e, hi) - max(s, lo)) / (hi - lo)
+        return best(i - 1, j) - 2 if hi <= s else best(i, j - 1) - 1
+
+    ends = [best(len(found), j) for j in range(len(known) + 1)]
+    at = max(range(len(known), -1, -1), key=lambda j: ends[j])
+    return ends[at] - (len(known) - at)
+
+
+def test_path_scores():
+    rng = random.Random(3)
+    path = lambda: [(s := at + rng.randrange(0, 15), s + rng.randrange(1, 30)) for at in range(0, 50 * rng.randrange(1, 7), 50)]
+    for _ in range(200):
+        a, b = path(), path()
+        score, pairs = seqtools.path_score(a, b)
+        assert score == pytest.approx(plain_path_score(tuple(a), tuple(b)))
+        assert all(min(a[i][1], b[j][1]) > max(a[i][0], b[j][0]) for j, i in pairs) and pairs == sorted(pairs)
+
+
 def test_mapping_categories(spark):
     x = lambda *p: [{"start": a, "end": b} for a, b in p]
-    schema = f"id string, strand string, exons {collapse.EXONS}"
-    truth = spark.createDataFrame([(i, s, x((0, 10), (20, 30), (40, 50))) for i, s in zip("abcde", "++-++")], schema)
-    found = spark.createDataFrame([("a", "+", x((0, 10), (20, 30), (40, 50))), ("b", "+", x((21, 30), (40, 50))), ("c", "-", x((20, 30), (40, 50))), ("d", "+", x((0, 10), (40, 50)))], schema)
-    got = {r.id: r.category for r in seqtools.evaluate_mapping(found, truth).collect()}
-    assert got == {"a": "full", "b": "5miss1", "c": "3miss1", "d": "skipped", "e": "unmapped"}
+    schema = f"id string, chr string, strand string, exons {collapse.EXONS}"
+    full = ((0, 10), (20, 30), (40, 50))
+    found = spark.createDataFrame(
+        [("a", "c", "+", x(*full)), ("b", "c", "+", x((21, 30), (40, 50))), ("c", "c", "-", x((20, 30), (40, 50))), ("d", "c", "+", x((0, 10), (40, 50))), ("e", "d", "+", x(*full)), ("f", "c", "+", x((-30, -20), *full)), ("g", "c", "+", x((20, 30)))], schema
+    )
+    known = spark.createDataFrame([("t", "c", x(*full))], f"transcript string, chr string, exons {collapse.EXONS}")
+    rows = {r.id: r for r in seqtools.evaluate_mapping(found, known).collect()}
+    assert {k: r.category for k, r in rows.items()} == {"a": "full", "b": "5miss1", "c": "3miss1", "d": "skipped", "e": "bad", "f": "fused", "g": "bad"}
+    assert [tuple(p) for p in rows["b"].boundary] == [(1, 0), (0, 0)]
+
+
+def test_fusions_are_collated(spark):
+    x = lambda *p: [{"start": a, "end": b} for a, b in p]
+    genome = spark.createDataFrame([("c", "A" * 60 + "C" * 60 + "G" * 60 + "T" * 60)], "chr string, sequence string")
+    parts = spark.createDataFrame([("f1", 1, "c", "+", x((0, 20), (40, 63))), ("f1", 2, "c", "-", x((150, 183))), ("f2", 1, "c", "-", x((10, 30))), ("f2", 2, "d", "+", x((5, 9)))], f"fusion_id string, part int, chr string, strand string, exons {collapse.EXONS}")
+    classes = spark.createDataFrame([("f1", 1, "ga", "MK"), ("f1", 2, "gb", None), ("f2", 1, "novelGene_1", None), ("f2", 2, "gb", "MM")], "fusion_id string, part int, gene string, orf string")
+    counts_ = spark.createDataFrame([("f1", 3), ("f2", 1)], "fusion_id string, count_fl bigint")
+    ids = spark.createDataFrame([("gb", "E2"), ("gb", "E1"), ("ga", "E0")], "gene string, gene_id string")
+    got = {r.fusion_id: r for r in fusion.collate(parts, classes, counts_, genome, gene_ids=ids, min_distance=50).collect()}
+    f1, f2 = got["f1"], got["f2"]
+    assert (f1.fusion_name, f1.left_breakpoint, f1.right_breakpoint, f1.left_exons, f1.right_exons) == ("ga--gb", "c:63:+", "c:183:-", 2, 1)
+    assert (f1.left_flank, f1.right_flank) == ("A" * 47 + "C" * 3, "A" * 3 + "C" * 47)
+    assert (f1.score, f1.verdict, f1.left_gene_id, f1.right_gene_id, f1.left_orf, f1.left_cds) == (750_000.0, "PASS", "E0", "E1_E2", "MK", None)
+    assert (f2.verdict, f2.left_breakpoint, f2.right_breakpoint, f2.right_flank) == ("FAIL:NovelGene", "c:11:-", "d:5:+", None)
+    assert fusion.collate(parts, classes, min_distance=200).filter("fusion_id = 'f1'").first().verdict == "FAIL:BreakpointTooClose"
+
+
+def test_loci_to_phase(spark):
+    stat = spark.createDataFrame([(f"m/{i % 30}/0_9", f"PB.1.{i % 2 + 1}") for i in range(40)] + [("m/99/ccs", "PB.2.1"), ("m/77/ccs", "PB.1.1")], "id string, pbid string")
+    reads = spark.createDataFrame([(f"m/{i}/ccs", "ACGT") for i in range(30)] + [("m/99/ccs", "AC")], "id string, seq string")
+    loci, rows = phasing.loci_to_phase(stat, reads, min_reads=40)
+    assert [tuple(r) for r in loci.collect()] == [("PB.1", 40, 30)] and rows.count() == 30
+    x = [{"start": 100, "end": 200}, {"start": 300, "end": 990}]
+    records = spark.createDataFrame([("PB.1.1", "c", "+", x), ("PB.2.1", "c", "+", x)], f"pbid string, chr string, strand string, exons {collapse.EXONS}")
+    config = phasing.locus_configs(loci, records, spark.createDataFrame([("c", 1000)], "chr string, length bigint"))
+    assert [tuple(r) for r in config.collect()] == [("PB.1", "c", "+", 40, 1000)]
+    assert [r.pbid for r in phasing.strictly_within(records, "c", 100, 990, "+").collect()] == ["PB.1.1", "PB.2.1"]
+    assert phasing.strictly_within(records, "c", 101, 990, "+").count() == 0
+    regions = phasing.fake_genome(records.selectExpr("'c' AS chr", "explode(exons) AS x").selectExpr("chr", "x.start AS s", "x.end AS e"), ["chr"], flank=5)
+    genome = spark.createDataFrame([("c", "ACGT" * 250)], "chr string, sequence string")
+    assert sorted(tuple(r) for r in regions.collect()) == [("c", 0, 85, 205), ("c", 120, 295, 1005)]
+    regions = regions.withColumn("ref_end", F.least("ref_end", F.lit(1000)))
+    text = "ACGT" * 250
+    assert phasing.fake_sequence(regions, genome, ["chr"]).first().sequence == text[85:205] + text[295:1000]
+
+
+def test_motifs_over_windows(spark):
+    genome = spark.createDataFrame([("c", "AAAAGTTTTTTAGCC")], "chr string, sequence string")
+    report = spark.createDataFrame([("c", 3, 13, "+"), ("c", 3, 13, "-"), ("d", 3, 13, "+"), ("c", 3, 40, "+")], "chr string, left bigint, right bigint, strand string")
+    got = [(r.chr, r.right, r.strand, r.genome) for r in junctions.with_motif(report, genome).collect()]
+    assert sorted(got, key=str) == sorted([("c", 13, "+", "GT-AG"), ("c", 13, "-", "CT-AC"), ("d", 13, "+", None), ("c", 40, "+", None)], key=str)
+    spans = spark.createDataFrame([("c", 2, 11), ("c", 12, 15), ("c", 14, 99), ("c", None, 2), ("c", 5, 5)], "chr string, s bigint, e bigint")
+    cut = [(r.s, r.piece) for r in seqtools.cut_sequences(spans, genome, "s", "e", size=4).collect()]
+    assert sorted(cut, key=str) == sorted([(2, "AAGTTTTTT"), (12, "GCC"), (14, None), (None, None), (5, None)], key=str)
+
+
+def test_abundance_of_clusters_equals_that_of_reads(spark):
+    rng = random.Random(6)
+    groups = spark.createDataFrame([(f"p{rng.randrange(5)}", f"c{rng.randrange(8)}") for _ in range(30)] + [(None, "c1"), ("p1", None)], "pbid string, member string")
+    clusters = spark.createDataFrame([(f"c{rng.randrange(10)}", f"r{rng.randrange(60)}", rng.choice(["FL", "FL", "NonFL"])) for _ in range(150)] + [(None, "r1", "FL")], "cluster_id string, read_id string, read_type string")
+    one = {(r.pbid, r.count_fl, round(r.norm_fl, 9)) for r in counts.abundance(counts.read_stat(groups.dropna(), clusters.dropna())).collect()}
+    assert one == {(r.pbid, r.count_fl, round(r.norm_fl, 9)) for r in counts.cluster_abundance(groups, clusters).collect()}
+    assert counts.cluster_abundance(groups.limit(0), clusters).count() == 0
 
 
 def test_adapter_clip(spark):
