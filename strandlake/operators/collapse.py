@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -53,7 +53,7 @@ def transcripts(exons: DataFrame, key: Sequence[str], start: str = "s", end: str
 
 def gene_clusters(records: DataFrame, keys: Sequence[str] = ("chr",), strand: str = "strand", start: str = "start", end: str = "end") -> DataFrame:
     """Number loci by overlap, first on both strands together and then within each strand: ``island``, ``gene``."""
-    joint = islands(records, keys, start, end)
+    joint = stage(islands(records, keys, start, end), "loci")  # as the second step reads it twice
     return islands(joint, [*keys, "island", strand], start, end, island="gene")
 
 
@@ -127,25 +127,46 @@ def merge_locus(rows: list[tuple[int, list[tuple[int, int]]]], strand: str, merg
         ([i for s, e in exons for i in range(first_at[s], last_at[e] + 1)], [key])
         for key, exons in sorted(rows, key=lambda x: (x[1][0][0], x[1][-1][1], x[0]))
     ]
-    # Only a path that begins on a segment of the one that grows may join it, and only if it goes on
-    # to the same segment next; so the paths wait by their first two segments.
-    waiting: dict[int, dict[int | None, list[int]]] = {}
+    # What two paths share must be equal to the end of one of them.  The paths wait in a tree by their segments, so
+    # that walking down a path from one of its segments meets just those that may join it there.
+    tree: dict = {}
     for at, (path, _) in enumerate(queue):
-        waiting.setdefault(path[0], {}).setdefault(path[1] if len(path) > 1 else None, []).append(at)
+        node = tree
+        for segment in path:
+            node = node.setdefault(segment, {})
+        node.setdefault(None, []).append(at)
+
+    def below(node: dict) -> Iterator[int]:
+        nodes = [child for segment, child in node.items() if segment is not None]
+        while nodes:
+            node = nodes.pop()
+            yield from node.get(None, ())
+            nodes += (child for segment, child in node.items() if segment is not None)
+
+    def meeting(path: list[int], lead: int) -> Iterator[int]:
+        node = tree
+        for segment in path[lead:]:
+            node = node.get(segment)
+            if node is None:
+                return
+            yield from node.get(None, ())
+        yield from below(node)
+
     taken = [False] * len(queue)
     done = []
     for at, (path, ids) in enumerate(queue):
         if taken[at]:
             continue
-        taken[at], i = True, 0
-        while i < len(path):
-            by_next = waiting.get(path[i], {})
-            names = [None, path[i + 1]] if i + 1 < len(path) else list(by_next)
-            for other in sorted(x for name in names for x in by_next.get(name, ()) if x > at and not taken[x]):
+        taken[at], lead, passed = True, 0, at
+        while lead < len(path):
+            for other in sorted(x for x in meeting(path, lead) if x > passed and not taken[x]):
+                passed = other
                 if mergeable(path, queue[other][0], segments, strand, merge_5, max_5_diff, max_3_diff):
-                    # The joined path begins here or later, so what was passed stays as it is.
+                    # The joined path differs from here on only, so what was passed stays as it is.
                     path, ids, taken[other] = sorted({*path, *queue[other][0]}), ids + queue[other][1], True
-            i += 1
+                    break
+            else:
+                lead += 1
         done.append((path, ids))
     out = []
     for path, ids in done:
@@ -215,7 +236,7 @@ def collapse(
     rows = rows.withColumn("shape", shape)
     distinct = rows.groupBy("chr", "strand", "shape").agg(F.first("exons").alias("exons"), F.countDistinct("read_id").alias("n"))
     distinct = distinct.withColumns({"start": F.col("exons")[0]["start"], "end": F.element_at("exons", -1)["end"]})
-    placed = gene_clusters(distinct)
+    placed = stage(gene_clusters(stage(distinct, "structures")), "placed")
 
     def merge(key: tuple, rows: list[tuple]) -> list[tuple]:
         strand = key[2]
@@ -231,7 +252,7 @@ def collapse(
 
     key = ["chr", "island", "strand", "gene"]
     schema = f"chr string, island bigint, strand string, gene bigint, shape bigint, isoform_idx bigint, exons {EXONS}, n_reads bigint"
-    merged = map_groups(placed.select(*key, "shape", "exons", "n"), key, merge, schema)
+    merged = map_groups(placed.select(*key, "shape", compare.flat("exons").alias("exons"), "n"), key, merge, schema)
     genes = placed.groupBy("chr", "island", "strand", "gene").agg(F.min("start").alias("_at"))
     numbered = number_rows(genes, ["chr", "_at", "strand", "island", "gene"], "gene_idx").drop("_at")
     named = merged.join(numbered, ["chr", "island", "strand", "gene"]).filter(F.col("n_reads") >= min_reads)

@@ -85,8 +85,17 @@ def is_degraded(long: Exons, short: Exons, strand: str, fuzzy: int) -> bool:
 
 
 def as_exons(value) -> list[tuple[int, int]]:
-    """Exons from an array of structs as it comes to pandas."""
-    return [(x["start"], x["end"]) for x in value]
+    """Exons from an array of structs, or from one of ``flat``, as it comes to Python."""
+    if len(value) and isinstance(value[0], (dict, tuple)):
+        return [(x["start"], x["end"]) if isinstance(x, dict) else tuple(x) for x in value]
+    ends = value.tolist() if hasattr(value, "tolist") else value
+    return list(zip(ends[::2], ends[1::2]))
+
+
+def flat(exons: Column | str) -> Column:
+    """An exon array as one array of starts and ends, which passes to Python faster; null for null."""
+    exons = F.col(exons) if isinstance(exons, str) else exons
+    return F.flatten(F.transform(exons, lambda x: F.array(x["start"].cast("bigint"), x["end"].cast("bigint"))))
 
 
 def relation_of(a: Column | str, b: Column | str, strand: Column | str, fuzzy: int = 0, max_5_diff: int = ANY, max_3_diff: int = ANY) -> Column:
@@ -101,7 +110,7 @@ def relation_of(a: Column | str, b: Column | str, strand: Column | str, fuzzy: i
             dtype=object,
         )
 
-    return run(a, b, strand)
+    return run(flat(a), flat(b), strand)
 
 
 def junctions(exons: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.alignment import cigar_ops, cigar_summary, is_unmapped
 from strandlake.functions.sequence import overlap_length, reverse_complement
+from strandlake.operators import compare
 from strandlake.operators.intervals import overlap_join
 from strandlake.session import prepare
 
@@ -228,19 +229,20 @@ def exon_path_score(record: DataFrame, annotation: DataFrame, keys: Sequence[str
     prepare(record.sparkSession)
     keys = list(keys)
     a = record.filter(F.size("exons") > 0).select("id", *keys, F.col("exons").alias("_x"), F.col("exons")[0]["start"].alias("_s"), F.element_at("exons", -1)["end"].alias("_e"))
-    b = annotation.filter(F.size("exons") > 0).select("transcript", *keys, F.col("exons").alias("_y"), F.explode("exons").alias("_z"))
-    b = b.select("transcript", *keys, "_y", F.col("_z.start").alias("_p"), F.col("_z.end").alias("_q"))
-    pairs = overlap_join(a, b, keys, ("_s", "_e"), ("_p", "_q"), bin_size).groupBy("id", "transcript", "_x", "_y").agg(F.lit(1)).drop("1")
+    b = annotation.filter(F.size("exons") > 0).select("transcript", *keys, F.col("exons").alias("_y"), F.col("exons")[0]["start"].alias("_p"), F.element_at("exons", -1)["end"].alias("_q"))
+    inside = F.exists("_y", lambda z: (z["start"] < F.col("_e")) & (F.col("_s") < z["end"]))
+    pairs = overlap_join(a, b, keys, ("_s", "_e"), ("_p", "_q"), bin_size).filter(inside).select("id", "transcript", "_x", "_y")
 
-    @F.pandas_udf("score double, matched array<struct<known:int,found:int>>")
+    @F.pandas_udf("score double, known array<int>, found array<int>")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         rows = []
         for p, q in zip(x, y):
-            score, matched = path_score([(u["start"], u["end"]) for u in p], [(u["start"], u["end"]) for u in q])
-            rows.append((score, [{"known": k, "found": f} for k, f in matched]))
-        return pd.DataFrame(rows, columns=["score", "matched"])
+            score, matched = path_score(compare.as_exons(p), compare.as_exons(q))
+            rows.append((score, [k for k, _ in matched], [f for _, f in matched]))
+        return pd.DataFrame(rows, columns=["score", "known", "found"])
 
-    scored = pairs.select("id", "transcript", F.size("_y").alias("n_known"), run("_x", "_y").alias("_r")).select("id", "transcript", "n_known", "_r.*").filter("score > 0")
+    scored = pairs.select("id", "transcript", F.size("_y").alias("n_known"), run(compare.flat("_x"), compare.flat("_y")).alias("_r"))
+    scored = scored.select("id", "transcript", "n_known", "_r.score", F.arrays_zip("_r.known", "_r.found").alias("matched")).filter("score > 0")
     # The best score, and of equal ones the least transcript.
     top = scored.groupBy("id").agg(F.max("score").alias("score"))
     best = scored.join(top, ["id", "score"]).groupBy("id").agg(F.min_by(F.struct("transcript", "score", "n_known", "matched"), "transcript").alias("_b"))

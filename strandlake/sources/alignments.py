@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandlake.functions.alignment import cigar_segments, cigar_summary, coverage, identity, sam_flag
+from strandlake.session import prepare
 
 FIELDS = ("read_id", "flag", "chr", "pos", "mapq", "cigar", "mate_chr", "mate_pos", "tlen", "seq", "qual")
 
@@ -91,60 +92,131 @@ _SCHEMA = (
 )
 
 
-def _blocks(path: str) -> Iterator[tuple[int, int]]:
-    """Place and size of each compressed block, from the block headers alone."""
-    with open(path, "rb") as file:
-        at = 0
-        while len(head := file.read(18)) == 18:
-            extra = struct.unpack_from("<H", head, 10)[0]
-            fields = head[12:] + file.read(extra - 6)
-            size, i = None, 0
-            while i + 4 <= extra:
-                length = struct.unpack_from("<H", fields, i + 2)[0]
-                if fields[i : i + 2] == b"BC":
-                    size = struct.unpack_from("<H", fields, i + 4)[0] + 1
-                i += 4 + length
-            if size is None:
-                raise ValueError(f"{path} is not a block-compressed file")
-            yield at, size
-            at += size
-            file.seek(at)
-
-
-def _inflate(path: str, blocks: list[tuple[int, int]]) -> Iterator[bytes]:
-    with open(path, "rb") as file:
-        for at, size in blocks:
-            file.seek(at)
-            yield zlib.decompress(file.read(size), wbits=31)
+#: Bytes of a block header up to its extra fields; a block holds at most this many bytes before and after compression.
+_HEAD, _BLOCK = 18, 1 << 16
+#: Records that must follow each other for a place to count as the beginning of one.
+_CHAIN = 6
+
+
+def _open(path: str):
+    """A file of any file system that Arrow knows (local, HDFS, S3, GCS), by path or URI: a reader with ``seek``, and the size."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    return system.open_input_file(place), system.get_file_info(place).size
+
+
+def _block_size(head: bytes) -> int | None:
+    """Size of the compressed block that begins with ``head``, or None if no block does."""
+    if len(head) < _HEAD or head[:4] != b"\x1f\x8b\x08\x04":
+        return None
+    extra, i = struct.unpack_from("<H", head, 10)[0], 12
+    while i + 6 <= min(12 + extra, len(head)):
+        length = struct.unpack_from("<H", head, i + 2)[0]
+        if head[i : i + 2] == b"BC" and length == 2:
+            return struct.unpack_from("<H", head, i + 4)[0] + 1
+        i += 4 + length
+    return None
+
+
+def _first_block(file, size: int, low: int, high: int) -> int | None:
+    """The first place from ``low`` and before ``high`` at which a block begins: one that another one or the end follows."""
+    at = low
+    while at < high:
+        file.seek(at)
+        window = file.read(2 * _BLOCK)
+        i = window.find(b"\x1f\x8b\x08\x04")
+        while 0 <= i < min(_BLOCK, high - at):
+            length = _block_size(window[i : i + 64])
+            if length is not None:
+                after = at + i + length
+                file.seek(after)
+                if after == size or _block_size(file.read(64)) is not None:
+                    return at + i
+            i = window.find(b"\x1f\x8b\x08\x04", i + 1)
+        at += _BLOCK
+    return None
 
 
 class _Stream:
-    """Bytes of consecutive blocks, with the place of each block."""
+    """The inflated bytes from a block on; ``block_of`` tells in which block a byte lies."""
 
-    def __init__(self, chunks: Iterator[bytes]):
-        self.chunks, self.data, self.read = chunks, b"", 0
+    def __init__(self, file, start: int):
+        self.file, self.next, self.data, self.offset = file, start, b"", 0
+        self.starts: list[tuple[int, int]] = []  # inflated place and compressed place of each block that was read
 
-    def take(self, n: int) -> bytes | None:
+    def fill(self, n: int) -> bool:
+        """Whether there are ``n`` bytes from here."""
         while len(self.data) < n:
-            chunk = next(self.chunks, None)
-            if chunk is None:
-                return None
-            self.data += chunk
+            self.file.seek(self.next)
+            size = _block_size(head := self.file.read(64))
+            if size is None:
+                return False
+            raw = head[:size] + (self.file.read(size - len(head)) if size > len(head) else b"")
+            self.starts.append((self.offset + len(self.data), self.next))
+            self.data += zlib.decompress(raw, wbits=31)
+            self.next += size
+        return True
+
+    def take(self, n: int) -> bytes | None:
+        if not self.fill(n):
+            return None
         out, self.data = self.data[:n], self.data[n:]
-        self.read += n
+        self.offset += n
         return out
 
+    def block(self) -> int:
+        """Compressed place of the block in which the next byte lies."""
+        self.fill(1)
+        while len(self.starts) > 1 and self.starts[1][0] <= self.offset:
+            self.starts.pop(0)
+        return self.starts[0][1] if self.starts else self.next
+
 
-def _header(stream: _Stream) -> tuple[str, list[str]]:
+def _header(stream: _Stream) -> tuple[list[str], list[int]]:
+    """Names and lengths of the references."""
     if stream.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
-    text = stream.take(struct.unpack("<i", stream.take(4))[0]).decode()
-    names = []
+    stream.take(struct.unpack("<i", stream.take(4))[0])
+    names, lengths = [], []
     for _ in range(struct.unpack("<i", stream.take(4))[0]):
         size = struct.unpack("<i", stream.take(4))[0]
         names.append(stream.take(size)[:-1].decode())
-        stream.take(4)
-    return text, names
+        lengths.append(struct.unpack("<i", stream.take(4))[0])
+    return names, lengths
+
+
+def _record_at(stream: _Stream, at: int, lengths: list[int]) -> int | None:
+    """Place behind the record that may begin ``at`` bytes from here, or None if none can."""
+    if not stream.fill(at + 36):
+        return None
+    size, ref, pos, name, _, _, ops, _, bases, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", stream.data, at)
+    if not (-1 <= ref < len(lengths) and -1 <= mate < len(lengths) and name and 0 <= bases < 1 << 28 and pos >= -1 and mate_pos >= -1):
+        return None
+    if ref >= 0 and pos >= lengths[ref] or mate >= 0 and mate_pos >= lengths[mate]:
+        return None
+    if not 32 + name + 4 * ops + (bases + 1) // 2 + bases <= size < 1 << 29 or not stream.fill(at + 36 + name):
+        return None
+    text = stream.data[at + 36 : at + 36 + name]
+    return at + 4 + size if text[-1] == 0 and all(33 <= c <= 126 for c in text[:-1]) else None
+
+
+def _synchronise(stream: _Stream, lengths: list[int]) -> bool:
+    """Go on to the first byte from which _CHAIN records, or all to the end of the file, follow each other."""
+    while stream.fill(36):
+        at, ok = 0, True
+        for _ in range(_CHAIN):
+            at = _record_at(stream, at, lengths)
+            if at is None:
+                ok = False
+                break
+            if not stream.fill(at + 1):
+                ok = stream.fill(at)
+                break
+        if ok:
+            return True
+        stream.take(1)
+    return False
 
 
 def _tags(data: bytes) -> dict[str, str]:
@@ -185,68 +257,62 @@ def _record(data: bytes, names: list[str]) -> tuple:
 
 
 class _Part(InputPartition):
-    def __init__(self, blocks: list[tuple[int, int]], skip: int, size: int):
+    def __init__(self, path: str, low: int, high: int):
         super().__init__(None)
-        self.blocks, self.skip, self.size = blocks, skip, size
+        self.path, self.low, self.high = path, low, high
 
 
 class _BamReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file:")
-        self.per_part = int(options.get("blocksPerPartition", "512"))
+        self.paths = options["path"].split(",")
+        self.split = int(options.get("splitBytes", 32 << 20))
+        self.start, self.end = (int(options[k]) if k in options else None for k in ("start", "end"))
 
     def partitions(self) -> list[_Part]:
-        """Ranges of blocks.  Records run over block ends, so the lengths of records are followed once
-        through the inflated blocks, without decoding records, to find where each range begins."""
-        blocks = list(_blocks(self.path))
-        sizes: list[int] = []
-
-        def measured() -> Iterator[bytes]:
-            for chunk in _inflate(self.path, blocks):
-                sizes.append(len(chunk))
-                yield chunk
-
-        stream = _Stream(measured())
-        _header(stream)
-        begin = at = stream.read
-        cuts, limit = [begin], 0
-        starts = []
-        while (head := stream.take(4)) is not None:
-            starts.append(at)
-            n = struct.unpack("<i", head)[0]
-            stream.take(n)
-            at += 4 + n
-        ends, total = [], 0
-        for size in sizes:
-            total += size
-            ends.append(total)
-        parts, first = [], 0
-        for low in range(0, len(blocks), self.per_part):
-            limit = ends[min(low + self.per_part, len(blocks)) - 1]
-            own = [x for x in starts[first:] if x < limit]
-            if not own:
-                continue
-            stop = starts[first + len(own)] if first + len(own) < len(starts) else at
-            b0 = next(i for i, e in enumerate(ends) if e > own[0])
-            b1 = next(i for i, e in enumerate(ends) if e >= stop)
-            parts.append(_Part(blocks[b0 : b1 + 1], own[0] - (ends[b0] - sizes[b0]), stop - own[0]))
-            first += len(own)
-        return parts or [_Part([], 0, 0)]
+        """Ranges of bytes of the files, by their size alone: nothing is read here."""
+        parts = []
+        for path in self.paths:
+            file, size = _open(path)
+            file.close()
+            step = size if self.start is not None or self.end is not None else self.split
+            parts += [_Part(path, low, min(low + step, size)) for low in range(0, size, max(1, step))]
+        return parts or [_Part("", 0, 0)]
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        with_header = _Stream(_inflate(self.path, list(_blocks(self.path))))
-        names = _header(with_header)[1]
-        stream = _Stream(_inflate(self.path, part.blocks))
-        stream.take(part.skip)
-        left = part.size
-        while left > 0:
-            n = struct.unpack("<i", stream.take(4))[0]
-            yield _record(stream.take(n), names)
-            left -= 4 + n
+        """The records that begin in a block that begins in the range.
+
+        The first range begins behind the header.  Others look for their first block and then for
+        the first record there; the range before reads on up to that record.
+        """
+        if part.high <= part.low:
+            return
+        file, size = _open(part.path)
+        stream = _Stream(file, 0)
+        names, lengths = _header(stream)
+        if part.low:
+            block = _first_block(file, size, part.low, part.high)
+            if block is None:
+                return
+            stream = _Stream(file, block)
+            if not _synchronise(stream, lengths):
+                return
+        number = 0
+        while stream.block() < part.high and (head := stream.take(4)) is not None:
+            data = stream.take(struct.unpack("<i", head)[0])
+            if (self.start is None or number >= self.start) and (self.end is None or number < self.end):
+                yield _record(data, names)
+            number += 1
+            if self.end is not None and number >= self.end:
+                return
 
 
 class BamSource(DataSource):
-    """``spark.read.format("strandlake_bam")``: BAM files on a file system that all executors share."""
+    """``spark.read.format("strandlake_bam")``: BAM files on a file system that Arrow knows, split by ranges of bytes.
+
+    Options: ``splitBytes``; ``start`` and ``end``, the numbers of the first record and of the one behind
+    the last, from 0 in each file, which one task then reads.  A range finds its first record by
+    what a record must look like, several in a row.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -260,6 +326,7 @@ class BamSource(DataSource):
 
 
 def read_bam(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Records of a BAM file, in the columns of ``read_sam``; options: ``blocksPerPartition``."""
+    """Records of a BAM file, or of several joined by commas, in the columns of ``read_sam``; options: see ``BamSource``."""
+    prepare(spark)
     spark.dataSource.register(BamSource)
     return spark.read.format("strandlake_bam").options(**options).load(path)

@@ -36,7 +36,7 @@ def test_bam_in_parts(spark, tmp_path):
     records = [(f"read{i}", i * 10, [(2, "S"), (5, "M"), (100, "N"), (3, "M")], "ACGTACGTAC", tags) for i in range(40)] + [("none", -1, [], "ACG", b"")]
     path = tmp_path / "x.bam"
     path.write_bytes(bam_bytes(records, 333))
-    df = alignments.read_bam(spark, str(path), blocksPerPartition=2)
+    df = alignments.read_bam(spark, str(path), splitBytes=500)
     assert df.rdd.getNumPartitions() > 3
     rows = df.orderBy("pos", "read_id").collect()
     assert [r.read_id for r in rows] == ["none"] + [f"read{i}" for i in range(40)]
@@ -47,6 +47,26 @@ def test_bam_in_parts(spark, tmp_path):
     assert [(x.start, x.end) for x in one.exons] == [(30, 35), (135, 138)]
 
 
+def test_bam_ranges_hold_each_record_once(tmp_path):
+    rng = random.Random(9)
+    records = [(f"m/{i}/ccs", rng.randrange(900), [(rng.randrange(1, 40), "M")], "ACGTTGCA" * rng.randrange(1, 60), b"XAZ" + bytes(rng.choice(b"\x41\x42\x43") for _ in range(rng.randrange(30))) + b"\0") for i in range(300)]
+    path = tmp_path / "y.bam"
+    for per_block in (200, 5000):  # shorter and longer than a record
+        path.write_bytes(bam_bytes(records, per_block))
+        for split in (90, 1000, 7777, 1 << 20):
+            reader = alignments._BamReader({"path": str(path), "splitBytes": str(split)})
+            assert [r[0] for p in reader.partitions() for r in reader.read(p)] == [r[0] for r in records], (per_block, split)
+    reader = alignments._BamReader({"path": str(path), "start": "5", "end": "8"})
+    assert [r[0] for p in reader.partitions() for r in reader.read(p)] == [f"m/{i}/ccs" for i in (5, 6, 7)]
+
+
+def test_bam_parts_are_cut_without_inflating(tmp_path, monkeypatch):
+    path = tmp_path / "z.bam"
+    path.write_bytes(bam_bytes([("a", 1, [(3, "M")], "ACG", b"")] * 100, 300))
+    monkeypatch.setattr(alignments.zlib, "decompress", None)
+    assert len(alignments._BamReader({"path": str(path), "splitBytes": "100"}).partitions()) > 5
+
+
 def test_fasta_and_fastq(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">one first\nACG\nT\n>two\n\n>three x\nGG\n")
     got = {r.id: (r.header, r.seq) for r in tables.read_sequences(spark, str(tmp_path / "a.fa")).collect()}
