@@ -154,6 +154,22 @@ def alignment_ops(alignment: Column | str, query: Column | str, target: Column |
     return F.array_join(letters, "")
 
 
+def spare_homopolymers(bits: Column | str, query: Column | str, target: Column | str) -> Column:
+    """Error bits without those of gaps within a run of one base: an inserted or missing base that equals
+    the one before or behind it in the same sequence counts as a match."""
+    bits, q, t = (F.col(c) if isinstance(c, str) else c for c in (bits, query, target))
+    base = F.upper(F.when(F.substring(q, 1, 1) == "", F.lit("")).otherwise(q))
+    other = F.upper(t)
+    letters = F.filter(F.split(bits, ""), lambda x: x != "")
+    at = lambda c, i: F.substring(c, i.cast("int"), F.lit(1))
+
+    def same(c: Column, i: Column) -> Column:
+        return (at(c, i) == at(c, i + 1)) | ((i > 1) & (at(c, i) == at(c, F.greatest(i - 1, F.lit(1)))))
+
+    spared = F.transform(letters, lambda x, i: F.when((at(other, i + 1) == "-") & same(base, i + 1) | (at(base, i + 1) == "-") & same(other, i + 1), F.lit("0")).otherwise(x))
+    return F.when(bits.isNotNull(), F.array_join(spared, ""))
+
+
 def has_error_run(df: DataFrame, bits: str, penalty: int = 4, least: int = 10) -> DataFrame:
     """Add ``has_run``: whether a stretch of at least ``least`` places has a score that isn't negative."""
     parts = F.filter(F.split(F.col(bits), ""), lambda x: x != "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.plans import genomics, phased, problems, registry, spine  # noqa: F401  (importing registers the queries)
+from strandlake.plans import extras, genomics, phased, problems, registry, spine  # noqa: F401  (importing registers the queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

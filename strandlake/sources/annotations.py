@@ -38,7 +38,7 @@ DIALECTS = {
     "collapsed": {"style": "gtf", "id": "transcript_id", "gene": "gene_id", "exon": "exon"},
     "ucsc": {"style": "gtf", "id": "transcript_id", "gene": "gene_id", "exon": "exon"},
     "gmap": {"style": "gff3", "id": "Parent", "gene": "Parent", "exon": "exon"},
-    "pasa": {"style": "gff3", "id": "ID", "gene": "ID", "exon": "cDNA_match"},
+    "pasa": {"style": "gtf", "id": "transcript_id", "gene": "gene_id", "exon": "exon"},
     "maize": {"style": "gff3", "id": "Parent", "gene": "Parent", "exon": "exon"},
     "exonerate": {"style": "gff2", "id": "Query", "gene": "sequence", "exon": "exon"},
 }
@@ -64,6 +64,71 @@ def transcripts(features: DataFrame, dialect: str = "collapsed") -> DataFrame:
     return out.withColumns({"start": F.col("exons")[0]["start"], "end": F.element_at("exons", -1)["end"]})
 
 
+# The dialect that a program's name in the second column stands for.
+PROGRAMS = {"GMAP": "gmap", "PASA": "pasa"}
+
+
+def dialect_of(features: DataFrame) -> str:
+    """The dialect that the program of the first feature has; another program is an error."""
+    first = features.select("source").first()
+    if first is None or first[0] not in PROGRAMS:
+        raise ValueError(f"no dialect for the program {first and first[0]}")
+    return PROGRAMS[first[0]]
+
+
+def gmap_transcripts(features: DataFrame, colinear: bool = True) -> DataFrame:
+    """Aligned transcripts of GFF3: those of ``transcripts`` with ``name``, ``coverage``, ``identity``, ``cds_start``, ``cds_end`` and
+    ``q_exons``, the part of the read of each exon, in the order of ``exons``; read places from 0, exclusive.
+
+    An mRNA line has the attributes ID, Name, coverage and identity; exon and CDS lines name it as Parent
+    and have ``Target=<read> <start> <end> [strand]``.  Exons are colinear if their places on the read ascend
+    along the strand; with ``colinear`` other records are left out.
+    """
+    def target(i: int):
+        return F.regexp_extract("attributes", r"(?:^|;) *Target=\S+ ([0-9]+) ([0-9]+)", i)
+
+    head = features.filter("feature = 'mRNA'").select(
+        attribute("ID", "gff3").alias("id"), attribute("Name", "gff3").alias("name"),
+        attribute("coverage", "gff3").cast("double").alias("coverage"), attribute("identity", "gff3").cast("double").alias("identity"),
+    )
+    rows = features.filter("feature IN ('exon', 'CDS')").withColumns({"id": attribute("Parent", "gff3"), "_q": F.when(target(1) != "", target(1).cast("bigint") - 1), "_r": F.when(target(2) != "", target(2).cast("bigint"))})
+    is_exon = F.col("feature") == "exon"
+    pairs = F.array_sort(F.collect_list(F.when(is_exon, F.struct("s", F.struct(F.col("_q").alias("start"), F.col("_r").alias("end")).alias("q")))))
+    ends = rows.groupBy("id").agg(F.transform(pairs, lambda x: x["q"]).alias("q_exons"), F.min(F.when(~is_exon, F.col("_q"))).alias("cds_start"), F.max(F.when(~is_exon, F.col("_r"))).alias("cds_end"))
+    out = transcripts(features, "gmap").drop("gene").join(ends, "id").join(head, "id", "left")
+    if not colinear:
+        return out
+    along = F.when(F.col("strand") == "-", F.reverse("q_exons")).otherwise(F.col("q_exons"))
+    behind = F.zip_with(F.slice(along, F.lit(1), F.size(along) - 1), F.slice(along, F.lit(2), F.size(along) - 1), lambda x, y: F.coalesce(y["start"] < x["end"], F.lit(False)))
+    return out.filter((F.size("q_exons") < 2) | ~F.exists(behind, lambda x: x))
+
+
+def transcripts_of_exons(features: DataFrame) -> DataFrame:
+    """Annotated transcripts of each exon (GTF): ``chr``, ``strand``, ``s``, ``e``, ``transcripts`` sorted."""
+    rows = features.filter("feature = 'exon'").withColumn("_t", attribute("transcript_id")).filter("_t is not null")
+    return rows.groupBy("chr", "strand", "s", "e").agg(F.array_sort(F.collect_set("_t")).alias("transcripts"))
+
+
+def transcript_info(features: DataFrame) -> DataFrame:
+    """Gene of each annotated transcript (GTF): ``transcript``, ``gene_id``, ``gene_name``, ``transcript_name``, ``gene_type``."""
+    names = {"gene_id": "gene_id", "gene_name": "gene_name", "transcript_name": "transcript_name", "gene_type": "gene_type"}
+    rows = features.select(attribute("transcript_id").alias("transcript"), *(attribute(a).alias(n) for n, a in names.items())).filter("transcript is not null")
+    return rows.groupBy("transcript").agg(*(F.max(n).alias(n) for n in names))
+
+
+def ends_of_transcripts(features: DataFrame, five_prime: bool) -> DataFrame:
+    """The 5' or 3' end of each annotated transcript (GTF): ``transcript``, ``chr``, ``strand``, ``pos`` (from 0)."""
+    rows = features.filter("feature = 'exon'").withColumn("transcript", attribute("transcript_id")).filter("transcript is not null")
+    out = rows.groupBy("transcript", "chr", "strand").agg(F.min("s").alias("_s"), F.max("e").alias("_e"))
+    first = (F.col("strand") == "+") if five_prime else (F.col("strand") == "-")
+    return out.select("transcript", "chr", "strand", F.when(first, F.col("_s")).otherwise(F.col("_e") - 1).alias("pos"))
+
+
+def parse_variant_gff(lines: DataFrame) -> DataFrame:
+    """Variant features with ``attrs``, a map of their ``key=value`` attributes."""
+    return parse_gff(lines).withColumn("attrs", F.str_to_map("attributes", F.lit(";"), F.lit("=")))
+
+
 def fusion_parts(records: DataFrame, key: str = "id") -> DataFrame:
     """Fusions from transcripts named ``<fusion>.<part>``: ``id`` of the fusion and ``parts`` in order."""
     pattern = r"^(\S+\.[0-9]+)\.([0-9]+)$"
@@ -82,7 +147,7 @@ def find_transcripts(exons: DataFrame, regions: DataFrame) -> DataFrame:
 
 def read_variant_gff(spark: SparkSession, path: str) -> DataFrame:
     """Variant features with ``attrs``, a map of their ``key=value`` attributes."""
-    return read_gff(spark, path).withColumn("attrs", F.str_to_map("attributes", F.lit(";"), F.lit("=")))
+    return parse_variant_gff(spark.read.text(path))
 
 
 def parse_bed(lines: DataFrame, start_base: int = 0, end_base: int = 1) -> DataFrame:

@@ -70,6 +70,39 @@ def parse_config(text: str) -> SampleConfig:
     return out
 
 
+def parse_pairs(text: str) -> dict[str, str]:
+    """Lines of ``key=value``, blank ones and comments left out; a line without ``=`` is an error."""
+    out = {}
+    for line in filter(None, (x.strip() for x in text.splitlines())):
+        key, sep, value = line.partition("=")
+        if not sep and not line.startswith("#"):
+            raise ValueError(f"no key=value: {line}")
+        if sep and not line.startswith("#"):
+            out[key] = value
+    return out
+
+
+@dataclass
+class Locus:
+    """A locus to phase."""
+
+    chr: str
+    start: int
+    end: int
+    strand: str
+
+
+def parse_locus(text: str) -> Locus:
+    """The configuration of a locus: ``ref_chr``, ``ref_start``, ``ref_end`` and ``ref_strand``; others are not read."""
+    pairs = parse_pairs(text)
+    return Locus(pairs["ref_chr"], int(pairs["ref_start"]), int(pairs["ref_end"]), pairs["ref_strand"])
+
+
+def with_constants(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """The columns of a configuration before those of ``df``, with one value each."""
+    return df.select(*(F.lit(v).alias(k) for k, v in pairs.items()), *(c for c in df.columns if c not in pairs))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Records of FASTA files, plain or gzipped: ``id`` (first word), ``header`` and ``seq``.  Records may have any number of lines."""
     blocks = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^>", "").alias("v")).filter(F.trim("v") != "")
