@@ -29,3 +29,12 @@ def test_distinct_counts_of_the_table(spark, duck):  # noqa: F811
     for measure in ("umi_ed", "bc_ed"):
         exact = duck.execute(f"select count(distinct {tag.format(measure)}) from dedup_flnc_per_cluster").fetchone()[0]
         assert got[measure] == pytest.approx(exact, rel=0.07)
+
+
+def test_molecules_of_any_gene_count(spark, tmp_path):
+    rows = [("A", "C", g) for g in (None, "", "NA", "g")] + [(None, "C", "g"), ("A", "na", "h")]
+    df = spark.createDataFrame(rows, "bc_ed string, umi_ed string, gene string")
+    df.selectExpr("*", "'k' AS cluster", "timestamp'2025-01-01 00:00:00' AS deduped_at").write.parquet(str(tmp_path / "dedup_flnc_per_cluster.parquet"))
+    found = queries.p5_distinct(spark, str(tmp_path)).filter("measure = 'bc_ed_umi_ed_gene'")
+    assert [r.n_distinct for r in found.filter("grouping = 'total'").collect()] == [4]
+    assert {r.gene: r.n_distinct for r in found.filter("grouping = 'gene'").collect()} == {None: 1, "": 1, "NA": 1, "g": 1}
