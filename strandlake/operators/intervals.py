@@ -22,13 +22,26 @@ def islands(
     no task has a whole key.  For keys that have few intervals by nature, such as reads, use
     ``islands_of_small_keys``.
     """
-    # Places are doubled, so that touching ends may be joined or kept apart.
+    rows, periods = _doubled(df, keys, start, end, touching, island)
+    return locate(rows, periods, keys, "__low", ("__from", "__to"), 2 * bin_size).drop("__low", "__high", "__from", "__to")
+
+
+def _doubled(df: DataFrame, keys: Sequence[str], start: str, end: str, touching: bool, island: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with doubled ends, so that touching ones may be joined or kept apart, and the numbered clusters of these."""
     low = F.least(start, end) * 2 + F.lit(0 if touching else 1)
     high = F.greatest(F.greatest(start, end) * 2 + F.lit(1 if touching else 0), low + 1)
     rows = df.withColumns({"__low": F.when(F.col(start).isNotNull() & F.col(end).isNotNull(), low), "__high": high})
     periods = periods_and_gaps(rows, keys, "__low", "__high", number=island).filter("kind = 'period'")
-    periods = periods.select(*keys, island, F.col("start_pos").alias("__from"), F.col("end_pos").alias("__to"))
-    return locate(rows, periods, keys, "__low", ("__from", "__to"), 2 * bin_size).drop("__low", "__high", "__from", "__to")
+    return rows, periods.select(*keys, island, F.col("start_pos").alias("__from"), F.col("end_pos").alias("__to"))
+
+
+def island_ends(df: DataFrame, keys: Sequence[str], start: str = "s", end: str = "e", island: str = "island") -> DataFrame:
+    """The clusters of overlapping or touching intervals of each key: keys, ``island``, ``island_start``, ``island_end``.
+
+    The numbers are those of ``islands``; rows find their cluster by ``locate``.
+    """
+    periods = _doubled(df, keys, start, end, True, island)[1]
+    return periods.select(*keys, island, F.expr("__from div 2").alias("island_start"), F.expr("(__to - 1) div 2").alias("island_end"))
 
 
 def locate(rows: DataFrame, periods: DataFrame, keys: Sequence[str], at: str, ends: tuple[str, str], bin_size: int = 10_000) -> DataFrame:

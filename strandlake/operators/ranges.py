@@ -9,6 +9,7 @@ stitched afterwards.  There are at most as many such states as partitions.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +54,13 @@ def changes(column):
     return out
 
 
+def part_of(batches: Iterator, column: int) -> tuple[int | None, Iterator]:
+    """The number of the range partition, which all its rows have in a column, and its batches with rows."""
+    rest = (batch for batch in batches if batch.num_rows)
+    first = next(rest, None)
+    return (None, rest) if first is None else (first.column(column)[0].as_py(), chain([first], rest))
+
+
 def key_states(rows: DataFrame) -> DataFrame:
     """Partial states of sorted rows (``field``, ``key``, ``tag``): one for each partition and key."""
     prepare(rows.sparkSession)
@@ -181,8 +189,8 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, na
     checkpoint_root(df.sparkSession)
     columns = df.columns
     at, where, n = columns.index(value), [columns.index(k) for k in keys], len(keys)
-    # Both passes must see the same partitions, so these are kept in the shared folder.
-    ordered = by_range(df, *keys, *order).checkpoint() if keys or order else df.coalesce(1).checkpoint()
+    # Both passes must see the same partitions, so these are kept in the shared folder, and each row has the number of its own.
+    ordered = by_range(df, *keys, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
 
     def starts_of(batch) -> list[int]:
         import numpy as np
@@ -197,10 +205,10 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, na
         import pickle
 
         import pyarrow as pa
-        from pyspark import TaskContext
 
         first = last = None
         total = 0
+        part, batches = part_of(batches, len(columns))
         for batch in batches:
             if batch.num_rows:
                 head = starts_of(batch)[-1]
@@ -211,7 +219,7 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, na
                 total = (total if own == last and head == 0 else 0) + int(values[head:].sum())
                 last = own
         if first is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pickle.dumps((first, last, total))])], names=["part", "state"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps((first, last, total))])], names=["part", "state"])
 
     import pickle
 
@@ -226,9 +234,9 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, na
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        last, total = carry.get(TaskContext.get().partitionId(), (None, 0))
+        part, batches = part_of(batches, len(columns))
+        last, total = carry.get(part, (None, 0))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -241,7 +249,7 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, na
                 base[0] += total
             before = before + np.repeat(base, sizes)
             last, total = key_at(batch, batch.num_rows - 1), int(before[-1] + values[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before.astype(np.int64))], names=[*columns, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(before.astype(np.int64))], names=[*columns, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` bigint"
     return ordered.mapInArrow(work, schema)

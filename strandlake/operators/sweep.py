@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.ranges import by_range, changes
+from strandlake.operators.ranges import by_range, changes, part_of
 from strandlake.session import checkpoint_root, prepare
 
 
@@ -98,7 +98,6 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: Column | str, en
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_type
 
         out: list[tuple] = []
@@ -108,7 +107,8 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: Column | str, en
             types = [to_arrow_type(k) for k in kinds] + [pa.string(), pa.int64(), pa.int64()] + [pa.int64()] * bool(number)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*keys, "kind", "start_pos", "end_pos", number][: len(types)])
 
-        known = carry.get(TaskContext.get().partitionId())
+        part, batches = part_of(batches, n + 2)
+        known = carry.get(part)
         begun = False
         active, boundary, done = 0, None, 0
         for key, more, pos, delta in _segments(batches, n):
@@ -137,16 +137,17 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: Column | str, en
 def _ordered_states(changes_of: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[tuple[int, tuple]]]:
     """Events in range partitions, and the end state of each partition, in order."""
     n = len(keys)
-    # Both passes must see the same partitions, so these are kept in the shared folder.
-    ordered = by_range(changes_of, *keys, "__pos").checkpoint()
+    # Both passes must see the same partitions, so these are kept in the shared folder, and each row has the number
+    # of its own: that of a task is another one where the result is united with others.
+    ordered = by_range(changes_of, *keys, "__pos").withColumn("__part", F.spark_partition_id()).checkpoint()
 
     def states(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        state = _end_state(batches, n)
+        part, rest = part_of(batches, n + 2)
+        state = _end_state(rest, n)
         if state is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pickle.dumps(state)])], names=["part", "state"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps(state)])], names=["part", "state"])
 
     found = ordered.mapInArrow(states, "part int, state binary").collect()  # one row for each partition
     return ordered, sorted((r.part, pickle.loads(r.state)) for r in found)
@@ -174,9 +175,8 @@ def constant_segments(df: DataFrame, keys: Sequence[str], start: str, end: str)
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, batches = part_of(batches, n + 2)
         depth, held = carry.get(part, 0), None  # the last event so far: entity, place and depth after it
 
         def batch_of(batch, places, ends, depths) -> pa.RecordBatch:

@@ -476,9 +476,9 @@ def _sites(t: Tables) -> DataFrame:
     return phasing.callable_positions(_clean(t), t.x_pile.select(F.col("chr_no").alias("chr"), "pos", "ref"))
 
 
-# Bases over 40 positions; at some of them up to a quarter of the reads have another base.
+# Bases over 20 positions; at some of them up to a quarter of the reads have another base.
 _STACKED = """SELECT chr, pos, substr('ACGT', CAST(pos % 4 + 1 AS INT), 1) AS ref, substr('ACGT', CAST((pos + CASE WHEN e < pos % 10 * 3 THEN 1 + e % 3 ELSE 0 END) % 4 + 1 AS INT), 1) AS base, count(*) AS n
-  FROM (SELECT user_id % 2 AS chr, event_id * 7919 % 20 AS pos, (event_id * 31 + user_id * 17) % 100 AS e FROM {events}) GROUP BY ALL"""
+  FROM (SELECT user_id % 2 AS chr, event_id * 7919 % 10 AS pos, (event_id * 31 + user_id * 17) % 100 AS e FROM {events}) GROUP BY ALL"""
 
 _TESTED = f"""c AS ({_STACKED.format(events="events")}), s AS (SELECT chr, pos, ref, sum(n) AS cov, count(*) AS n_types FROM c GROUP BY ALL HAVING count(*) >= 2 AND sum(n) >= 10),
   r AS (SELECT c.*, row_number() OVER (PARTITION BY c.chr, c.pos ORDER BY n DESC, base) AS rank, CAST(cov AS BIGINT) AS cov, CAST(floor(cov * 0.005) AS BIGINT) AS x, CAST(floor(cov * 0.995) AS BIGINT) AS y FROM c JOIN s USING (chr, pos)),

@@ -9,6 +9,7 @@ from strandlake.functions import sequence as fs
 from strandlake.functions.alignment import isoform_id
 from strandlake.operators import collapse, compare, counts, intervals, junctions, rarefaction, seqtools
 from strandlake.plans.registry import Tables, query
+from strandlake.session import stage
 
 _GOOD = "SELECT * FROM x_aln WHERE flag <> 4 AND q_coverage >= 0.95 AND identity >= 0.95"
 _ISLANDS = f"""good AS ({_GOOD}),
@@ -30,11 +31,13 @@ def _good(t: Tables) -> DataFrame:
 )
 def locus_catalogue(t: Tables) -> DataFrame:
     """Quality filter, loci by strand, atomic segments and counts of each locus."""
-    placed = intervals.islands(_good(t), ["chr", "strand"])
-    key = ["chr", "strand", "island"]
-    loci = placed.groupBy(*key).agg(F.min("s").alias("locus_start"), F.max("e").alias("locus_end"), F.count("*").alias("n_reads"))
-    segments = intervals.elementary_segments(placed, key).groupBy(*key).agg(F.count("*").alias("n_segments"))
-    return loci.join(segments, key)
+    good, key = _good(t), ["chr", "strand"]
+    places = stage(intervals.island_ends(good, key), "islands")
+    found = places.select(*key, "island", F.col("island_start").alias("_from"), (F.col("island_end") + 1).alias("_to"))
+    counted = {"n_reads": (good.select(*key, "s"), "s"), "n_segments": (intervals.elementary_segments(good, key).select(*key, "seg_start"), "seg_start")}
+    rows = [intervals.locate(df, found, key, at, ("_from", "_to")).select(*key, "island", *(F.lit(int(c == name)).alias(c) for c in counted)) for name, (df, at) in counted.items()]
+    sums = rows[0].unionByName(rows[1]).groupBy(*key, "island").agg(*(F.sum(c).alias(c) for c in counted))
+    return places.withColumnsRenamed({"island_start": "locus_start", "island_end": "locus_end"}).join(sums, [*key, "island"])
 
 
 @query("SELECT CASE WHEN flag = 4 THEN 'unmapped' WHEN q_coverage < 0.99 THEN 'coverage' WHEN identity < 0.95 THEN 'identity' END AS reason, count(*) AS n FROM x_aln GROUP BY 1")

@@ -121,3 +121,17 @@ def test_more_ranges_for_larger_inputs(spark, tmp_path, monkeypatch):
     assert ranges.range_count(df) == 7
     monkeypatch.setattr(ranges, "RANGE_BYTES", 100_000)
     assert 10 <= ranges.range_count(df) <= 40
+
+
+def test_results_may_be_united(spark):
+    """The partitions of a united result have other numbers than those the states were taken from."""
+    rows = rows_of(9)
+    df = spark.createDataFrame(rows, "i int, k string, s bigint, e bigint")
+    made = {
+        "periods": lambda: sweep.periods_and_gaps(df, ["k"], "s", "e", number="no"),
+        "segments": lambda: intervals.elementary_segments(df, ["k"]),
+        "sums": lambda: ranges.prefix_sums(df.select("k", "i", F.col("i").cast("bigint").alias("v")), ["k"], ["i"], "v", "before"),
+    }
+    for name, make in made.items():
+        one = sorted(map(tuple, make().collect()), key=str)
+        assert sorted(map(tuple, make().unionByName(make()).collect()), key=str) == sorted(one + one, key=str), name

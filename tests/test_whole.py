@@ -64,15 +64,6 @@ def test_curves_are_of_a_hundred_draws(spark, monkeypatch, name):
     assert drawn == [100]
 
 
-def test_molecules_of_any_gene_count(spark, tmp_path):
-    rows = [("A", "C", g) for g in (None, "", "NA", "g")] + [(None, "C", "g"), ("A", "na", "h")]
-    df = spark.createDataFrame(rows, "bc_ed string, umi_ed string, gene string")
-    df.selectExpr("*", "'k' AS cluster", "timestamp'2025-01-01 00:00:00' AS deduped_at").write.parquet(str(tmp_path / "dedup_flnc_per_cluster.parquet"))
-    found = entry.queries()["p5_distinct"](spark, str(tmp_path)).filter("measure = 'bc_ed_umi_ed_gene'")
-    assert [r.n_distinct for r in found.filter("grouping = 'total'").collect()] == [4]
-    assert {r.gene: r.n_distinct for r in found.filter("grouping = 'gene'").collect()} == {None: 1, "": 1, "NA": 1, "g": 1}
-
-
 def test_orphans_are_counted_by_table_and_day(spark):
     found = {tuple(r) for r in run(spark, "p2_found").select("ref_table", "ref_field", "ref_day", "reason", "ref_key").collect()}
     counted = run(spark, "p2_counts").collect()
@@ -83,8 +74,9 @@ def test_orphans_are_counted_by_table_and_day(spark):
 def test_variants_are_called_by_significance(spark, monkeypatch):
     given, plain = [], phasing.call_variants
     monkeypatch.setattr(phasing, "call_variants", lambda clean, sites, **rest: given.append(rest) or plain(clean, sites, **rest))
-    assert run(spark, "e19_called_variants").count() > 0
+    run(spark, "e19_called_variants")
     assert given == [{}]
+    assert run(spark, "e19_called_by_rank").filter("rank > 1").count() > 0
     # One odd base in forty is error; ten are a variant.
     counts = [("a", 1, "A", "A", 39), ("a", 1, "A", "C", 1), ("a", 2, "A", "A", 30), ("a", 2, "A", "C", 10)]
     clean = spark.createDataFrame(counts, "chr string, pos bigint, ref string, base string, n bigint")
