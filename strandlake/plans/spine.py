@@ -34,7 +34,8 @@ def locus_catalogue(t: Tables) -> DataFrame:
     good, key = _good(t), ["chr", "strand"]
     places = stage(intervals.island_ends(good, key), "islands")
     found = places.select(*key, "island", F.col("island_start").alias("_from"), (F.col("island_end") + 1).alias("_to"))
-    counted = {"n_reads": (good.select(*key, "s"), "s"), "n_segments": (intervals.elementary_segments(good, key).select(*key, "seg_start"), "seg_start")}
+    segments = stage(intervals.elementary_segments(good, key).select(*key, "seg_start"), "segments")
+    counted = {"n_reads": (good.select(*key, "s"), "s"), "n_segments": (segments, "seg_start")}
     rows = [intervals.locate(df, found, key, at, ("_from", "_to")).select(*key, "island", *(F.lit(int(c == name)).alias(c) for c in counted)) for name, (df, at) in counted.items()]
     sums = rows[0].unionByName(rows[1]).groupBy(*key, "island").agg(*(F.sum(c).alias(c) for c in counted))
     return places.withColumnsRenamed({"island_start": "locus_start", "island_end": "locus_end"}).join(sums, [*key, "island"])

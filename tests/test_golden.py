@@ -1,5 +1,7 @@
 """Cases worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +268,48 @@ def test_simulators_are_seeded(spark):
     assert x == y != "ACGT" * 100
     alleles = [r.seq for r in seqtools.simulate_alleles(df, 3).orderBy("allele").collect()]
     assert alleles[0] == "ACGT" * 100 and all(1 <= sum(a != b for a, b in zip(x, alleles[0])) <= 2 for x in alleles[1:])
+
+
+def plain_labels(rows, radius=3):
+    out, heads = {}, {}
+    for chr_, strand, left, right in sorted(set(rows)):
+        own = heads.setdefault((chr_, strand), [])
+        at = next((i for i, (lo, hi) in enumerate(own) if left - lo <= radius and abs(right - hi) <= radius), None)
+        if at is None:
+            own.append((left, right))
+            at = len(own) - 1
+        out[chr_, strand, left, right] = f"{chr_}_{strand}_{at}"
+    return out
+
+
+def test_labels_by_first_fit(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["c", "d"]), rng.choice("+-"), rng.randrange(120), 500 + rng.randrange(12)) for _ in range(300)]
+    report = spark.createDataFrame(rows + [(None, "+", 1, 2), ("c", "+", None, 2)], "chr string, strand string, left bigint, right bigint")
+    got = {(r.chr, r.strand, r.left, r.right): r.label for r in junctions.labelled(report).collect()}
+    assert got == plain_labels(rows)
+    assert junctions.labelled(report.limit(0)).count() == 0
+
+
+def test_fusions_are_assembled(spark):
+    x = lambda *p: [{"start": a, "end": b} for a, b in p]
+    first, other = x((100, 200), (300, 400)), x((1000, 1100), (1200, 1300))
+    rows = [(r, "a", "+", 100, 400, 0, 1000, first) for r in ("r1", "r2", "r3")] + [(r, "b", "+", 1000, 1300, 600, 1000, other) for r in ("r1", "r2")]
+    rows += [("r3", "d", "-", 1000, 1300, 600, 1000, other), ("r4", "a", "+", 300, 400, 0, 1000, x((300, 400))), ("r4", "b", "+", 1000, 1300, 600, 1000, other)]
+    parts = spark.createDataFrame(rows, f"read_id string, chr string, strand string, s bigint, e bigint, q_start bigint, q_len bigint, exons {collapse.EXONS}")
+    grouped = fusion.merge_parts(parts)
+    fusions = fusion.assemble(grouped)
+    by_fusion = {}
+    for r in fusions.collect():
+        by_fusion.setdefault(r.fusion_id, set()).add((r.read_id, r.n_parts, r.n_reads))
+    # The first part of r4 is a shortened copy that ends at the same fusion point.
+    assert sorted(by_fusion.values(), key=len) == [{("r3", 2, 1)}, {("r1", 2, 3), ("r2", 2, 3), ("r4", 2, 3)}]
+    lengths = spark.createDataFrame([("r1", 900), ("r2", 950), ("r3", 10), ("r4", 950)], "read_id string, length bigint")
+    records = {(r.part, r.chr, r.representative) for r in fusion.fusion_records(grouped, fusions, lengths).collect()}
+    assert records == {(1, "a", "r4"), (2, "b", "r4"), (1, "a", "r3"), (2, "d", "r3")}
+
+
+def test_gaps_within_runs_of_one_base(spark):
+    rows = [("0100", "AAAC", "A-AC"), ("0100", "AGAC", "A-AC"), ("0010", "AC-T", "ACCT"), ("1000", "GAAC", "TAAC"), ("", "", "")]
+    df = spark.createDataFrame(rows, "bits string, q string, t string")
+    assert [r.b for r in df.select(aligner.spare_homopolymers("bits", "q", "t").alias("b")).collect()] == ["0000", "0100", "0000", "1000", ""]
