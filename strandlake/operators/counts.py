@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from strandlake.functions.sequence import shade_index
 from strandlake.session import stage
 
+#: Rows of a read status that one part of a cluster stands for.
+STAT_ROWS = 1_000_000
+
 
 def abundance(read_stat: DataFrame, given_total: int | None = None) -> DataFrame:
     """Full-length reads of each isoform (``pbid``, ``count_fl``) and their share ``norm_fl``.
@@ -50,12 +53,33 @@ def read_stat(groups: DataFrame, clusters: DataFrame) -> DataFrame:
     ``groups``: ``pbid``, ``member`` (a cluster).  ``clusters``: ``cluster_id``, ``read_id``,
     ``read_type`` (FL or NonFL).  An FL read is unique or unmapped.  Another read is unique
     with one isoform, ambiguous with several (a row each), unmapped only if it has none.
+
+    Reads of one cluster, as nearly all are, get the rows of their cluster as they are, in tasks of about
+    ``STAT_ROWS`` rows however many isoforms a cluster has; only reads of several are made distinct.
     """
-    of_cluster = groups.select("pbid", F.col("member").alias("cluster_id")).distinct()
-    placed = clusters.join(of_cluster, "cluster_id", "left").select("read_id", "read_type", "pbid").distinct()
-    known = F.count("pbid").over(Window.partitionBy("read_id", "read_type"))
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_cluster = groups.filter("member is not null").select("pbid", F.col("member").alias("cluster_id")).distinct()
+    lo, hi, nulls = F.min("cluster_id").alias("_lo"), F.max("cluster_id").alias("_hi"), F.count_if(F.col("cluster_id").isNull()).alias("_nulls")
+    reads = clusters.groupBy("read_id", "read_type").agg(lo, hi, nulls, F.collect_set("cluster_id").alias("_all"))
+    one = F.col("_lo").isNull() | (F.col("_lo") == F.col("_hi")) & (F.col("_nulls") == 0)
+
+    alone = reads.filter(one).select("read_id", "read_type", F.col("_lo").alias("cluster_id"))
+    sizes = of_cluster.groupBy("cluster_id").agg(F.count("*").alias("_rows"), F.count("pbid").alias("_n"))
+    parts = F.least(F.lit(n), F.ceil(F.col("_reads") * F.col("_rows") / STAT_ROWS))
+    parts_of = sizes.join(alone.groupBy("cluster_id").agg(F.count("*").alias("_reads")), "cluster_id").select("cluster_id", "_n", parts.alias("_parts"))
+    # A cluster without isoforms has no parts; its reads are spread as they come.
+    spread = F.pmod(F.xxhash64("read_id", "read_type"), F.coalesce("_parts", F.lit(n)))
+    left = alone.join(parts_of, "cluster_id", "left").select("read_id", "read_type", "cluster_id", F.coalesce("_n", F.lit(0)).alias("_n"), spread.alias("_part"))
+    right = of_cluster.join(parts_of, "cluster_id").select("pbid", "cluster_id", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    rows = left.repartition(n, "cluster_id", "_part").join(right.repartition(n, "cluster_id", "_part"), ["cluster_id", "_part"], "left").select("read_id", "read_type", "pbid", "_n")
+
+    every = F.when(F.col("_nulls") > 0, F.concat("_all", F.array(F.lit(None)))).otherwise(F.col("_all"))
+    several = reads.filter(~one).select("read_id", "read_type", F.explode(every).alias("cluster_id"))
+    placed = several.join(of_cluster, "cluster_id", "left").select("read_id", "read_type", "pbid").distinct()
+    rows = rows.unionByName(placed.withColumn("_n", F.count("pbid").over(Window.partitionBy("read_id", "read_type"))))
+
     fl = F.col("read_type") == "FL"
-    rows = placed.withColumn("_n", known).filter(fl | F.col("pbid").isNotNull() | (F.col("_n") == 0))
+    rows = rows.filter(fl | F.col("pbid").isNotNull() | (F.col("_n") == 0))
     stat = F.when(F.col("pbid").isNull(), "unmapped").when(fl | (F.col("_n") == 1), "unique").otherwise("ambiguous")
     return rows.select(F.col("read_id").alias("id"), F.when(fl, "Y").otherwise("N").alias("is_fl"), stat.alias("stat"), "pbid")
 
