@@ -5,14 +5,14 @@ import itertools
 from strandlake.operators import counts
 
 
-def shuffled(df):
-    """Records that the exchanges of ``df`` write."""
+def total(df, kind, metric):
+    """Sum of a metric over the nodes of a kind in the plan that ran."""
     df.collect()
 
     def walk(node):
         name = node.getClass().getSimpleName()
         below = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
-        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        own = node.metrics().apply(metric).value() if name == kind else 0
         return own + sum(map(walk, below))
 
     return walk(df._jdf.queryExecution().executedPlan())
@@ -31,4 +31,4 @@ def test_reads_of_one_cluster_meet_its_isoforms_without_a_shuffle_of_the_pairs(s
     want |= {("lost", "Y", "unmapped", None), ("lost", "N", "unmapped", None), ("part", "N", "unique", "PB.1"), (None, "N", "unique", "PB.1")}
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) == len(want) and set(rows) == want
-    assert shuffled(found) < len(rows) / 2
+    assert total(found, "ShuffleExchangeExec", "shuffleRecordsWritten") < len(rows) / 2
