@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.alignment import is_unmapped
 from strandlake.operators import compare
-from strandlake.operators.grouped import map_groups
+from strandlake.operators.grouped import keep_in_groups, map_groups
 from strandlake.operators.intervals import islands
 from strandlake.operators.ranges import number_rows
 from strandlake.session import prepare, stage
@@ -320,40 +319,54 @@ def multi_exon(records: DataFrame) -> DataFrame:
     return records.filter(F.size("exons") > 1)
 
 
+def _without_subsets(exons: list[list[tuple[int, int]]], strand: str, fuzzy: int) -> list[int]:
+    """The places of the structures that stay, of a gene's in their order."""
+    import numpy as np
+
+    n, gone = len(exons), set()
+    index = compare.ThreePrime(strand, fuzzy)
+    for i, x in enumerate(exons):
+        if len(x) > 1:
+            index.add(i, x)
+    start, end = np.array([x[0][0] for x in exons]), np.array([x[-1][1] for x in exons])
+    inner = np.array([x[-1][0] if strand == "+" else x[0][1] for x in exons])
+    alone = np.array([len(x) == 1 for x in exons])
+    # A single exon is a copy of those whose last exon it begins in, which it must overlap.
+    singles, others = np.flatnonzero(alone), np.flatnonzero(~alone)
+
+    def of_single(i: int) -> list[int]:
+        fits = inner[others] - start[i] <= fuzzy if strand == "+" else end[i] - inner[others] <= fuzzy
+        return others[fits & (others > i) & (start[others] < end[i]) & (end[others] > start[i])].tolist()
+
+    def of_several(i: int) -> list[int]:
+        fits = inner[i] - start[singles] <= fuzzy if strand == "+" else end[singles] - inner[i] <= fuzzy
+        near = {j for j in index.near(exons[i]) if j > i and len(exons[j]) != len(exons[i])}
+        near.update(singles[fits & (singles > i) & (start[singles] < end[i]) & (end[singles] > start[i])].tolist())
+        return sorted(near)
+
+    for i, x in enumerate(exons):
+        if i in gone:
+            continue
+        for j in of_single(i) if len(x) == 1 else of_several(i):
+            if j in gone:
+                continue
+            # Only one with more exons is ``super``.
+            long, short, lost = (x, exons[j], j) if len(x) > len(exons[j]) else (exons[j], x, i)
+            if compare.is_degraded(long, short, strand, fuzzy) and compare.relation(x, exons[j], strand, fuzzy) == ("super" if lost == j else "subset"):
+                gone.add(lost)
+                if lost == i:
+                    break
+    return [i for i in range(n) if i not in gone]
+
+
 def without_subsets(records: DataFrame, gene: str = "gene", key: str = "pbid", fuzzy: int = 5) -> DataFrame:
     """Drop isoforms that are 5'-degraded copies of a longer one of their gene.
 
     Pairs of a gene and strand are taken in the order of start, end and id, and a dropped isoform
     drops no other.  A gene's isoforms are compared within one task: those of several exons only
-    with others that end on the same 3' exon, single exons with all that overlap them.  Null or
-    empty exons are left out; a null gene is a gene of its own.
+    with others whose junctions agree from the 3' end on, single exons with those whose 3' exon they begin
+    in.  Null or empty exons are left out; a null gene is a gene of its own.
     """
-    prepare(records.sparkSession)
-    columns = records.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_start=[x[0]["start"] for x in pdf["exons"]], _end=[x[-1]["end"] for x in pdf["exons"]]).sort_values(["_start", "_end", key])
-        exons = [compare.as_exons(x) for x in pdf["exons"]]
-        strand, gone = pdf["strand"].tolist(), set()
-        # The inner end of the 3' exon, which both of a pair must have within ``fuzzy`` if the shorter one has several exons.
-        inner = [(x[-1][0] if t == "+" else x[0][1]) // (fuzzy + 1) for x, t in zip(exons, strand)]
-        by_inner: dict[int, list[int]] = {}
-        for i, place in enumerate(inner):
-            by_inner.setdefault(place, []).append(i)
-        single = [i for i, x in enumerate(exons) if len(x) == 1]
-        for i in range(len(exons)):
-            near = range(i + 1, len(exons)) if len(exons[i]) == 1 else sorted({j for p in (inner[i] - 1, inner[i], inner[i] + 1) for j in by_inner.get(p, ()) if j > i} | {j for j in single if j > i})
-            for j in near:
-                if exons[j][0][0] > exons[i][-1][1] or i in gone:
-                    break
-                if j in gone:
-                    continue
-                how = compare.relation(exons[i], exons[j], strand[i], fuzzy)
-                if how == "super" and compare.is_degraded(exons[i], exons[j], strand[i], fuzzy):
-                    gone.add(j)
-                elif how == "subset" and compare.is_degraded(exons[j], exons[i], strand[i], fuzzy):
-                    gone.add(i)
-        kept = [i for i in range(len(exons)) if i not in gone]
-        return pd.DataFrame({c: [pdf[c].iloc[i] for i in kept] for c in columns})
-
-    return records.filter(F.size("exons") > 0).groupBy(gene, "strand").applyInPandas(run, records.schema)
+    rows = records.filter(F.size("exons") > 0).withColumn("__flat", compare.flat("exons"))
+    order = [F.col("exons")[0]["start"], F.element_at("exons", -1)["end"], F.asc_nulls_last(key)]
+    return keep_in_groups(rows, [gene, "strand"], order, ["__flat"], lambda k, group: _without_subsets([compare.as_exons(x) for (x,) in group], k[1], fuzzy), drop=["__flat"])

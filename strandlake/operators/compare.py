@@ -84,6 +84,69 @@ def is_degraded(long: Exons, short: Exons, strand: str, fuzzy: int) -> bool:
     return same_three_prime(long, short, strand, fuzzy)
 
 
+class ThreePrime:
+    """Numbered structures in a tree of their inner ends, from the 3' end on, so that those which agree there are found.
+
+    ``near`` gives all that may be ``exact``, or ``super`` or ``subset`` with ``same_three_prime``, but two single exons.  Where
+    exons lie so close that one may be taken for the next, the inner end of the 3' exon alone counts.
+    """
+
+    def __init__(self, strand: str, fuzzy: int):
+        self.strand, self.fuzzy = strand, fuzzy
+        self.root: tuple[dict, list] = ({}, [])  # children by the next end, numbers of what ends here
+        self.close: dict[int, list[int]] = {}
+        self.every: dict[int, list[int]] = {}
+
+    def ends(self, exons: Exons) -> list[int]:
+        flat = [x for exon in exons for x in exon]
+        flat = flat[-2::-1] if self.strand == "+" else flat[1:]
+        return flat[: max(1, len(flat) - 1)]
+
+    def is_close(self, exons: Exons) -> bool:
+        return any(y[0] - x[0] <= 2 * self.fuzzy or y[1] - x[1] <= 2 * self.fuzzy for x, y in zip(exons, exons[1:]))
+
+    def add(self, number: int, exons: Exons) -> None:
+        ends = self.ends(exons)
+        place = ends[0] // (self.fuzzy + 1)
+        self.every.setdefault(place, []).append(number)
+        if self.is_close(exons):
+            self.close.setdefault(place, []).append(number)
+            return
+        node = self.root
+        for end in ends:
+            node = node[0].setdefault(end, ({}, []))
+        node[1].append(number)
+
+    def near(self, exons: Exons) -> set[int]:
+        ends = self.ends(exons)
+        place = ends[0] // (self.fuzzy + 1)
+        among = self.every if self.is_close(exons) else self.close
+        found = {i for p in (place - 1, place, place + 1) for i in among.get(p, ())} if among else set()
+        if among is self.every:
+            return found
+        nodes = [self.root]
+        for end in ends:
+            low, high = end - self.fuzzy, end + self.fuzzy
+            nodes = [
+                child
+                for children, _ in nodes
+                for child in (
+                    (c for at, c in children.items() if low <= at <= high)
+                    if len(children) <= 2 * self.fuzzy + 1
+                    else (children[at] for at in range(low, high + 1) if at in children)
+                )
+            ]
+            if not nodes:
+                return found
+            for _, here in nodes:
+                found.update(here)
+        while nodes:
+            children, here = nodes.pop()
+            found.update(here)
+            nodes += children.values()
+        return found
+
+
 def as_exons(value) -> list[tuple[int, int]]:
     """Exons from an array of structs, or from one of ``flat``, as it comes to Python."""
     if len(value) and isinstance(value[0], (dict, tuple)):
