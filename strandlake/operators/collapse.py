@@ -186,15 +186,15 @@ def merge_fuzzy(rows: list[tuple[int, list[tuple[int, int]], int]], strand: str,
     the earliest, stands for it.
     """
     groups: list[list[tuple[int, list, int]]] = []
-    # A match needs the inner ends of the 3' exons within ``fuzzy``, but between two single exons; so few heads are compared.
-    by_place: dict[int, list[int]] = {}
-    single: list[int] = []
+    # A match needs the junctions of the shorter one to agree from the 3' end on, or two single exons with near 3' ends; so few heads are compared.
+    index = compare.ThreePrime(strand, fuzzy)
+    single: dict[int, list[int]] = {}
     for row in rows:
         exons = row[1]
-        place = (exons[-1][0] if strand == "+" else exons[0][1]) // (fuzzy + 1)
-        near = {i for p in (place - 1, place, place + 1) for i in by_place.get(p, ())}
+        near = index.near(exons)
+        place = (exons[-1][1] if strand == "+" else exons[0][0]) // (max_3_diff + 1)
         if len(exons) == 1:
-            near.update(single)
+            near.update(i for p in (place - 1, place, place + 1) for i in single.get(p, ()))
         for i in sorted(near):
             head = groups[i][0][1]
             if exons[0][0] >= head[-1][1] or head[0][0] >= exons[-1][1]:
@@ -205,9 +205,9 @@ def merge_fuzzy(rows: list[tuple[int, list[tuple[int, int]], int]], strand: str,
                 groups[i].append(row)
                 break
         else:
-            by_place.setdefault(place, []).append(len(groups))
+            index.add(len(groups), exons)
             if len(exons) == 1:
-                single.append(len(groups))
+                single.setdefault(place, []).append(len(groups))
             groups.append([row])
     out = []
     for group in groups:
@@ -251,7 +251,7 @@ def collapse(
 
     key = ["chr", "island", "strand", "gene"]
     schema = f"chr string, island bigint, strand string, gene bigint, shape bigint, isoform_idx bigint, exons {EXONS}, n_reads bigint"
-    merged = map_groups(placed.select(*key, "shape", compare.flat("exons").alias("exons"), "n"), key, merge, schema)
+    merged = map_groups(placed.select(*key, "shape", compare.flat("exons").alias("exons"), "n"), key, merge, schema, parts=int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     genes = placed.groupBy("chr", "island", "strand", "gene").agg(F.min("start").alias("_at"))
     numbered = number_rows(genes, ["chr", "_at", "strand", "island", "gene"], "gene_idx").drop("_at")
     named = merged.join(numbered, ["chr", "island", "strand", "gene"]).filter(F.col("n_reads") >= min_reads)

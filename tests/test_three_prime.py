@@ -31,3 +31,12 @@ def test_few_are_compared_for_subsets(compared, strand):
     kept = collapse._without_subsets(rows, strand, 5)
     assert [rows[i] for i in kept] == sorted(x if strand == "+" else mirrored(x) for x in long)
     assert len(compared) < 4 * len(rows)
+
+
+@pytest.mark.parametrize("strand", "+-")
+def test_few_heads_are_compared(compared, strand):
+    long, short = structures()
+    rows = [(i, x if strand == "+" else mirrored(x), 1) for i, x in enumerate(long + short, 1)]
+    kept = dict(collapse.merge_fuzzy(rows, strand, 5, True, 1000, 100))
+    assert len({kept[i] for i in range(1, 126)}) == 125 and {kept[i] for i in range(126, 151)} < set(range(1, 126))
+    assert len(compared) < 4 * len(rows)
